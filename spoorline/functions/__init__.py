@@ -1 +1 @@
-"""Spark-native evidence-tracing analytics."""
+"""Scalar text and score functions, as column expressions."""

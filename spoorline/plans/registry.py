@@ -5,13 +5,332 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..operators import evaluate, graph, lexical, memory, pairs, ranking, rerank, rgcn, tuning, validate
+from ..sources.splits import hashed_split
+from .oracles import SQL
+from .tasks import conversation_tasks, document_tasks
 
 FLAGSHIP = "bm25_metrics"
+#: Rules whose edges SQL can rebuild; the degree-capped rule is a greedy scan.
+PLAIN_RULES = ("sequential", "query_overlap", "bridge")
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def task_items(spark, sf_dir):
+    own = document_tasks(spark, sf_dir)
+    return own.items.join(own.tasks, "task_id").select("task_id", "item_id", "position", "title", "group_key", "sequence_index", F.length("text").alias("n_chars"))
+
+
+def content_tokens(spark, sf_dir):
+    items = document_tasks(spark, sf_dir).items
+    tokens = T.content_tokens("text")
+    return items.select("task_id", "item_id", F.size(tokens).cast("long").alias("n_tokens"), F.array_join(tokens, " ").alias("tokens"), F.array_join(F.sort_array(T.title_aliases("title")), "|").alias("aliases"))
+
+
+def item_entities(spark, sf_dir):
+    items = document_tasks(spark, sf_dir).items
+    return items.select("task_id", "item_id", F.array_join(F.sort_array(T.entities("text")), "|").alias("entities"))
+
+
+def idf_table(spark, sf_dir):
+    own = document_tasks(spark, sf_dir)
+    return lexical.document_frequency(own.items, own.tasks).select("task_id", "token", "df", F.round("idf", 6).alias("idf"))
+
+
+def lexical_overlap(spark, sf_dir):
+    own = document_tasks(spark, sf_dir)
+    return lexical.lexical_overlap(own.items, own.tasks)
+
+
+def input_tokens(spark, sf_dir):
+    own = document_tasks(spark, sf_dir)
+    texts = own.items.select("task_id", "text").unionByName(own.tasks.select("task_id", F.col("question").alias("text")))
+    return texts.groupBy("task_id").agg(F.sum(F.size(T.content_tokens("text"))).alias("input_tokens"))
+
+
+def bm25_ranking(spark, sf_dir):
+    own = document_tasks(spark, sf_dir)
+    return ranking.ranked(lexical.bm25_scores(own.items, own.tasks)).select("task_id", "item_id", "score", "rank")
+
+
+def bm25_metrics(spark, sf_dir):
+    own = document_tasks(spark, sf_dir)
+    ranked = ranking.ranked(lexical.bm25_scores(own.items, own.tasks))
+    return evaluate.summary(evaluate.task_metrics(ranked, own.gold).withColumn("method", F.lit("bm25")))
+
+
+def bm25_task_metrics(spark, sf_dir):
+    own = document_tasks(spark, sf_dir)
+    return evaluate.task_metrics(ranking.ranked(lexical.bm25_scores(own.items, own.tasks)), own.gold)
+
+
+def seed_signals(spark, sf_dir):
+    own = document_tasks(spark, sf_dir)
+    return ranking.seed_signals(lexical.bm25_scores(own.items, own.tasks))
+
+
+def failure_cases(spark, sf_dir):
+    own = document_tasks(spark, sf_dir)
+    return evaluate.failure_cases(ranking.ranked(lexical.bm25_scores(own.items, own.tasks)), own.gold, 5)
+
+
+def _vector_rankings(spark, sf_dir, k=10):
+    """Every vector whose id is divisible by 20 asks all others."""
+    vecs = _table(spark, sf_dir, "embeddings").where("vec_id is not null and embedding is not null")
+    asks = vecs.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q_vec"))
+    both = vecs.join(F.broadcast(asks), F.col("vec_id") != F.col("query_id")) if _fits(asks) else vecs.join(asks, F.col("vec_id") != F.col("query_id"))
+    scored = both.select("query_id", F.col("vec_id").alias("item_id"), F.round(ranking.inner_product(F.col("embedding"), F.col("q_vec")), 6).alias("score"))
+    w = W.partitionBy("query_id").orderBy(F.desc("score"), F.asc("item_id"))
+    return scored.withColumn("rank", F.row_number().over(w).cast("int")).where(F.col("rank") <= k)
+
+
+def _fits(df: DataFrame, most_rows: int = 50_000) -> bool:
+    """Whether a side has few enough rows to be sent to every task."""
+    return df.count() <= most_rows
+
+
+def dense_ranking(spark, sf_dir):
+    return _vector_rankings(spark, sf_dir)
+
+
+def dense_ir_metrics(spark, sf_dir):
+    vecs = _table(spark, sf_dir, "embeddings").select("vec_id", "label")
+    asks = vecs.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "label")
+    relevant = asks.join(vecs, "label").where("vec_id <> query_id").select("query_id", F.col("vec_id").alias("item_id"))
+    return evaluate.ir_metrics(_vector_rankings(spark, sf_dir, 100).select("query_id", "item_id", "rank"), relevant)
+
+
+def sequential_edges(spark, sf_dir):
+    return graph.sequential_edges(document_tasks(spark, sf_dir).items)
+
+
+def query_overlap_edges(spark, sf_dir):
+    own = document_tasks(spark, sf_dir)
+    return graph.query_overlap_edges(own.items, own.tasks)
+
+
+def entity_pairs(spark, sf_dir):
+    return graph.entity_pairs(conversation_tasks(spark, sf_dir).items)
+
+
+def entity_overlap_edges(spark, sf_dir):
+    return graph.entity_overlap_edges(document_tasks(spark, sf_dir).items)
+
+
+def bridge_edges(spark, sf_dir):
+    return graph.bridge_edges(conversation_tasks(spark, sf_dir).items)
+
+
+def graph_edges(spark, sf_dir):
+    own = conversation_tasks(spark, sf_dir)
+    return graph.build_graph(own.items, own.tasks, rules=PLAIN_RULES)
+
+
+def full_graph(spark, sf_dir):
+    own = conversation_tasks(spark, sf_dir)
+    return graph.build_graph(own.items, own.tasks)
+
+
+def graph_statistics(spark, sf_dir):
+    own = conversation_tasks(spark, sf_dir)
+    return graph.graph_statistics(own.items, own.tasks, graph.build_graph(own.items, own.tasks, rules=PLAIN_RULES))
+
+
+def _conversation_seeds(spark, sf_dir):
+    own = conversation_tasks(spark, sf_dir)
+    return own, lexical.bm25_scores(own.items, own.tasks), graph.build_graph(own.items, own.tasks, rules=PLAIN_RULES)
+
+
+def candidate_expansion(spark, sf_dir):
+    _, scores, edges = _conversation_seeds(spark, sf_dir)
+    return graph.expand(ranking.top_k(scores, 2), edges, 2)
+
+
+def graph_rerank(spark, sf_dir):
+    _, scores, edges = _conversation_seeds(spark, sf_dir)
+    return ranking.ranked(rerank.rerank(scores, edges)).select("task_id", "item_id", "score", "rank")
+
+
+def graph_rerank_full(spark, sf_dir):
+    own = conversation_tasks(spark, sf_dir)
+    return ranking.ranked(rerank.rerank(lexical.bm25_scores(own.items, own.tasks), graph.build_graph(own.items, own.tasks)))
+
+
+def retrieved_subgraph(spark, sf_dir):
+    _, scores, edges = _conversation_seeds(spark, sf_dir)
+    return ranking.retrieved_subgraph(edges, ranking.ranked(scores), 3)
+
+
+def connectivity(spark, sf_dir):
+    own, scores, edges = _conversation_seeds(spark, sf_dir)
+    return evaluate.connectivity(ranking.ranked(scores), own.gold, edges, 5)
+
+
+def path_metrics(spark, sf_dir):
+    own, scores, edges = _conversation_seeds(spark, sf_dir)
+    return evaluate.path_metrics(ranking.ranked(scores), own.gold_edges, edges, 5)
+
+
+def _conversation_importance(own):
+    raw = own.items.select("task_id", "item_id", F.length("text").alias("raw"))
+    return memory.cleaned_importance(raw)
+
+
+def memory_stream(spark, sf_dir):
+    own = conversation_tasks(spark, sf_dir)
+    signals = memory.memory_signals(own.items, lexical.bm25_scores(own.items, own.tasks), _conversation_importance(own), 0.99)
+    config = memory.MemoryConfig(recency_weight=0.05, importance_weight=0.1)
+    return ranking.ranked(memory.memory_scores(signals, config)).select("task_id", "item_id", "score", "rank")
+
+
+def memory_grid(spark, sf_dir):
+    own = conversation_tasks(spark, sf_dir)
+    grid = tuning.parameter_grid(tuning.MEMORY_GRID)
+    scored = tuning.memory_grid_scores(own.items, lexical.bm25_scores(own.items, own.tasks), _conversation_importance(own), grid)
+    return tuning.with_objective(tuning.evaluated(scored, own.gold))
+
+
+def rerank_grid(spark, sf_dir):
+    own, scores, edges = _conversation_seeds(spark, sf_dir)
+    scored = tuning.rerank_grid_scores(scores, edges, tuning.parameter_grid(tuning.RERANK_GRID))
+    return tuning.with_objective(tuning.evaluated(scored, own.gold))
+
+
+def tuned_rerank(spark, sf_dir):
+    return tuning.selected(rerank_grid(spark, sf_dir))
+
+
+def _event_scores(spark, sf_dir):
+    """A user's events as items; values as raw importance."""
+    events = _table(spark, sf_dir, "events").where("user_id is not null and value is not null")
+    return events.select(F.col("user_id").cast("string").alias("task_id"), F.col("event_id").cast("string").alias("item_id"), F.col("value").alias("raw"), F.col("user_id").alias("task_ord"), F.col("event_id").alias("item_ord"))
+
+
+def cleaned_importance(spark, sf_dir):
+    return memory.cleaned_importance(_event_scores(spark, sf_dir).select("task_id", "item_id", "raw")).select("task_id", "item_id", "score")
+
+
+def importance_distribution(spark, sf_dir):
+    return memory.distribution(memory.cleaned_importance(_event_scores(spark, sf_dir).select("task_id", "item_id", "raw")))
+
+
+def importance_shards(spark, sf_dir):
+    raw = _event_scores(spark, sf_dir)
+    scored = memory.cleaned_importance(raw.select("task_id", "item_id", "raw")).join(raw.select("item_id", "task_ord"), "item_id")
+    return memory.shard_distribution(scored)
+
+
+def importance_order_violations(spark, sf_dir):
+    cleaned = memory.cleaned_importance(_event_scores(spark, sf_dir).select("task_id", "item_id", "raw"))
+    return memory.order_violations(cleaned).agg(F.count(F.lit(1)).alias("n"))
+
+
+def duplicate_vectors(spark, sf_dir):
+    own = conversation_tasks(spark, sf_dir)
+    scored = _conversation_importance(own).withColumn("item_ord", T.node_number("item_id"))
+    return memory.duplicate_vectors(scored)
+
+
+def _pairs(spark, sf_dir):
+    own = document_tasks(spark, sf_dir)
+    scores = lexical.bm25_scores(own.items, own.tasks)
+    edges = graph.sequential_edges(own.items)
+    negatives = {"easy_random": pairs.easy_random(own.items, own.gold, 2), "hard_bm25": pairs.hard_by_rank(scores, own.gold, 2), "hard_graph_neighbor": pairs.graph_neighbours(edges, own.gold, 1)}
+    return own, pairs.training_pairs(own.gold, negatives)
+
+
+def training_pairs(spark, sf_dir):
+    return _pairs(spark, sf_dir)[1].select("task_id", "item_id", "label", "sample_type")
+
+
+def pair_summary(spark, sf_dir):
+    own, rows = _pairs(spark, sf_dir)
+    return pairs.pair_summary(rows, own.tasks)
+
+
+def contrastive_triples(spark, sf_dir):
+    return pairs.contrastive_triples(_pairs(spark, sf_dir)[1], 3)
+
+
+def message_edges(spark, sf_dir):
+    _, _, edges = _conversation_seeds(spark, sf_dir)
+    return rgcn.message_edges(edges)
+
+
+def node_features(spark, sf_dir):
+    own, scores, _ = _conversation_seeds(spark, sf_dir)
+    return rgcn.node_features(own.items, ranking.seed_signals(scores))
+
+
+def rgcn_ranking(spark, sf_dir):
+    own, scores, edges = _conversation_seeds(spark, sf_dir)
+    features = rgcn.node_features(own.items, ranking.seed_signals(scores))
+    return ranking.ranked(rgcn.rgcn_scores(features, rgcn.message_edges(edges), rgcn.RgcnModel()))
+
+
+def content_digests(spark, sf_dir):
+    items = conversation_tasks(spark, sf_dir).items
+    entry = F.struct(F.col("item_id").alias("id"), "position", F.col("source_ref").alias("source"), "text")
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("position", entry.alias("e")))), lambda x: x["e"])
+    return items.groupBy("task_id").agg(T.content_digest(ordered).alias("digest"))
+
+
+def split_assignment(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id")
+    return hashed_split(docs, "doc_id", {"train": 0.8, "dev": 0.1, "test": 0.1}).select("doc_id", "split")
+
+
+def violations(spark, sf_dir):
+    own, scores, edges = _conversation_seeds(spark, sf_dir)
+    ranked = ranking.ranked(scores)
+    return validate.violation_counts(
+        {
+            "alignment": validate.alignment(own.items, own.tasks.join(own.items, "task_id", "left_semi")),
+            "items": validate.item_rules(own.items, own.tasks),
+            "gold": validate.gold_rules(own.gold, own.items),
+            "graph": validate.graph_rules(edges, own.items),
+            "ranking": validate.ranking_rules(ranked, own.items),
+            "importance": validate.importance_rules(_conversation_importance(own), own.items),
+            "metrics": validate.metric_rules(evaluate.task_metrics(ranked, own.gold)),
+        }
+    )
+
+
+def method_table(spark, sf_dir):
+    """Metrics of several methods over the same tasks, one row each."""
+    own, scores, edges = _conversation_seeds(spark, sf_dir)
+    signals = memory.memory_signals(own.items, scores, _conversation_importance(own), 0.99)
+    methods = {"bm25": scores, "bm25_graph_rerank": rerank.rerank(scores, edges), "memory_stream": memory.memory_scores(signals)}
+    out = None
+    for name, s in methods.items():
+        rows = ranking.ranked(s.select("task_id", "item_id", "score")).withColumn("method", F.lit(name))
+        out = rows if out is None else out.unionByName(rows)
+    return evaluate.summary(evaluate.task_metrics(out, own.gold, ("method", "task_id")))
+
+
+def event_windows(spark, sf_dir):
+    from ..streaming.events import windowed_counts
+
+    return windowed_counts(_table(spark, sf_dir, "events"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    found = (
+        task_items, content_tokens, item_entities, idf_table, lexical_overlap, input_tokens, bm25_ranking, bm25_metrics, bm25_task_metrics, seed_signals, failure_cases,
+        dense_ranking, dense_ir_metrics, sequential_edges, query_overlap_edges, entity_pairs, entity_overlap_edges, bridge_edges, graph_edges, full_graph, graph_statistics,
+        candidate_expansion, graph_rerank, graph_rerank_full, retrieved_subgraph, connectivity, path_metrics, memory_stream, memory_grid, rerank_grid, tuned_rerank,
+        cleaned_importance, importance_distribution, importance_shards, importance_order_violations, duplicate_vectors, training_pairs, pair_summary, contrastive_triples,
+        message_edges, node_features, rgcn_ranking, content_digests, split_assignment, violations, method_table, event_windows,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)

@@ -1 +1 @@
-"""Spark-native evidence-tracing analytics."""
+"""Readers, writers and converters of question-answering records."""
