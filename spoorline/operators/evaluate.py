@@ -14,7 +14,7 @@ def _digits(x: Column) -> Column:
     return F.round(x, 6)
 
 
-def task_metrics(rankings: DataFrame, gold: DataFrame, keys: tuple[str, ...] = ("task_id",), ks: tuple[int, ...] = KS) -> DataFrame:
+def task_metrics(rankings: DataFrame, gold: DataFrame, keys: tuple[str, ...] = ("task_id",), ks: tuple[int, ...] = KS, rounded: bool = True) -> DataFrame:
     """Per task (and any further keys of ``rankings``): recall_k, f1_k, full_k and mrr.
 
     Precision divides by k, whatever was returned. Gold items that aren't
@@ -27,11 +27,12 @@ def task_metrics(rankings: DataFrame, gold: DataFrame, keys: tuple[str, ...] = (
     every = rankings.select(*keys).distinct().join(total, "task_id")
     rows = every.join(found, list(keys), "left")
     n = F.col("n_gold")
+    cut = _digits if rounded else (lambda x: x)
     cols = []
     for k in ks:
         h = F.coalesce(F.col(f"h{k}"), F.lit(0))
-        cols += [_digits(h / n).alias(f"recall_{k}"), _digits(F.lit(2.0) * h / (n + k)).alias(f"f1_{k}"), (h == n).cast("double").alias(f"full_{k}")]
-    return rows.select(*keys, "n_gold", *cols, _digits(F.coalesce(1.0 / F.col("first"), F.lit(0.0))).alias("mrr"))
+        cols += [cut(h / n).alias(f"recall_{k}"), cut(F.lit(2.0) * h / (n + k)).alias(f"f1_{k}"), (h == n).cast("double").alias(f"full_{k}")]
+    return rows.select(*keys, "n_gold", *cols, cut(F.coalesce(1.0 / F.col("first"), F.lit(0.0))).alias("mrr"))
 
 
 def reachable(start: Column, links: Column, steps: int) -> Column:

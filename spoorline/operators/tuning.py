@@ -49,7 +49,7 @@ def evaluated(scored: DataFrame, gold: DataFrame, k: int = 5) -> DataFrame:
     """(config_id, objective parts) from (config_id, task_id, item_id, score): one window and one aggregate for all."""
     w = W.partitionBy("config_id", "task_id").orderBy(F.desc("score"), F.asc("item_id"))
     rankings = scored.withColumn("rank", F.row_number().over(w))
-    per = task_metrics(rankings, gold, ("config_id", "task_id"))
+    per = task_metrics(rankings, gold, ("config_id", "task_id"), rounded=False)
     return per.groupBy("config_id").agg(*[F.round(F.avg(c), 6).alias(c) for c in ("full_5", "recall_5", "full_10", "mrr")])
 
 
@@ -57,6 +57,7 @@ def rerank_grid_scores(scores: DataFrame, edges: DataFrame, grid: list[dict]) ->
     """(config_id, task_id, item_id, score). Components are made once for each (seed_top_s, max_hops)."""
     spark = scores.sparkSession
     configs = grid_frame(spark, grid)
+    scores, edges = scores.persist(), edges.persist()  # read by every group of configurations
     out = None
     for top_s, hops in sorted({(p["seed_top_s"], p["max_hops"]) for p in grid}):
         parts = components(scores, edges, RerankConfig(seed_top_s=top_s, max_hops=hops))

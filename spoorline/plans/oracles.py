@@ -54,10 +54,11 @@ scores AS (SELECT task_id, item_id, round(coalesce(s, 0), 6) AS score FROM items
 ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY task_id ORDER BY score DESC, item_id) AS INTEGER) AS rank FROM scores)"""
 
 
-def task_metrics(source: str, keys: str = "task_id") -> str:
+def task_metrics(source: str, keys: str = "task_id", rounded: bool = True) -> str:
     ks = (2, 5, 10)
+    cut = (lambda x: f"round({x}, 6)") if rounded else (lambda x: x)
     cols = ", ".join(
-        f"round(h{k} / n_gold, 6) AS recall_{k}, round(2.0 * h{k} / (n_gold + {k}), 6) AS f1_{k}, CAST(h{k} = n_gold AS DOUBLE) AS full_{k}" for k in ks
+        f"{cut(f'h{k} / n_gold')} AS recall_{k}, {cut(f'2.0 * h{k} / (n_gold + {k})')} AS f1_{k}, CAST(h{k} = n_gold AS DOUBLE) AS full_{k}" for k in ks
     )
     on = " AND ".join(f"r.{k} = e.{k}" for k in keys.split(", "))
     group = ", ".join(f"e.{k}" for k in keys.split(", "))
@@ -65,7 +66,7 @@ def task_metrics(source: str, keys: str = "task_id") -> str:
     return f"""
 total AS (SELECT task_id, count(*) AS n_gold FROM gold GROUP BY ALL),
 every AS (SELECT DISTINCT {keys} FROM {source}),
-metrics AS (SELECT {keys}, n_gold, {cols}, round(coalesce(1.0 / first, 0.0), 6) AS mrr
+metrics AS (SELECT {keys}, n_gold, {cols}, {cut('coalesce(1.0 / first, 0.0)')} AS mrr
   FROM (SELECT {group}, n_gold, {counts}, min(CASE WHEN g.item_id IS NOT NULL THEN r.rank END) AS first
         FROM every e JOIN total t ON t.task_id = e.task_id JOIN {source} r ON {on} LEFT JOIN gold g ON g.task_id = r.task_id AND g.item_id = r.item_id GROUP BY {group}, n_gold))"""
 
@@ -181,7 +182,7 @@ GRID_OUT = """SELECT *, round(0.5 * full_5 + 0.3 * recall_5, 6) AS objective FRO
 RERANK_GRID_SQL = conv(
     *GRAPH, SEEDS, _grid(), _grid_parts(),
     "gscored AS (SELECT config_id, task_id, item_id, round(init + lq * query + ln_ * neighbor + lb * bridge, 6) AS score FROM allparts JOIN configs USING (s, h))",
-    GRID_EVAL, task_metrics("granked", "config_id, task_id"),
+    GRID_EVAL, task_metrics("granked", "config_id, task_id", False),
 ) + GRID_OUT
 MEMORY_VALUES = "mconfigs AS (SELECT * FROM (VALUES (0, 0.0), (1, 0.01), (2, 0.05), (3, 0.1), (4, 0.2), (5, 0.5), (6, 1.0)) AS v(config_id, wi))"
 
@@ -194,7 +195,7 @@ SQL = {
     "input_tokens": doc() + f"SELECT task_id, CAST(sum(len({tokens('t')})) AS BIGINT) AS input_tokens FROM (SELECT task_id, text AS t FROM items UNION ALL SELECT task_id, question FROM tasks) GROUP BY task_id",
     "bm25_ranking": doc(BM25) + "SELECT task_id, item_id, score, rank FROM ranked",
     "bm25_task_metrics": doc(BM25, task_metrics("ranked")) + "SELECT * FROM metrics",
-    "bm25_metrics": doc(BM25, task_metrics("ranked")) + f"SELECT 'bm25' AS method, count(*) AS n_tasks, {MEANS} FROM metrics",
+    "bm25_metrics": doc(BM25, task_metrics("ranked", rounded=False)) + f"SELECT 'bm25' AS method, count(*) AS n_tasks, {MEANS} FROM metrics",
     "seed_signals": doc(BM25) + "SELECT task_id, item_id, score, rank, round(CASE WHEN count(*) OVER (PARTITION BY task_id) = 1 THEN 0.0 ELSE (rank - 1) / (count(*) OVER (PARTITION BY task_id) - 1) END, 6) AS percentile FROM ranked",
     "failure_cases": doc(BM25) + "SELECT task_id, array_to_string(list_sort(list(item_id)), ',') AS missing, any_value(n) AS n_gold FROM gold JOIN (SELECT task_id, count(*) AS n FROM gold GROUP BY ALL) USING (task_id) JOIN ranked USING (task_id, item_id) WHERE rank > 5 GROUP BY task_id",
     "dense_ranking": f"WITH {VECTORS} SELECT * FROM vranked WHERE rank <= 10",
@@ -219,7 +220,7 @@ qreach AS (SELECT task_id, 'q' AS node FROM tasks UNION SELECT r.task_id, u.targ
     + """SELECT g.task_id, CAST(bool_and(t.item_id IS NOT NULL AND r.node IS NOT NULL) AS DOUBLE) AS connected_5, CAST(bool_and(t.item_id IS NOT NULL AND q.node IS NOT NULL) AS DOUBLE) AS query_connected_5
  FROM gold g LEFT JOIN top t ON t.task_id = g.task_id AND t.item_id = g.item_id LEFT JOIN reach r ON r.task_id = g.task_id AND r.node = g.item_id LEFT JOIN qreach q ON q.task_id = g.task_id AND q.node = g.item_id GROUP BY g.task_id""",
     "memory_stream": conv(BM25, CONV_RAW, CLEANED, SIGNALS, "ms AS (SELECT task_id, item_id, round(relevance + 0.1 * importance + 0.05 * recency, 6) AS score FROM signals)") + "SELECT *, CAST(row_number() OVER (PARTITION BY task_id ORDER BY score DESC, item_id) AS INTEGER) AS rank FROM ms",
-    "memory_grid": conv(BM25, CONV_RAW, CLEANED, SIGNALS, MEMORY_VALUES, "gscored AS (SELECT config_id, task_id, item_id, round(relevance + wi * importance, 6) AS score FROM signals, mconfigs)", GRID_EVAL, task_metrics("granked", "config_id, task_id")) + GRID_OUT,
+    "memory_grid": conv(BM25, CONV_RAW, CLEANED, SIGNALS, MEMORY_VALUES, "gscored AS (SELECT config_id, task_id, item_id, round(relevance + wi * importance, 6) AS score FROM signals, mconfigs)", GRID_EVAL, task_metrics("granked", "config_id, task_id", False)) + GRID_OUT,
     "rerank_grid": RERANK_GRID_SQL,
     "tuned_rerank": f"SELECT * FROM ({RERANK_GRID_SQL}) ORDER BY objective DESC, full_10 DESC, config_id LIMIT 1",
     "cleaned_importance": f"WITH {EVENT_RAW}, {CLEANED} SELECT task_id, item_id, score FROM cleaned",
@@ -240,6 +241,6 @@ negs AS (SELECT task_id, item_id FROM (SELECT *, row_number() OVER (PARTITION BY
     "violations": 'SELECT unnest([\'alignment\', \'items\', \'gold\', \'graph\', \'ranking\', \'importance\', \'metrics\']) AS "check", CAST(0 AS BIGINT) AS n',
     "method_table": conv(*GRAPH, RERANK, CONV_RAW, CLEANED, SIGNALS, """
 methods AS (SELECT 'bm25' AS method, task_id, item_id, score FROM scores UNION ALL SELECT 'bm25_graph_rerank', task_id, item_id, score FROM reranked UNION ALL SELECT 'memory_stream', task_id, item_id, round(relevance + 0.01 * importance, 6) FROM signals),
-mranked AS (SELECT *, row_number() OVER (PARTITION BY method, task_id ORDER BY score DESC, item_id) AS rank FROM methods)""", task_metrics("mranked", "method, task_id")) + f"SELECT method, count(*) AS n_tasks, {MEANS} FROM metrics GROUP BY method",
+mranked AS (SELECT *, row_number() OVER (PARTITION BY method, task_id ORDER BY score DESC, item_id) AS rank FROM methods)""", task_metrics("mranked", "method, task_id", False)) + f"SELECT method, count(*) AS n_tasks, {MEANS} FROM metrics GROUP BY method",
     "event_windows": "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events WHERE ts IS NOT NULL GROUP BY 1, 2",
 }

@@ -63,7 +63,7 @@ def bm25_ranking(spark, sf_dir):
 def bm25_metrics(spark, sf_dir):
     own = document_tasks(spark, sf_dir)
     ranked = ranking.ranked(lexical.bm25_scores(own.items, own.tasks))
-    return evaluate.summary(evaluate.task_metrics(ranked, own.gold).withColumn("method", F.lit("bm25")))
+    return evaluate.summary(evaluate.task_metrics(ranked, own.gold, rounded=False).withColumn("method", F.lit("bm25")))
 
 
 def bm25_task_metrics(spark, sf_dir):
@@ -144,8 +144,9 @@ def graph_statistics(spark, sf_dir):
 
 
 def _conversation_seeds(spark, sf_dir):
+    """Seeds and edges are read by several branches of a query, so they are kept."""
     own = conversation_tasks(spark, sf_dir)
-    return own, lexical.bm25_scores(own.items, own.tasks), graph.build_graph(own.items, own.tasks, rules=PLAIN_RULES)
+    return own, lexical.bm25_scores(own.items, own.tasks).persist(), graph.build_graph(own.items, own.tasks, rules=PLAIN_RULES).persist()
 
 
 def candidate_expansion(spark, sf_dir):
@@ -312,7 +313,7 @@ def method_table(spark, sf_dir):
     for name, s in methods.items():
         rows = ranking.ranked(s.select("task_id", "item_id", "score")).withColumn("method", F.lit(name))
         out = rows if out is None else out.unionByName(rows)
-    return evaluate.summary(evaluate.task_metrics(out, own.gold, ("method", "task_id")))
+    return evaluate.summary(evaluate.task_metrics(out, own.gold, ("method", "task_id"), rounded=False))
 
 
 def event_windows(spark, sf_dir):
