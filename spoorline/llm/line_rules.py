@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 
 from .common import let
 
-SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
@@ -34,43 +33,46 @@ BOILERPLATE = (
     "cookie policy", "privacy policy", "terms of use", "terms of service", "terms and conditions", "use of cookies", "uses cookies", "enable javascript", "javascript is disabled",
     "lorem ipsum", "click here", "read more", "sign in", "sign up", "log in", "subscribe to our", "share this", "follow us on", "back to top", "skip to content",
 )
-_WORD = r"[^\x20\x09-\x0D]"
-_SPACE_RUN = r"[\x20\x09-\x0D]+"
-_BLANKS = " \t\n\x0b\x0c\r"
-
-
-def _word_chars(text: Column) -> Column:
-    return F.length(F.translate(text, _BLANKS, ""))
-
-
-def _symbols(text: Column) -> Column:
-    return F.length(text) - F.length(F.translate(text, SYMBOLS, ""))
+_SPACE = r"[\x20\x09-\x0D]"
+_SPACE_RUN = _SPACE + "+"
+_SYMBOL = r"[#*$%&|<>]"
+
+
+def measured(line: Column) -> Column:
+    """(l, ws, syms, chars): a line, its words, its symbols and its word characters."""
+    return F.struct(
+        line.alias("l"),
+        F.filter(F.split(line, _SPACE_RUN), lambda w: w != "").alias("ws"),
+        F.regexp_count(line, F.lit(_SYMBOL)).alias("syms"),
+        (F.length(line) - F.regexp_count(line, F.lit(_SPACE))).alias("chars"),
+    )
 
 
 def line_fails(line: Column) -> Column:
-    """Whether a line with at least one word is removed."""
-    words = F.regexp_count(line, F.lit(_WORD + "+"))
-    chars = _word_chars(line)
-    letters = F.length(F.regexp_replace(line, r"[^\p{L}]+", ""))
-    capitals = F.length(F.regexp_replace(line, r"[^\p{Lu}]+", ""))
-    bangs = F.regexp_count(line, F.lit(r"[!?]{2,}"))
-    pipes = F.regexp_count(line, F.lit(r"[|»›•·](?:[\x20\x09-\x0D]|$)"))
-    lowered = F.lower(line)
-    stutters = let(F.split(line, _SPACE_RUN), lambda ws: F.size(F.filter(ws, lambda w, i: (i > 0) & (w == F.get(ws, i - 1)))))
-    boiler = F.lit(False)
-    for phrase in BOILERPLATE:
-        boiler = boiler | F.contains(lowered, F.lit(phrase))
+    """Whether a measured line with at least one word is removed."""
+    text, ws, chars = line["l"], line["ws"], line["chars"]
+    words = F.size(ws)
+    bangs = F.regexp_count(text, F.lit(r"[!?]{2,}"))
+    pipes = F.regexp_count(text, F.lit(r"[|»›•·](?:[\x20\x09-\x0D]|$)"))
+    stutters = F.size(F.filter(ws, lambda w, i: (i > 0) & (w == F.get(ws, i - 1))))
     return (
-        (_symbols(line) * 100 > chars * MAX_SYMBOL_PERCENT)
-        | ((bangs >= 2) & (bangs * 3 >= words))
-        | ((pipes >= 2) & (pipes * 4 >= words))
-        | ((letters >= 20) & (capitals * 10 > letters * 6))
-        | (boiler & (words <= 25))
+        (line["syms"] * 100 > chars * MAX_SYMBOL_PERCENT)
+        | let(bangs, lambda n: (n >= 2) & (n * 3 >= words))
+        | let(pipes, lambda n: (n >= 2) & (n * 4 >= words))
+        | ((chars >= 20) & (F.regexp_count(text, F.lit(r"\p{Lu}")) * 10 > chars * 6))
+        | ((words <= 25) & let(F.lower(text), _boilerplate))
         | ((words >= 6) & (stutters * 3 > words))
-        | ((words <= 2) & ~line.rlike(r"[.!?…:;\"'”’)][\x20\x09-\x0D]*$"))
+        | ((words <= 2) & ~text.rlike(r"[.!?…:;\"'”’)][\x20\x09-\x0D]*$"))
     )
 
 
+def _boilerplate(lowered: Column) -> Column:
+    out = F.lit(False)
+    for phrase in BOILERPLATE:
+        out = out | F.contains(lowered, F.lit(phrase))
+    return out
+
+
 def repeated_window_words(words: Column, window: int = WINDOW) -> Column:
     """Number of words that stand in a window of ``window`` words found twice or more."""
 
@@ -109,44 +111,39 @@ def clean_lines(docs: DataFrame, text_col: str = "text") -> DataFrame:
     ``n_repeat_words`` are long; ``clean_text`` is the text without its failed
     lines (lines without a word stay).
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    words = F.filter(F.split(text, _SPACE_RUN), lambda w: w != "")
-    lines = F.split(text, "\n")
-    has_word = lambda line: line.rlike(_WORD)
-
-    def measures(ws: Column) -> Column:
-        return F.struct(F.size(ws).cast("long").alias("n"), repeated_window_words(ws).cast("long").alias("r"))
-
-    def judged(ls: Column) -> Column:
-        worded = F.filter(ls, has_word)
-        failed = F.transform(ls, lambda x: F.struct(x.alias("l"), (has_word(x) & line_fails(x)).alias("f")))
-        both = let(worded, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long"))
-        return let(
-            failed,
-            lambda rows: F.struct(
-                both.alias("dup"),
-                F.aggregate(F.filter(rows, lambda r: r["f"]), F.lit(0).cast("long"), lambda acc, r: acc + _word_chars(r["l"])).alias("lost"),
-                F.array_join(F.transform(F.filter(rows, lambda r: ~r["f"]), lambda r: r["l"]), "\n").alias("clean"),
-            ),
+    lines = F.transform(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"), measured)
+    total = lambda rows, field: F.aggregate(rows, F.lit(0).cast("long"), lambda acc, r: acc + r[field])
+
+    def judged(rows: Column) -> Column:
+        worded = F.transform(F.filter(rows, lambda r: F.size(r["ws"]) > 0), lambda r: r["l"])
+        marked = F.transform(rows, lambda r: F.struct(r["l"].alias("l"), r["chars"].alias("chars"), ((F.size(r["ws"]) > 0) & line_fails(r)).alias("f")))
+        words = F.flatten(F.transform(rows, lambda r: r["ws"]))
+        return F.struct(
+            let(words, lambda ws: F.struct(F.size(ws).cast("long").alias("n"), repeated_window_words(ws).cast("long").alias("again"))).alias("w"),
+            let(worded, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")).alias("dup"),
+            total(rows, "chars").alias("chars"),
+            total(rows, "syms").alias("syms"),
+            let(
+                marked,
+                lambda ms: F.struct(
+                    total(F.filter(ms, lambda r: r["f"]), "chars").alias("lost"),
+                    F.array_join(F.transform(F.filter(ms, lambda r: ~r["f"]), lambda r: r["l"]), "\n").alias("clean"),
+                ),
+            ).alias("m"),
         )
 
-    out = docs.withColumns(
-        {
-            "__w": let(words, measures),
-            "__l": let(lines, judged),
-            "word_chars": _word_chars(text).cast("long"),
-            "n_symbols": _symbols(text).cast("long"),
-        }
-    )
+    out = docs.withColumn("__l", let(lines, judged))
     out = out.withColumns(
         {
-            "n_words": F.col("__w.n"),
-            "n_repeat_words": F.col("__w.r"),
+            "n_words": F.col("__l.w.n"),
+            "word_chars": F.col("__l.chars"),
+            "n_symbols": F.col("__l.syms"),
             "n_dup_lines": F.col("__l.dup"),
-            "lost_chars": F.col("__l.lost"),
-            "clean_text": F.col("__l.clean"),
+            "n_repeat_words": F.col("__l.w.again"),
+            "lost_chars": F.col("__l.m.lost"),
+            "clean_text": F.col("__l.m.clean"),
         }
-    ).drop("__w", "__l")
+    ).drop("__l")
     failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT)
     out = out.withColumn("base_failed", failed)
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("lost_chars") * 100 <= F.col("word_chars") * MAX_LOSS_PERCENT))
@@ -169,13 +166,13 @@ d AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before
       FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, gram) AS n FROM g) WHERE n > 1),
 r AS (SELECT doc_id, CAST(sum(least({WINDOW}, i - coalesce(before, -{WINDOW}))) AS BIGINT) AS n FROM d GROUP BY doc_id),
 l AS (SELECT doc_id, x, {count('x', word + '+')} AS words, length(regexp_replace(x, '{blank}', '', 'g')) AS chars,
-             length(regexp_replace(x, '[^\\p{{L}}]+', '', 'g')) AS letters, length(regexp_replace(x, '[^\\p{{Lu}}]+', '', 'g')) AS capitals,
+             length(regexp_replace(x, '[^\\p{{Lu}}]+', '', 'g')) AS capitals,
              len(list_filter(regexp_split_to_array(x, '{blank}+'), lambda w, i: i > 1 AND w = regexp_split_to_array(x, '{blank}+')[i - 1])) AS stutters,
              {count('x', '[!?]{2,}')} AS bangs, {count('x', f'[|»›•·](?:{blank}|$)')} AS pipes, {count('x', syms)} AS syms
       FROM (SELECT doc_id, unnest(ls) AS x FROM w)),
 f AS (SELECT doc_id, CAST(sum(chars) AS BIGINT) AS lost FROM l
       WHERE syms * 100 > chars * {MAX_SYMBOL_PERCENT} OR (bangs >= 2 AND bangs * 3 >= words) OR (pipes >= 2 AND pipes * 4 >= words)
-         OR (letters >= 20 AND capitals * 10 > letters * 6) OR (words <= 25 AND ({boiler})) OR (words >= 6 AND stutters * 3 > words)
+         OR (chars >= 20 AND capitals * 10 > chars * 6) OR (words <= 25 AND ({boiler})) OR (words >= 6 AND stutters * 3 > words)
          OR (words <= 2 AND NOT regexp_matches(x, '{quote}{blank}*$')) GROUP BY doc_id),
 m AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '{blank}+', '', 'g')) AS BIGINT) AS word_chars,
              CAST({count('text', syms)} AS BIGINT) AS n_symbols, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
