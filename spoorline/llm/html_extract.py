@@ -193,15 +193,16 @@ def extract(html: str | None, sigma: float = 1.0) -> tuple[str, int, int]:
         return "", 0, 0
     ratios = [(len(t) - min(n, len(t))) / max(1, tags) for t, tags, _, _, _, n in lines]
     smooth = gaussian_smooth(ratios, sigma)
-    rows = list(zip(lines, smooth, strict=True))
+    # A line counts for no more than its own ratio, whatever its neighbours lend it.
+    rows = [(x, min(r, s)) for x, r, s in zip(lines, ratios, smooth, strict=True)]
     for flag in (3, 4):  # what an article or main element holds, where there is one
         if any(x[flag] for x, _ in rows):
             rows = [r for r in rows if r[0][flag]]
             break
-    cut = two_cluster_threshold([s for _, s in rows])
+    cut = two_cluster_threshold([v for _, v in rows])
     best: dict[int, float] = {}
-    for x, s in rows:
-        best[x[2]] = max(best.get(x[2], 0.0), s)
+    for x, v in rows:
+        best[x[2]] = max(best.get(x[2], 0.0), v)
     kept = [x[0] for x, _ in rows if best[x[2]] >= cut]
     return "\n".join(kept), len(kept), len(lines)
 
