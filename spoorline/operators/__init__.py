@@ -1 +1 @@
-"""Spark-native evidence-tracing analytics."""
+"""Operators over tasks, items, graphs and rankings: functions from DataFrames to DataFrames."""

@@ -6,11 +6,16 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
+from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.text import min_max, round_half_up
 
-_TASK = W.partitionBy("task_id")
+
+
+def _task() -> WindowSpec:
+    """All candidates of a task. A window needs a session, so it isn't made at import."""
+    return W.partitionBy("task_id")
 
 
 @dataclass(frozen=True)
@@ -29,9 +34,9 @@ def memory_signals(items: DataFrame, relevance: DataFrame, importance: DataFrame
     """(task_id, item_id, relevance, recency, importance), each scaled to 0..1 within its task."""
     keys = ["task_id", "item_id"]
     rows = items.select(*keys, "position").join(relevance.select(*keys, F.col("score").alias("rel")), keys).join(importance.select(*keys, F.col("score").alias("imp")), keys)
-    age = F.max("position").over(_TASK) - F.col("position")
+    age = F.max("position").over(_task()) - F.col("position")
     rows = rows.withColumn("rec", F.pow(F.lit(decay), age))
-    return rows.select(*keys, *[min_max(F.col(c).cast("double"), _TASK).alias(n) for c, n in (("rel", "relevance"), ("rec", "recency"), ("imp", "importance"))])
+    return rows.select(*keys, *[min_max(F.col(c).cast("double"), _task()).alias(n) for c, n in (("rel", "relevance"), ("rec", "recency"), ("imp", "importance"))])
 
 
 def memory_scores(signals: DataFrame, config: MemoryConfig = MemoryConfig()) -> DataFrame:
@@ -43,8 +48,8 @@ def memory_scores(signals: DataFrame, config: MemoryConfig = MemoryConfig()) ->
 
 def cleaned_importance(raw: DataFrame) -> DataFrame:
     """(task_id, item_id, raw, score): levels of a task's distinct raw scores spread over 1..10; one level gives 5."""
-    level = F.dense_rank().over(_TASK.orderBy("raw"))
-    rows = raw.withColumn("level", level).withColumn("levels", F.max("level").over(_TASK))
+    level = F.dense_rank().over(_task().orderBy("raw"))
+    rows = raw.withColumn("level", level).withColumn("levels", F.max("level").over(_task()))
     spread = 1 + round_half_up(9.0 * (F.col("level") - 1) / F.nullif(F.col("levels") - 1, F.lit(0)))
     return rows.select("task_id", "item_id", "raw", F.coalesce(spread, F.lit(5)).cast("int").alias("score"))
 
@@ -77,6 +82,6 @@ def duplicate_vectors(scores: DataFrame) -> DataFrame:
 
 def order_violations(cleaned: DataFrame) -> DataFrame:
     """Neighbours in raw order whose cleaned scores fall, or differ although the raw scores are equal."""
-    w = _TASK.orderBy("raw", "item_id")
+    w = _task().orderBy("raw", "item_id")
     step = cleaned.withColumns({"raw0": F.lag("raw").over(w), "score0": F.lag("score").over(w)})
     return step.where((F.col("score") < F.col("score0")) | ((F.col("raw") == F.col("raw0")) & (F.col("score") != F.col("score0"))))

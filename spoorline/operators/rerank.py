@@ -7,12 +7,17 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
+from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.text import min_max
 from .graph import QUERY_NODE, both_ways, expand
 
-_TASK = W.partitionBy("task_id")
+
+
+def _task() -> WindowSpec:
+    """All candidates of a task. A window needs a session, so it isn't made at import."""
+    return W.partitionBy("task_id")
 
 
 @dataclass(frozen=True)
@@ -42,8 +47,8 @@ def components(scores: DataFrame, edges: DataFrame, config: RerankConfig) -> Dat
     Depends on seed_top_s, max_hops and the type weights only, so a grid over
     the lambdas reuses it.
     """
-    seeds = scores.withColumn("norm", min_max(F.col("score"), _TASK))
-    w = _TASK.orderBy(F.desc("norm"), F.asc("item_id"))
+    seeds = scores.withColumn("norm", min_max(F.col("score"), _task()))
+    w = _task().orderBy(F.desc("norm"), F.asc("item_id"))
     top = seeds.withColumn("r", F.row_number().over(w)).where(F.col("r") <= config.seed_top_s)
     allowed = expand(top, edges, config.max_hops).withColumn("gate", F.lit(1.0))
     query = edges.where((F.col("source") == QUERY_NODE) & (F.col("edge_type") == "query_overlap")).groupBy("task_id", F.col("target").alias("item_id")).agg(F.sum("weight").alias("query"))
@@ -61,7 +66,7 @@ def components(scores: DataFrame, edges: DataFrame, config: RerankConfig) -> Dat
     rows = seeds.join(allowed, keys, "left").join(query, keys, "left").join(gathered, keys, "left")
     gated = {c: F.coalesce(F.col(c), F.lit(0.0)) * F.coalesce(F.col("gate"), F.lit(0.0)) for c in ("query", "neighbor", "bridge")}
     rows = rows.withColumns(gated)
-    return rows.select(*keys, F.col("norm").alias("init"), *[min_max(F.col(c), _TASK).alias(c) for c in gated])
+    return rows.select(*keys, F.col("norm").alias("init"), *[min_max(F.col(c), _task()).alias(c) for c in gated])
 
 
 def combined(parts: DataFrame, config: RerankConfig):

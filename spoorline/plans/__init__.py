@@ -1 +1 @@
-"""Spark-native evidence-tracing analytics."""
+"""Tasks over the tables at hand, and the registry of queries."""

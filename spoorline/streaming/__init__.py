@@ -1 +1 @@
-"""Spark-native evidence-tracing analytics."""
+"""Structured Streaming over events."""
