@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -33,6 +34,19 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder as Parquet and go on from the files.
+
+    For large tables: columns are compressed, which checkpoints aren't. The
+    files live as long as that folder's other contents.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def ascii_lower(col: Column | str) -> Column:
     """Lower-case A-Z and nothing else."""
     return F.translate(col, UPPER, UPPER.lower())
