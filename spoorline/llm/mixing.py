@@ -33,6 +33,8 @@ POWERS = {"source": 0.5, "lang": 0.7, "topic": 0.9}
 SWEEPS = 8
 #: Share of all tokens that is sampled.
 BUDGET = 0.6
+#: Most cells that are broadcast to the documents.
+BROADCAST_CELLS = 100_000
 _WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -130,7 +132,10 @@ def mix(
     cells = saved(own.groupBy(*DIMS).agg(F.sum("n_tokens").alias("tokens")))
     p = saved(probabilities(raked(cells, targets, sweeps), budget))
     draw = F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.col(text_col), F.lit("")).cast("binary")), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
-    return own.join(p, list(DIMS), "left").withColumn("kept", draw < F.coalesce("p", F.lit(1.0)))
+    # Few cells go to every task, so no document moves; beyond that the join deals documents by cell.
+    few = p.count() <= BROADCAST_CELLS
+    joined = own.withColumn("__draw", draw).join(F.broadcast(p) if few else p, list(DIMS), "left")
+    return joined.withColumn("kept", F.col("__draw") < F.coalesce("p", F.lit(1.0))).drop("__draw")
 
 
 def oracle_sql() -> str:
