@@ -2,7 +2,7 @@
 
 1. ``quality``: importance resampling drops what the labelled good documents don't resemble.
 2. ``language``: a byte network drops texts whose language it can't tell (no letters, or under even odds).
-3. ``near_duplicates``: of each SimHash component one document stays, the one with the smallest id.
+3. ``near_duplicates``: documents whose 5-word shingles have a Jaccard similarity of 0.8 or more link; of each component the one with the smallest id stays.
 4. ``mixing``: documents are sampled towards target weights of source, language and topic.
 5. ``packing``: what is left is tokenised and packed; the result has one row per piece.
 
@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spoorline.llm import importance, langid, mixing, packing, simhash
+from spoorline.llm import importance, jaccard, langid, mixing, packing
 from spoorline.llm.common import doc_bucket, read_table, saved
 
 #: A document stays if its language has at least this probability.
@@ -40,9 +40,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    told = simhash.near_duplicates(docs)
-    first = docs.dropDuplicates(["doc_id"])  # rows of equal id are one document
-    return _kept_by_id(first, told.where("doc_id = component_id"))
+    return jaccard.first_of_each(docs).select(docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,0 +1,194 @@
+"""Near-duplicates by the exact Jaccard similarity of word shingles.
+
+A document is the set of its runs of ``SHINGLE`` words, as 64-bit hashes. Two
+documents link if their sets' Jaccard similarity is 4/5 or more; of each
+component of links one document stays.
+
+No pair is missed: in any one order of all shingles, two sets with similarity t
+share one of the first n - ceil(t n) + 1 shingles of both (prefix filtering).
+The order is by hash, with shingles that many prefixes hold last, so that
+common lines and passages bring together only texts that consist of them.
+
+Equal sets are folded first. Then a bucket (the sets with one prefix shingle)
+is compared with one of its members; what these links leave in different
+components is compared pair by pair, as far as sizes and parities of hashed
+cells don't rule a link out. Every candidate is verified on the texts.
+
+Defined results: texts without a word are equal to each other; of a component
+the smallest doc_id stays, a null one only where there is no other; rows of
+equal id are judged by their texts; equal rows count once.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from .common import saved, written
+from .components import connected_components
+from .simhash import shingle_hashes
+
+SHINGLE = 5
+#: A shingle that more prefixes hold than this goes last in the order.
+HEAVY = 200
+#: Words of 64 cells, at least, whose parities bound the difference of two sets.
+PARITY_WORDS = 16
+_CENTRES = 4
+
+
+def shingle_set(text: str | None) -> np.ndarray:
+    return np.unique(shingle_hashes(text, SHINGLE).view(np.int64))
+
+
+def prefix(shingles: np.ndarray, heavy: np.ndarray) -> np.ndarray:
+    """The first n - ceil(4 n / 5) + 1 shingles of a set, heavy ones last."""
+    n = len(shingles)
+    if len(heavy):
+        last = heavy[np.minimum(np.searchsorted(heavy, shingles), len(heavy) - 1)] == shingles
+        shingles = np.concatenate([shingles[~last], shingles[last]])
+    return shingles[: n - (4 * n + 4) // 5 + 1]
+
+
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """Parity of the number of shingles in each cell, two cells a shingle or more; sets differ by at least as many shingles as cells."""
+    cells = max(64 * PARITY_WORDS, 1 << max(0, 2 * len(shingles) - 1).bit_length())
+    odd = np.bincount(shingles & (cells - 1), minlength=cells) & 1
+    return np.packbits(odd.astype(bool)).view(np.uint64)
+
+
+def folded(bits: np.ndarray, words: int = PARITY_WORDS) -> np.ndarray:
+    """The same parities over fewer cells."""
+    return np.bitwise_xor.reduce(bits.reshape(-1, words), axis=0)
+
+
+def cells_apart(a: np.ndarray, b: np.ndarray) -> int:
+    words = min(len(a), len(b))
+    return int(np.bitwise_count(folded(a, words) ^ folded(b, words)).sum())
+
+
+def alike(a: np.ndarray, b: np.ndarray) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 9 * both >= 4 * (len(a) + len(b))
+
+
+def bucket_pairs(node: np.ndarray, size: np.ndarray, root: np.ndarray, bits: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of a bucket in different components that sizes and parities allow to link."""
+    for i in range(len(node) - 1):
+        n, m = size[i], size[i + 1 :]
+        may = np.flatnonzero((root[i + 1 :] != root[i]) & (5 * np.minimum(n, m) >= 4 * np.maximum(n, m))) + i + 1
+        may = may[9 * np.bitwise_count(bits[may] ^ bits[i]).sum(1, dtype=np.int64) <= n + size[may]]
+        if len(may):
+            yield np.minimum(node[i], node[may]), np.maximum(node[i], node[may])
+
+
+def _keys(unique: DataFrame, heavy: np.ndarray) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t.as_py()) for t in batch.column(1)]
+            own = [prefix(x, heavy) if len(x) else x for x in sets]
+            count = [len(x) for x in own]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *own])), pa.array(np.repeat(np.asarray(batch.column(0)), count))], ["key", "node"])
+
+    return unique.select("__set", "__text").mapInArrow(run, "key long, node long")
+
+
+def _sketches(unique: DataFrame) -> DataFrame:
+    """(node, size, bits) of each set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t.as_py()) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([parities(x).tobytes() for x in sets], pa.binary())], ["node", "size", "bits"])
+
+    return unique.select("__set", "__text").mapInArrow(run, "node long, size long, bits binary")
+
+
+def _possible(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) that sizes and parities allow to link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m = np.asarray(batch.column(2)), np.asarray(batch.column(3))
+            apart = [cells_apart(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)) for x, y in zip(batch.column(4), batch.column(5), strict=True)]
+            keep = (5 * np.minimum(n, m) >= 4 * np.maximum(n, m)) & (9 * np.array(apart, np.int64) <= n + m)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep))
+
+    left, right = (sketches.select(F.col("node").alias(c), F.col("size").alias("n" + c), F.col("bits").alias("x" + c)) for c in "ab")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "xa", "xb").mapInArrow(run, "a long, b long")
+
+
+def _verified(pairs: DataFrame, unique: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) that link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            last, own, keep = None, None, []
+            for a, b in zip(batch.column(2), batch.column(3), strict=True):
+                a = a.as_py()
+                if a != last or own is None:
+                    last, own = a, shingle_set(a)
+                keep.append(alike(own, shingle_set(b.as_py())))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    left = unique.select(F.col("__set").alias("a"), F.col("__text").alias("ta"))
+    right = unique.select(F.col("__set").alias("b"), F.col("__text").alias("tb"))
+    return saved(pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long"))
+
+
+def _open_pairs(shared: DataFrame, roots: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Candidate pairs in buckets that hold several components."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if not sum(b.num_rows for b in held):
+            return
+        table = pa.Table.from_batches(held)
+        key, node, size, root = (table[c].to_numpy() for c in ("key", "node", "size", "root"))
+        bits = np.frombuffer(b"".join(table["bits"].to_pylist()), np.uint64).reshape(-1, PARITY_WORDS)
+        cuts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            for a, b in bucket_pairs(node[lo:hi], size[lo:hi], root[lo:hi], bits[lo:hi]):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    w = W.partitionBy("key")
+    tagged = shared.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    mixed = tagged.withColumns({"lo": F.min("root").over(w), "hi": F.max("root").over(w)}).where("lo <> hi").select("key", "node", "root")
+    short = F.arrow_udf(lambda bits: pa.array([folded(np.frombuffer(x.as_py(), np.uint64)).tobytes() for x in bits], pa.binary()), "binary")
+    full = mixed.join(sketches.select("node", "size", short("bits").alias("bits")), "node").repartition("key").sortWithinPartitions("key")
+    return saved(full.mapInArrow(run, "a long, b long").distinct())
+
+
+def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each component of near-duplicates, with the columns of ``docs``."""
+
+    @F.arrow_udf("long")
+    def digest(texts: pa.Array) -> pa.Array:
+        return pa.array(np.fromiter((xxhash.xxh64_intdigest(shingle_set(t.as_py()).tobytes()) for t in texts), np.uint64, len(texts)).view(np.int64))
+
+    rank = F.struct(F.col(id_col).isNull(), F.col(id_col), F.xxhash64(*docs.columns))
+    one = docs.withColumn("__set", digest(text_col)).groupBy("__set").agg(F.min_by(F.struct(*docs.columns), rank).alias("__row"))
+    unique = written(one.withColumn("__text", F.col(f"__row.{text_col}")))
+    counts = _keys(unique, np.zeros(0, np.int64)).groupBy("key").count().where(F.col("count") > HEAVY)
+    heavy = np.sort(counts.select("key").toArrow()["key"].to_numpy())
+
+    w = W.partitionBy("key")
+    centre = F.min_by("node", F.xxhash64("node", F.pmod("key", F.lit(_CENTRES)))).over(w)
+    shared = saved(_keys(unique, heavy).withColumns({"n": F.count(F.lit(1)).over(w), "centre": centre}).where("n > 1").drop("n"))
+    stars = shared.where("node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
+    sketches = saved(_sketches(unique).join(shared.select("node").distinct(), "node", "left_semi"))
+    links = _verified(_possible(stars, sketches), unique)
+    roots = connected_components(links)
+    links = links.unionByName(_verified(_possible(_open_pairs(shared, roots, sketches), sketches), unique))
+
+    roots = saved(connected_components(links))
+    order = F.struct(F.col(f"__row.{id_col}").isNull(), F.col(f"__row.{id_col}"), F.col("__set"))
+    members = saved(unique.join(roots.withColumnRenamed("node", "__set"), "__set").select("__set", "root", order.alias("order")))
+    stays = members.groupBy("root").agg(F.min_by("__set", "order").alias("__set"))
+    gone = members.join(stays, "__set", "left_anti").select("__set")
+    return unique.join(gone, "__set", "left_anti").select("__row.*")

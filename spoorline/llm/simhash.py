@@ -54,18 +54,26 @@ DENSE = 20_000
 _SMALL = 48
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """Hash of each run of ``shingle`` words; a shorter text is one run, a text without words has none."""
     words = (text or "").encode().lower().split()
+    digest = xxhash.xxh64_intdigest
     if not words:
-        return 0
-    if len(words) <= shingle:
-        return xxhash.xxh64_intdigest(b" ".join(words), SEED)
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
+    if len(words) <= shingle:
+        return np.array([digest(joined, SEED)], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
-    digest = xxhash.xxh64_intdigest
     n = len(words) - shingle + 1
-    hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), ends[shingle - 1 :].tolist(), strict=True)), np.uint64, n)
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), ends[shingle - 1 :].tolist(), strict=True)), np.uint64, n)
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    hashes = shingle_hashes(text, shingle)
+    n = len(hashes)
+    if n < 2:
+        return int(hashes[0]) if n else 0
     ones = np.zeros(64, np.int64)
     for lo in range(0, n, 1 << 16):
         part = hashes[lo : lo + (1 << 16)]

@@ -446,3 +446,48 @@ def test_pipeline_stages(spark, tmp_path):
     five = cp.pack(spark, four, str(tmp_path)).toPandas()
     assert set(five["doc_id"]) == {r[0] for r in four.select("doc_id").collect()}
     assert set(cp.run(spark, str(tmp_path)).toPandas()["doc_id"]) == set(five["doc_id"])
+
+
+def test_pipeline_drops_near_copies_from_jaccard_four_fifths(spark, tmp_path, monkeypatch):
+    import corpus_pipeline as cp
+
+    from spoorline.llm import jaccard
+
+    def grams(text):
+        words = (text or "").lower().split()
+        return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+    rng = random.Random(16)
+    line = " ".join(f"common{k}" for k in range(12))
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(rng.randint(5, 160))) + (" " + line if i % 2 else "") for i in range(120)]
+    for t in texts[:80]:
+        for _ in range(2):
+            words = t.split()
+            for at in rng.sample(range(len(words)), min(len(words), rng.randint(0, 5))):
+                words[at] = f"x{rng.randrange(10**6)}"
+            texts.append(" ".join(words))
+    texts += ["a b c", "A  b c", "", None, " "]
+    sets = [grams(t) for t in texts]
+    parent = list(range(len(texts)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    planted = 0
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        both = len(sets[i] & sets[j])
+        if sets[i] == sets[j] or 5 * both >= 4 * len(sets[i] | sets[j]):
+            planted += sets[i] != sets[j] and 20 * both < 19 * len(sets[i] | sets[j])
+            a, b = find(i), find(j)
+            parent[max(a, b)] = min(a, b)
+    assert planted > 20
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)] + [(None, "one row without an id stays", "en"), (0, "another text under a used id stays", "en")], "doc_id long, text string, lang string")
+    for heavy in (jaccard.HEAVY, 3):
+        monkeypatch.setattr(jaccard, "HEAVY", heavy)
+        left = cp.near_duplicates(spark, docs, str(tmp_path))
+        assert left.columns == docs.columns
+        got = [r["doc_id"] for r in left.collect()]
+        assert sorted(x for x in got if x is not None) == sorted([0, *{find(i) for i in range(len(texts))}]) and got.count(None) == 1
+    assert cp.near_duplicates(spark, docs.limit(0), str(tmp_path)).count() == 0
