@@ -3,11 +3,9 @@
 Texts are spelled as lower-cased words, each ended by a space, and one line
 feed at the end of the text. A byte's contexts are the bytes before it, back to
 the space before its word and ``ORDER`` bytes at most. The model is the trie of
-all contexts of the training documents with counts of the bytes that follow;
-contexts of three bytes and more are hashed to ``2 ** SLOT_BITS`` slots, so a
-class's trie holds at most ``(ORDER - 1) * 2 ** (SLOT_BITS + 8)`` counts whatever
-the corpus, and there are ``MAX_CLASSES`` classes. That bound is what makes the
-model fit for a broadcast; it holds as many counts as the corpus has contexts.
+all contexts of the training documents with counts of the bytes that follow,
+keyed by the exact context, so it holds as many counts as the corpus has
+contexts within words, and is broadcast; there are ``MAX_CLASSES`` classes.
 
 A byte is coded from its longest context; a byte not seen there costs an escape
 (method C: distinct symbols against all) and goes to the next shorter context,
@@ -47,7 +45,9 @@ from pyspark.sql import functions as F
 from .common import doc_bucket, written
 
 ORDER = 5
-SLOT_BITS = 18
+#: A cell is class, order, context and the byte that follows.
+ORDER_SHIFT = 48
+CLASS_SHIFT = 51
 CHUNK_BYTES = 24 << 20
 MAX_CLASSES = 16
 #: Training documents and words a class that texts are routed by.
@@ -59,14 +59,12 @@ _END = b"\n"
 END_WORD = b"\n"
 
 
-def slots(buf: np.ndarray, at: np.ndarray, order: int) -> np.ndarray:
-    """Slot of the ``order`` bytes before each position."""
-    key = np.zeros(len(at), np.uint64)
+def contexts_at(buf: np.ndarray, at: np.ndarray, order: int) -> np.ndarray:
+    """Order and the ``order`` bytes before each position, as one number."""
+    key = np.full(len(at), order << (ORDER_SHIFT - 8 - 8 * order), np.int64)
     for k in range(order, 0, -1):
-        key = (key << np.uint64(8)) | buf[at - k]
-    if order > 2:
-        key = ((key | np.uint64(order << 56)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)
-    return key.astype(np.int64)
+        key = (key << 8) | buf[at - k]
+    return key
 
 
 def spelled(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -90,7 +88,7 @@ def word_blocks(words: list[bytes]) -> Iterator[tuple[int, int]]:
 
 
 def context_counts(words: list[bytes], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(cell, count) of all contexts with the byte that follows. A cell is order, slot and byte."""
+    """(cell, count) of all contexts with the byte that follows. A cell is order, context and byte."""
     cells, values = np.zeros(0, np.int64), np.zeros(0, np.int64)
     for lo, hi in word_blocks(words):
         buf, at, longest, word = spelled(words[lo:hi])
@@ -98,7 +96,7 @@ def context_counts(words: list[bytes], counts: np.ndarray) -> tuple[np.ndarray,
         keys, weights = [cells], [values]
         for k in range(ORDER + 1):
             own = longest >= k
-            keys.append((np.int64(k) << 40) + slots(buf, at[own], k) * 256 + buf[at[own]])
+            keys.append(contexts_at(buf, at[own], k) * 256 + buf[at[own]])
             weights.append(weight[own])
         cells, values = summed(np.concatenate(keys), np.concatenate(weights))
     return cells, values
@@ -139,7 +137,7 @@ class PpmModel:
         for k in range(ORDER, -1, -1):
             able = longest[rest] >= k
             own, later = rest[able], rest[~able]
-            context = (np.int64(k) << 32) + slots(buf, at[own], k)
+            context = contexts_at(buf, at[own], k)
             place = self.find(self.cells, context * 256 + buf[at[own]])
             hit = place >= 0
             out[own[hit]] = self.share[place[hit]]
@@ -169,7 +167,7 @@ class PpmModel:
         free, open_ = np.ones((n, 256), bool), np.ones(n, bool)
         for k in range(ORDER, -1, -1):
             own = np.flatnonzero(open_ & (longest >= k))
-            seen = self._rows(self.find(self.contexts, (np.int64(k) << 32) + slots(buf, at[own], k)))
+            seen = self._rows(self.find(self.contexts, contexts_at(buf, at[own], k)))
             left = np.where(free[own], seen, 0)
             total, kinds = left.sum(1), (left > 0).sum(1)
             count = left[np.arange(len(own)), symbol[own]]
@@ -197,7 +195,7 @@ class PpmModel:
 
 def end_cells(documents: int) -> tuple[np.ndarray, np.ndarray]:
     """The ends of the training texts: a line feed after nothing and after a space."""
-    cells = np.array([_END[0], (1 << 40) + 32 * 256 + _END[0]])
+    cells = np.array([_END[0], (1 << ORDER_SHIFT) + 32 * 256 + _END[0]])
     return (cells, np.full(2, documents)) if documents else (cells[:0], np.zeros(0, np.int64))
 
 
@@ -284,7 +282,7 @@ def score_documents(docs: DataFrame, held_out, id_col: str = "doc_id", text_col:
                 old = total.get(c, (new[0][:0], new[1][:0]))
                 total[c] = summed(np.concatenate([old[0], new[0]]), np.concatenate([old[1], new[1]]))
         for c, (cells, values) in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array(cells + (np.int64(c) << 48)), pa.array(values)], ["cell", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(cells + (np.int64(c) << CLASS_SHIFT)), pa.array(values)], ["cell", "n"])
 
     learned = vocabulary.where("own > 0").select("word", "own", kind)
     sums = learned.groupBy("class").agg(F.sum("own").alias("n"), F.sum(F.when(F.col("word") == F.lit(END_WORD), F.col("own"))).alias("ends")).toPandas()
@@ -298,9 +296,9 @@ def score_documents(docs: DataFrame, held_out, id_col: str = "doc_id", text_col:
     def score(texts: pa.Table, known: pa.Table) -> pa.Table:
         label = texts["chunk"][0].as_py() % MAX_CLASSES if texts.num_rows else 0
         cells, counted = shared.value
-        mine = cells >> 48 == label
+        mine = cells >> CLASS_SHIFT == label
         end = end_cells(ends.get(label, 0))
-        ppm = PpmModel(np.concatenate([cells[mine] & ((1 << 48) - 1), end[0]]), np.concatenate([counted[mine], end[1]]))
+        ppm = PpmModel(np.concatenate([cells[mine] & ((1 << CLASS_SHIFT) - 1), end[0]]), np.concatenate([counted[mine], end[1]]))
         words = known["word"].to_pylist()
         c = np.asarray(known["c"]).astype(float)
         base = np.log10((c + 0.1) / (n + 0.1 * (distinct + 1)))

@@ -366,6 +366,19 @@ def test_ppm_classes_are_told_from_the_text(spark):
     assert out["score"].sum() > one["score"].sum()
 
 
+def test_ppm_contexts_do_not_share_cells():
+    rng = random.Random(17)
+    words = sorted({bytes(rng.choices(range(97, 123), k=rng.randint(1, 9))) for _ in range(60_000)})
+    cells, counts = ppm.context_counts(words, np.ones(len(words), np.int64))
+    plain = Counter()
+    for w in words:
+        text = b" " + w + b" "
+        for i in range(1, len(text)):
+            for k in range(min(ppm.ORDER, i) + 1):
+                plain[k, text[i - k : i + 1]] += 1
+    assert len(cells) == len(plain) and sorted(counts.tolist()) == sorted(plain.values())
+
+
 def test_adaptive_code_learns():
     assert ppm.adaptive_code_length("") == pytest.approx(math.log2(257))
     assert ppm.adaptive_code_length("abc" * 50) < 0.3 * ppm.adaptive_code_length("".join(random.Random(12).choices("abcdefghij", k=150)))
