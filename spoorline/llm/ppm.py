@@ -1,327 +1,490 @@
-"""Language-model scores by prediction by partial matching (PPM).
-
-Texts are spelled as lower-cased words, each ended by a space, and one line
-feed at the end of the text. A byte's contexts are the bytes before it, back to
-the space before its word and ``ORDER`` bytes at most. The model is the trie of
-all contexts of the training documents with counts of the bytes that follow,
-keyed by the exact context, so it holds as many counts as the corpus has
-contexts within words, and is broadcast; there are ``MAX_CLASSES`` classes.
-
-A byte is coded from its longest context; a byte not seen there costs an escape
-(method C: distinct symbols against all) and goes to the next shorter context,
-where the symbols that the longer ones offered are excluded; what no context
-has seen is uniform over the bytes left. As contexts end at the word, a word's
-code length is the same wherever it stands, and each distinct word of a chunk
-of documents is coded once.
-
-There is a trie for each class of texts. A text's class is told from the text
-alone by the frequent words of the languages that training documents are
-labelled with, and costs its share among the training documents: together a
-proper two-part code.
-
-Documents are dealt by a hash to ``CHUNK_BYTES`` at a time, and there by class;
-chunks bring their vocabulary together for the corpus's counts, and get them
-back for scoring. ``adaptive_code_length`` is the same model learning from a
-single text as it goes.
+"""Language-model scores by prediction by partial matching (PPM) over bytes.
+
+A text is spelled as its lower-cased words with one space between them and an
+end symbol; ``ORDER`` start symbols stand before it. A byte's contexts are the
+``ORDER`` bytes before it, across words, and their shorter ends. The model is
+the trie of all contexts of the training documents with counts of the bytes
+that follow, by exact bytes.
+
+A byte is coded from its longest context. A byte not seen there costs an escape
+(method D: half a count for each distinct symbol) and goes to the next shorter
+context, where the symbols that longer ones offered are excluded; what no
+context has seen is uniform over the symbols left. Counts follow update
+exclusion: a byte is counted in a shorter context only when the longer one
+hasn't seen it, so a shorter context's count is the number of longer cells that
+end in it, whatever the order of the texts.
+
+A byte's code depends on the bytes before it and itself, its gram. Tasks cut
+their documents into chunks of about ``CHUNK_BYTES`` and write each as
+compressed spelled texts, its distinct grams with training counts and its
+distinct words. Grams are dealt by the last ``SUFFIX`` context bytes, so that a
+part holds all longer contexts of an escape chain; the shorter ones are a table
+of 2 ** 24 cells at most, which is all that is broadcast. Parts are summed over
+``FAN`` chunks at a time, level by level, give each chunk the codes of its
+grams, and chunks sum them up. Texts move once, compressed; nothing else than
+the table of short contexts reaches the driver.
 
 Defined results: a null text is empty and has one token, its end; words are
 compared after lower-casing A-Z; a null id belongs to the training documents;
-without training documents every byte is uniform and c and N are 0; without
-labels there is one class; repeated rows count as often as they occur.
+without training documents every byte is uniform and c and N are 0; repeated
+rows count and are scored as often as they occur; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import doc_bucket, written
 
-ORDER = 5
-#: A cell is class, order, context and the byte that follows.
-ORDER_SHIFT = 48
-CLASS_SHIFT = 51
-CHUNK_BYTES = 24 << 20
-MAX_CLASSES = 16
-#: Training documents and words a class that texts are routed by.
-ROUTER_DOCS = 2_000
-ROUTER_WORDS = 300
-_BLOCK = 1 << 20
-_END = b"\n"
-#: The end of a text in the vocabulary; no word holds a line feed.
-END_WORD = b"\n"
-
-
-def contexts_at(buf: np.ndarray, at: np.ndarray, order: int) -> np.ndarray:
-    """Order and the ``order`` bytes before each position, as one number."""
-    key = np.full(len(at), order << (ORDER_SHIFT - 8 - 8 * order), np.int64)
-    for k in range(order, 0, -1):
-        key = (key << 8) | buf[at - k]
-    return key
-
-
-def spelled(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes, positions to code, each one's longest order, and its word's number."""
-    buf = np.frombuffer(b" " + b" ".join(words) + b" ", np.uint8)
-    at = np.arange(1, len(buf))
-    space = np.flatnonzero(buf == 32)
-    word = np.searchsorted(space, at) - 1
-    return buf, at, np.minimum(at - space[word], ORDER), word
-
-
-def word_blocks(words: list[bytes]) -> Iterator[tuple[int, int]]:
-    lo = size = 0
-    for k, w in enumerate(words):
-        size += len(w) + 1
-        if size >= _BLOCK:
-            yield lo, k + 1
-            lo, size = k + 1, 0
-    if lo < len(words):
-        yield lo, len(words)
-
-
-def context_counts(words: list[bytes], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(cell, count) of all contexts with the byte that follows. A cell is order, context and byte."""
-    cells, values = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    for lo, hi in word_blocks(words):
-        buf, at, longest, word = spelled(words[lo:hi])
-        weight = counts[lo:hi][word]
-        keys, weights = [cells], [values]
-        for k in range(ORDER + 1):
-            own = longest >= k
-            keys.append(contexts_at(buf, at[own], k) * 256 + buf[at[own]])
-            weights.append(weight[own])
-        cells, values = summed(np.concatenate(keys), np.concatenate(weights))
-    return cells, values
+#: Bytes of context; a context and the byte after it fit in 64 bits.
+ORDER = 6
+#: Context bytes that grams are dealt by; contexts below that length are in the shared table.
+SUFFIX = 3
+#: Symbols that UTF-8 doesn't use: before a text, and its end.
+START, END = 0xFF, 0xFE
+CHUNK_BYTES = 32 << 20
+#: Spelled bytes for each part of the model.
+PART_BYTES = 16 << 20
+MAX_PARTS = 4096
+#: Chunks that one task of the model sums or answers.
+FAN = 64
+#: Part number of a chunk's texts.
+TEXTS = -1
+_BLOCK = 1 << 21
+_ZSTD = pa.Codec("zstd", compression_level=1)
+
+
+def tokens_of(text: str | None) -> list[bytes]:
+    return (text or "").encode().lower().split()
+
+
+def spelled(words: list[bytes]) -> bytes:
+    return bytes([START]) * ORDER + b" ".join(words) + bytes([END])
+
+
+def grams_of(buf: np.ndarray) -> np.ndarray:
+    """Of spelled texts: each symbol with the ORDER bytes before it, as one number."""
+    n = max(0, len(buf) - ORDER)
+    key = np.zeros(n, np.uint64)
+    for k in range(ORDER + 1):
+        key <<= np.uint64(8)
+        key |= buf[k : k + n]
+    return key[buf[ORDER:] != START]
 
 
 def summed(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys in order, and the sum of each one's weights."""
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys, kind="stable")  # runs in order merge fast
     keys = keys[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    first = firsts(keys)
     return keys[first], np.add.reduceat(weights[order], first) if len(keys) else weights
 
 
-class PpmModel:
-    """Cells in order with their counts, and their contexts with totals."""
+def firsts(keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys begin."""
+    return np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
 
-    def __init__(self, cells: np.ndarray, counts: np.ndarray) -> None:
-        self.cells, self.counts = summed(cells, counts)
-        context = self.cells >> 8
-        self.start = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]])) if len(context) else np.zeros(0, np.int64)
-        self.contexts = context[self.start]
-        self.size = np.diff(np.append(self.start, len(context)))
-        total = np.add.reduceat(self.counts, self.start) if len(context) else np.zeros(0)
-        # Method C: as many escapes as there are symbols.
-        self.share = np.log10(self.counts / np.repeat(total + self.size, self.size)) if len(context) else np.zeros(0)
-
-    def find(self, table: np.ndarray, keys: np.ndarray) -> np.ndarray:
-        """Place of each key, -1 if the table hasn't it."""
-        if not len(table):
-            return np.full(len(keys), -1)
-        at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
-        return np.where(table[at] == keys, at, -1)
-
-    def code(self, buf: np.ndarray, at: np.ndarray, longest: np.ndarray) -> np.ndarray:
-        """log10 probability of the byte at each position."""
-        out = np.zeros(len(at))
-        missed, rest = [], np.arange(len(at))
-        for k in range(ORDER, -1, -1):
-            able = longest[rest] >= k
-            own, later = rest[able], rest[~able]
-            context = contexts_at(buf, at[own], k)
-            place = self.find(self.cells, context * 256 + buf[at[own]])
-            hit = place >= 0
-            out[own[hit]] = self.share[place[hit]]
-            own, context = own[~hit], context[~hit]
-            seen = self.find(self.contexts, context) >= 0  # the longest context that was seen decides
-            missed.append(own[seen])
-            rest = np.concatenate([later, own[~seen]])
-        missed = np.concatenate([*missed, rest])
-        for lo in range(0, len(missed), 4096):
-            own = missed[lo : lo + 4096]
-            out[own] = self._escape(buf, at[own], longest[own])
-        return out
 
-    def _rows(self, place: np.ndarray) -> np.ndarray:
-        """(n, 256) counts of the contexts at some places, zeros for -1."""
-        out = np.zeros((len(place), 256))
-        own = np.flatnonzero(place >= 0)
-        size = self.size[place[own]]
-        cell = np.repeat(self.start[place[own]], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-        out[np.repeat(own, size), self.cells[cell] & 255] = self.counts[cell]
-        return out
+def counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and how often each occurs."""
+    keys = np.sort(keys)
+    first = firsts(keys)
+    return keys[first], np.diff(np.append(first, len(keys)))
+
+
+def packed(values: np.ndarray) -> bytes:
+    """An array as compressed bytes: differences of whole numbers, split into planes of bytes."""
+    kind = values.dtype.str.encode().ljust(8)
+    if values.dtype.kind != "f" and len(values):
+        values = np.concatenate([values[:1], np.diff(values)])
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes() if len(values) else b""
+    return kind + len(planes).to_bytes(8, "little") + _ZSTD.compress(planes, asbytes=True)
+
+
+def unpacked(blob: bytes) -> np.ndarray:
+    kind = np.dtype(blob[:8].decode().strip())
+    size = int.from_bytes(blob[8:16], "little")
+    if not size:
+        return np.zeros(0, kind)
+    planes = np.frombuffer(_ZSTD.decompress(blob[16:], size, asbytes=True), np.uint8).reshape(kind.itemsize, -1)
+    values = np.ascontiguousarray(planes.T).reshape(-1).view(kind)
+    return values if kind.kind == "f" else np.cumsum(values, dtype=kind)
+
+
+def packed_bytes(data: bytes) -> bytes:
+    return len(data).to_bytes(8, "little") + _ZSTD.compress(data, asbytes=True)
+
+
+def unpacked_bytes(blob: bytes) -> bytes:
+    size = int.from_bytes(blob[:8], "little")
+    return _ZSTD.decompress(blob[8:], size, asbytes=True) if size else b""
+
+
+def unpacked_words(blob: bytes) -> list[bytes]:
+    data = unpacked_bytes(blob)
+    return data.split(b" ") if data else []
 
-    def _escape(self, buf: np.ndarray, at: np.ndarray, longest: np.ndarray) -> np.ndarray:
-        """The whole chain of escapes with exclusion, for bytes new to their longest context."""
-        n = len(at)
-        symbol, out = buf[at], np.zeros(n)
-        free, open_ = np.ones((n, 256), bool), np.ones(n, bool)
-        for k in range(ORDER, -1, -1):
-            own = np.flatnonzero(open_ & (longest >= k))
-            seen = self._rows(self.find(self.contexts, contexts_at(buf, at[own], k)))
-            left = np.where(free[own], seen, 0)
-            total, kinds = left.sum(1), (left > 0).sum(1)
-            count = left[np.arange(len(own)), symbol[own]]
-            hit = count > 0
-            out[own[hit]] += np.log10(count[hit] / (total + kinds)[hit])
-            open_[own[hit]] = False
-            escape = ~hit & (kinds > 0)
-            out[own[escape]] += np.log10(kinds[escape] / (total + kinds)[escape])
-            free[own] &= seen == 0
-        out[open_] -= np.log10(free[open_].sum(1))
-        return out
 
-    def word_scores(self, words: list[bytes]) -> np.ndarray:
-        """log10 probability of each word with the space that ends it."""
-        out = np.zeros(len(words))
-        for lo, hi in word_blocks(words):
-            buf, at, longest, word = spelled(words[lo:hi])
-            out[lo:hi] = np.bincount(word, self.code(buf, at, longest), minlength=hi - lo)
+class Places:
+    """Places of numbers in an array, by open addressing."""
+
+    def __init__(self, keys: np.ndarray) -> None:
+        self.keys = keys
+        self.shift = np.uint64(64 - max(4, (4 * len(keys)).bit_length()))
+        self.table = np.zeros(1 << (64 - int(self.shift)), np.int32)
+        self.last = np.int64(len(self.table) - 1)
+        rest, at = np.arange(len(keys)), self._slot(keys)
+        taken = np.zeros(len(self.table), bool)
+        while len(rest):
+            free = ~taken[at]
+            self.table[at[free]] = rest[free]
+            taken[at[free]] = True
+            lost = self.table[at] != rest
+            rest, at = rest[lost], (at[lost] + 1) & self.last
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def find(self, wanted: np.ndarray) -> np.ndarray:
+        """Places of numbers that the array holds."""
+        at = self._slot(wanted)
+        out = self.table[at]
+        rest = np.flatnonzero(self.keys[out] != wanted)
+        at = at[rest]
+        while len(rest):
+            at = (at + 1) & self.last
+            got = self.table[at]
+            out[rest] = got
+            miss = self.keys[got] != wanted[rest]
+            rest, at = rest[miss], at[miss]
         return out
 
-    def end_score(self) -> float:
-        buf = np.frombuffer(b" " + _END, np.uint8)
-        return float(self.code(buf, np.array([1]), np.array([1]))[0])
 
+class Level:
+    """The contexts of one length: cells (context and symbol) in order, with counts."""
 
-def end_cells(documents: int) -> tuple[np.ndarray, np.ndarray]:
-    """The ends of the training texts: a line feed after nothing and after a space."""
-    cells = np.array([_END[0], (1 << ORDER_SHIFT) + 32 * 256 + _END[0]])
-    return (cells, np.full(2, documents)) if documents else (cells[:0], np.zeros(0, np.int64))
+    def __init__(self, cells: np.ndarray, counts: np.ndarray) -> None:
+        self.cells, self.counts = cells, counts.astype(np.float64)
+        contexts = cells >> np.uint64(8)
+        self.start = firsts(contexts)
+        self.contexts = contexts[self.start]
+        self.size = np.diff(np.append(self.start, len(cells)))
+        total = np.add.reduceat(self.counts, self.start) if len(cells) else np.zeros(0)
+        self.share = np.log10((2 * self.counts - 1) / (2 * np.repeat(total, self.size)))
 
 
-def tokens_of(text: str | None) -> list[bytes]:
-    return (text or "").encode().lower().split()
+def _mask(order: int) -> np.uint64:
+    """The bytes of a gram that a cell of some order has."""
+    return np.uint64((1 << (8 * (order + 1))) - 1)
 
 
-def router_words(docs: DataFrame, id_col: str, text_col: str, lang_col: str | None, learn) -> dict[bytes, int]:
-    """Class of each frequent word, from a bounded sample of labelled training documents."""
-    if lang_col is None or lang_col not in docs.columns:
-        return {}
-    base = docs.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    sample = base.orderBy(F.xxhash64(id_col), id_col).limit(ROUTER_DOCS).select(F.col(lang_col).cast("string").alias("g"), F.explode(F.split(F.lower(text_col), r"[\x20\x09-\x0D]+")).alias("word"))
-    counts = sample.where("word <> ''").groupBy("g", "word").agg(F.count(F.lit(1)).alias("n"))
-    w = W.partitionBy("g").orderBy(F.desc("n"), "word")
-    top = counts.withColumns({"share": F.col("n") / F.sum("n").over(W.partitionBy("g")), "size": F.sum("n").over(W.partitionBy("g")), "r": F.row_number().over(w)}).where(F.col("r") <= ROUTER_WORDS).toPandas()
-    langs = top.groupby("g")["size"].first().sort_values(ascending=False, kind="stable").index[:MAX_CLASSES].tolist()
-    top = top[top["g"].isin(langs)].sort_values(["share", "g"], ascending=[False, True], kind="stable").drop_duplicates("word")
-    return {w.encode(): langs.index(g) for w, g in zip(top["word"], top["g"], strict=True)}
+def _find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Place of each key, -1 if the table hasn't it."""
+    if not len(table):
+        return np.full(len(keys), -1)
+    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+    return np.where(table[at] == keys, at, -1)
 
 
-def class_of(words: list[bytes], router: dict[bytes, int]) -> int:
-    """The class with the most frequent words in a text; the first one if it has none."""
-    votes = Counter(filter(None, map(router.get, words)))
-    zero = sum(1 for w in words if router.get(w) == 0) if votes else 0
-    best = min(votes, key=lambda c: (-votes[c], c), default=0)
-    return best if votes[best] > zero else 0
+def shorter(cells: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Cells of ``order`` with the number of distinct cells of the next order that end in them."""
+    return counted(cells & _mask(order))
 
 
-def score_documents(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """One row per document: id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    held = F.coalesce(held_out, F.lit(False))
-    router = router_words(docs, id_col, text_col, lang_col, ~held)
-    classes = max(router.values(), default=0) + 1
-
-    @F.arrow_udf("int")
-    def told(texts: pa.Array) -> pa.Array:
-        return pa.array([class_of(tokens_of(t.as_py()), router) for t in texts], pa.int32())
-
-    own = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"), held.alias("held_out"))
-    own = own.withColumn("class", told("text") if classes > 1 else F.lit(0))
-    size = own.agg(F.sum(F.octet_length("text"))).first()[0]
-    chunks = max(1, math.ceil((size or 0) / chunk_bytes))
-    deal = F.pmod(F.xxhash64("id", "text"), F.lit(chunks)).cast("int") * F.lit(MAX_CLASSES) + F.col("class")
-    dealt = own.select("id", "text", "held_out", deal.alias("chunk"))
-
-    def count(table: pa.Table) -> pa.Table:
-        train: Counter[bytes] = Counter()
-        other: set[bytes] = set()
-        ends = 0
-        for text, is_held in zip(table["text"], table["held_out"].to_pylist(), strict=True):
-            (other.update if is_held else train.update)(tokens_of(text.as_py()))
-            ends += not is_held
-        train[END_WORD] = ends
-        words = list(train)
-        words += other.difference(train)
-        counts = np.zeros(len(words), np.int64)
-        counts[: len(train)] = np.fromiter(train.values(), np.int64, len(train))
-        chunk = table["chunk"][0].as_py() if table.num_rows else 0
-        return pa.table({"chunk": pa.array(np.full(len(words), chunk, np.int32)), "word": pa.array(words, pa.binary()), "c": counts})
-
-    partial = dealt.groupBy("chunk").applyInArrow(count, "chunk int, word binary, c long")
-    kind = (F.col("chunk") % MAX_CLASSES).alias("class")
-    same = W.partitionBy("word", kind)
-    # A word has a row for each chunk at most. Its counts: in its class, and in all.
-    every = W.partitionBy("word")
-    vocabulary = written(
-        partial.repartition("word").select(
-            "chunk",
-            "word",
-            F.sum("c").over(every).alias("c"),
-            (F.min("chunk").over(every) == F.col("chunk")).alias("first"),
-            F.when(F.min("chunk").over(same) == F.col("chunk"), F.sum("c").over(same)).alias("own"),
-        )
-    )
-
-    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+class PpmModel:
+    """Levels from ORDER down to 0, of a part's cells with counts and the shared cells of order SUFFIX - 1."""
+
+    def __init__(self, cells: np.ndarray, counts: np.ndarray, low_cells: np.ndarray, low_counts: np.ndarray) -> None:
+        self.levels = {ORDER: Level(cells, counts)}
+        for k in range(ORDER - 1, SUFFIX - 1, -1):
+            self.levels[k] = Level(*shorter(self.levels[k + 1].cells, k))
+        self.levels[SUFFIX - 1] = Level(low_cells, low_counts)
+        for k in range(SUFFIX - 2, -1, -1):
+            self.levels[k] = Level(*shorter(self.levels[k + 1].cells, k))
+
+    def code(self, grams: np.ndarray) -> np.ndarray:
+        """log10 probability of each gram's symbol after its context."""
+        top = self.levels[ORDER]
+        place = _find(top.cells, grams)
+        out = np.zeros(len(grams))
+        out[place >= 0] = top.share[place[place >= 0]]
+        missed = np.flatnonzero(place < 0)
+        for lo in range(0, len(missed), 8192):
+            own = missed[lo : lo + 8192]
+            out[own] = self._chain(grams[own])
+        return out
+
+    def _chain(self, grams: np.ndarray) -> np.ndarray:
+        """The whole chain of escapes with exclusion."""
+        n = len(grams)
+        symbol = (grams & np.uint64(255)).astype(np.int64)
+        out, open_ = np.zeros(n), np.ones(n, bool)
+        used = np.zeros((n, 256), bool)
+        used[:, START] = True
+        for k in range(ORDER, -1, -1):
+            level = self.levels[k]
+            place = np.where(open_, _find(level.contexts, (grams & _mask(k)) >> np.uint64(8)), -1)
+            own = np.flatnonzero(place >= 0)
+            size = level.size[place[own]]
+            row = np.repeat(own, size)
+            cell = np.repeat(level.start[place[own]] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            offered = (level.cells[cell] & np.uint64(255)).astype(np.int64)
+            left = ~used[row, offered]
+            row, offered, count = row[left], offered[left], level.counts[cell[left]]
+            total, kinds = np.bincount(row, count, n), np.bincount(row, minlength=n)
+            met = offered == symbol[row]
+            out[row[met]] += np.log10((2 * count[met] - 1) / (2 * total[row[met]]))
+            open_[row[met]] = False
+            escape = open_ & (kinds > 0)
+            out[escape] += np.log10(kinds[escape] / (2 * total[escape]))
+            used[row, offered] = True
+        out[open_] -= np.log10((~used[open_]).sum(1))
+        return out
+
+
+def part_of(grams: np.ndarray, parts: int) -> np.ndarray:
+    suffix = (grams >> np.uint64(8)) & np.uint64((1 << (8 * SUFFIX)) - 1)
+    return (((suffix * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) % np.uint64(parts)).astype(np.uint16)
+
+
+def blocks(texts: list[bytes]) -> Iterator[np.ndarray]:
+    """Spelled texts joined to blocks; a text is in one block."""
+    held: list[bytes] = []
+    size = 0
+    for text in texts:
+        held.append(text)
+        size += len(text)
+        if size >= _BLOCK:
+            yield np.frombuffer(b"".join(held), np.uint8)
+            held, size = [], 0
+    if held:
+        yield np.frombuffer(b"".join(held), np.uint8)
+
+
+def gram_counts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct grams of spelled texts in order, and how often each occurs."""
+    runs = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+    for block in blocks(texts):
+        runs.append(counted(grams_of(block)))
+        if len(runs) > 8:
+            runs = [summed(*map(np.concatenate, zip(*runs, strict=True)))]
+    return summed(*map(np.concatenate, zip(*runs, strict=True)))
+
+
+Row = tuple[int, int, bytes, bytes]  # chunk, part, keys, values
+
+
+def chunk_rows(chunk: int, ids: list, held: list[bool], texts: list[bytes], words: Counter[bytes], parts: int) -> Iterator[Row]:
+    """A chunk's spelled texts, its grams by part and its words by part, with their training counts."""
+    sink = pa.BufferOutputStream()
+    batch = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(held, pa.bool_())], ["id", "held"])
+    with pa.ipc.new_stream(sink, batch.schema) as writer:
+        writer.write_batch(batch)
+    yield chunk, TEXTS, packed_bytes(b"".join(texts)), sink.getvalue().to_pybytes()
+    grams, counts = gram_counts([t for t, h in zip(texts, held, strict=True) if not h])
+    asked, _ = gram_counts([t for t, h in zip(texts, held, strict=True) if h])
+    grams, counts = summed(np.concatenate([grams, asked]), np.concatenate([counts, np.zeros(len(asked), np.int64)]))
+    part = part_of(grams, parts)
+    order = np.argsort(part, kind="stable")
+    cuts = np.searchsorted(part[order], np.arange(parts + 1))
+    for p in range(parts):
+        own = order[cuts[p] : cuts[p + 1]]
+        if len(own):
+            yield chunk, p, packed(grams[own]), packed(counts[own])
+    dealt: list[list[bytes]] = [[] for _ in range(parts)]
+    for w in words:
+        dealt[zlib.crc32(w) % parts].append(w)
+    for p, own in enumerate(dealt):
+        if own:
+            yield chunk, parts + p, packed_bytes(b" ".join(own)), packed(np.fromiter((words[w] for w in own), np.int64, len(own)))
+
+
+def batch_of(rows: list[Row]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) if rows else [()] * 4
+    types = (pa.int64(), pa.int32(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["chunk", "part", "keys", "vals"])
+
+
+def word_counts(keys: list[bytes], vals: list[bytes]) -> Counter[bytes]:
+    total: Counter[bytes] = Counter()
+    for key, val in zip(keys, vals, strict=True):
+        for w, c in zip(unpacked_words(key), unpacked(val).tolist(), strict=True):
+            total[w] += c
+    return total
+
+
+ROWS = "chunk long, part int, keys binary, vals binary"
+#: The end of a text among the words.
+END_WORD = bytes([END])
+
+
+def chunked(docs: DataFrame, held, id_col: str, text_col: str, chunk_bytes: int, parts: int) -> DataFrame:
+    """The rows of all chunks, as a written table."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk = TaskContext.get().partitionId() << 32
+        ids, held, texts, size = [], [], [], 0
+        words: Counter[bytes] = Counter()
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for row in chunk_rows(chunk, ids, held, texts, words, parts):
+                yield batch_of([row])
+
+        for batch in batches:
+            for i, text, h in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+                own = tokens_of(text.as_py())
+                ids.append(i)
+                held.append(h)
+                texts.append(spelled(own))
+                own.append(END_WORD)
+                size += len(texts[-1])
+                if h:
+                    words.update(dict.fromkeys(own, 0))
+                else:
+                    words.update(own)
+                if size >= chunk_bytes:
+                    yield from flush()
+                    chunk, size = chunk + 1, 0
+                    ids, held, texts, words = [], [], [], Counter()
+        if ids:
+            yield from flush()
+
+    return written(docs.select(F.col(id_col).cast("long"), F.col(text_col), held).mapInArrow(ask, ROWS))
+
+
+def learned(rows: DataFrame, chunks: int, parts: int) -> DataFrame:
+    """One row for each part: its distinct grams or words of training texts, with counts."""
+
+    def fold(table: pa.Table) -> pa.Table:
+        part = table["part"][0].as_py()
+        keys, vals = table["keys"].to_pylist(), table["vals"].to_pylist()
+        if part < parts:
+            grams, counts = summed(np.concatenate([unpacked(k) for k in keys]), np.concatenate([unpacked(v) for v in vals]))
+            row = packed(grams[counts > 0]), packed(counts[counts > 0])
+        else:
+            known = {w: c for w, c in word_counts(keys, vals).items() if c}
+            row = packed_bytes(b" ".join(known)), packed(np.fromiter(known.values(), np.int64, len(known)))
+        return pa.Table.from_batches([batch_of([(table["chunk"][0].as_py(), part, *row)])])
+
+    slots = chunks
+    while True:
+        slots = math.ceil(slots / FAN)
+        level = rows.withColumn("chunk", F.pmod(F.xxhash64("chunk"), F.lit(slots)))
+        rows = level.groupBy("part", "chunk").applyInArrow(fold, ROWS)
+        if slots <= 1:
+            return written(rows)
+
+
+def shared_cells(model: DataFrame, parts: int) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """Cells of order SUFFIX - 1 with their counts; training tokens, and distinct ones."""
+
+    def low(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words, counts, kinds = batch.column(0).to_pylist(), np.asarray(batch.column(1)), np.asarray(batch.column(2))
-            for c in np.unique(kinds).tolist():
-                at = np.flatnonzero(kinds == c)
-                new = context_counts([words[k] for k in at], counts[at])
-                old = total.get(c, (new[0][:0], new[1][:0]))
-                total[c] = summed(np.concatenate([old[0], new[0]]), np.concatenate([old[1], new[1]]))
-        for c, (cells, values) in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array(cells + (np.int64(c) << CLASS_SHIFT)), pa.array(values)], ["cell", "n"])
-
-    learned = vocabulary.where("own > 0").select("word", "own", kind)
-    sums = learned.groupBy("class").agg(F.sum("own").alias("n"), F.sum(F.when(F.col("word") == F.lit(END_WORD), F.col("own"))).alias("ends")).toPandas()
-    distinct = vocabulary.where("first and c > 0").count()
-    n, trained = int(sums["n"].sum()), int(sums["ends"].fillna(0).sum())
-    ends = {int(c): int(e) for c, e in zip(sums["class"], sums["ends"].fillna(0), strict=True)}
-    model = learned.where(F.col("word") != F.lit(END_WORD)).mapInArrow(contexts, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    shared = docs.sparkSession.sparkContext.broadcast((model["cell"].to_numpy(), model["n"].to_numpy()))
-    del model
-
-    def score(texts: pa.Table, known: pa.Table) -> pa.Table:
-        label = texts["chunk"][0].as_py() % MAX_CLASSES if texts.num_rows else 0
-        cells, counted = shared.value
-        mine = cells >> CLASS_SHIFT == label
-        end = end_cells(ends.get(label, 0))
-        ppm = PpmModel(np.concatenate([cells[mine] & ((1 << CLASS_SHIFT) - 1), end[0]]), np.concatenate([counted[mine], end[1]]))
-        words = known["word"].to_pylist()
-        c = np.asarray(known["c"]).astype(float)
-        base = np.log10((c + 0.1) / (n + 0.1 * (distinct + 1)))
-        number = {w: k for k, w in enumerate(words)}
-        code = ppm.word_scores([w if w != END_WORD else b"" for w in words])
-        code[number[END_WORD]] = ppm.end_score()
-        prior = math.log10((ends.get(label, 0) + 1) / (trained + classes))
-        out = np.zeros((4, texts.num_rows))
-        last = number[END_WORD]
-        for k, text in enumerate(texts["text"]):
-            own = tokens_of(text.as_py())
-            at = np.append(np.fromiter(map(number.__getitem__, own), np.int64, len(own)), last)
-            out[:, k] = len(at), np.count_nonzero(c[at]), base[at].sum(), code[at].sum() + prior
+            for part, key, val in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if part < parts:
+                    cells = np.unique(unpacked(key) & _mask(SUFFIX))
+                    cells, counts = shorter(cells, SUFFIX - 1)
+                    out = cells.astype(np.int64), counts, np.zeros(len(cells), np.int64)
+                else:
+                    counts = unpacked(val)
+                    out = np.array([-1]), np.array([counts.sum()]), np.array([len(counts)])
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["cell", "n", "kinds"])
+
+    sums = model.select("part", "keys", "vals").mapInArrow(low, "cell long, n long, kinds long").groupBy("cell").agg(F.sum("n").alias("n"), F.sum("kinds").alias("kinds")).toArrow()
+    cell, n, kinds = (sums[c].to_numpy() for c in ("cell", "n", "kinds"))
+    order = np.argsort(cell)
+    cell, n, kinds = cell[order], n[order], kinds[order]
+    words = cell < 0
+    return cell[~words].astype(np.uint64), n[~words], int(n[words].sum()), int(kinds[words].sum())
+
+
+def score_documents(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """One row per document: id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    held = F.coalesce(held_out, F.lit(False)).alias("held")
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    parts = min(MAX_PARTS, max(1, math.ceil(size / PART_BYTES)))
+    rows = chunked(docs, held, id_col, text_col, chunk_bytes, parts)
+    chunks = rows.where(F.col("part") == TEXTS).count()
+    asked = rows.where(F.col("part") != TEXTS)
+    model = learned(asked, chunks, parts)
+    low_cells, low_counts, n, distinct = shared_cells(model, parts)
+
+    def answer(asks: pa.Table, known: pa.Table) -> pa.Table:
+        out: list[Row] = []
+        if asks.num_rows:
+            part = asks["part"][0].as_py()
+            own = (known["keys"][0].as_py(), known["vals"][0].as_py()) if known.num_rows else None
+            if part < parts:
+                cells = (unpacked(own[0]), unpacked(own[1])) if own else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+                ppm = PpmModel(*cells, low_cells, low_counts)
+                grams = [unpacked(k) for k in asks["keys"].to_pylist()]
+                every = counted(np.concatenate(grams))[0]
+                code = ppm.code(every).astype(np.float32)
+                found = [packed(code[np.searchsorted(every, g)]) for g in grams]
+            else:
+                total = word_counts([own[0]], [own[1]]) if own else Counter()
+                found = [packed(np.fromiter((total[w] for w in unpacked_words(k)), np.int64)) for k in asks["keys"].to_pylist()]
+            out = [(c, part, k, v) for c, k, v in zip(asks["chunk"].to_pylist(), asks["keys"].to_pylist(), found, strict=True)]
+        return pa.Table.from_batches([batch_of(out)])
+
+    salts = math.ceil(max(1, chunks) / FAN)
+    salted = asked.withColumn("salt", F.pmod(F.xxhash64("chunk"), F.lit(salts)).cast("int")).groupBy("part", "salt")
+    copies = model.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).groupBy("part", "salt")
+    answers = salted.cogroup(copies).applyInArrow(answer, ROWS)
+
+    def score(table: pa.Table) -> pa.Table:
+        part = table["part"].to_numpy()
+        at = int(np.flatnonzero(part == TEXTS)[0])
+        about = pa.ipc.open_stream(table["vals"][at].as_py()).read_all()
+        buf = np.frombuffer(unpacked_bytes(table["keys"][at].as_py()), np.uint8)
+        grams, codes, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.float32)], {}
+        for k in np.flatnonzero(part != TEXTS).tolist():
+            key, val = table["keys"][k].as_py(), unpacked(table["vals"][k].as_py())
+            if part[k] < parts:
+                grams.append(unpacked(key))
+                codes.append(val)
+            else:
+                counts |= zip(unpacked_words(key), val.tolist(), strict=True)
+        places, code = Places(np.concatenate(grams)), np.concatenate(codes).astype(np.float64)
+        ends = np.flatnonzero(buf == END) + 1
+        starts = np.concatenate([[0], ends[:-1]])
+        out = np.zeros((4, len(ends)))
+        c = np.fromiter(counts.values(), np.float64, len(counts))
+        base = dict(zip(counts, np.log10((c + 0.1) / (n + 0.1 * (distinct + 1))).tolist(), strict=True))
+        text = buf.tobytes()
+        first = 0
+        while first < len(ends):
+            last = max(first + 1, int(np.searchsorted(ends, starts[first] + _BLOCK)))
+            own = buf[starts[first] : ends[last - 1]]
+            codes_here = code[places.find(grams_of(own))]
+            lengths = ends[first:last] - starts[first:last] - ORDER
+            out[3, first:last] = np.add.reduceat(codes_here, np.cumsum(lengths) - lengths)
+            for d in range(first, last):
+                words = text[starts[d] + ORDER : ends[d] - 1].split()
+                words.append(END_WORD)
+                out[0, d] = len(words)
+                out[1, d] = sum(1 for w in words if counts[w])
+                out[2, d] = math.fsum(map(base.__getitem__, words))
+            first = last
         longs = out[:2].astype(np.int64)
         return pa.table(
             {
-                "id": texts["id"], "held_out": texts["held_out"], "n_tokens": longs[0], "n_known": longs[1],
-                "train_tokens": np.full(texts.num_rows, n, np.int64), "base_score": out[2], "score": out[3],
+                "id": about["id"], "held_out": about["held"], "n_tokens": longs[0], "n_known": longs[1],
+                "train_tokens": np.full(len(ends), n, np.int64), "base_score": out[2], "score": out[3],
             }
         )
 
     schema = "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    scored = dealt.groupBy("chunk").cogroup(vocabulary.select("chunk", "word", "c").groupBy("chunk")).applyInArrow(score, schema)
+    scored = answers.unionByName(rows.where(F.col("part") == TEXTS)).groupBy("chunk").applyInArrow(score, schema)
     return scored.withColumnRenamed("id", id_col)
 
 
@@ -331,25 +494,27 @@ def held_out_fold(id_col: str = "doc_id"):
 
 def adaptive_code_length(text: str | None, order: int = ORDER) -> float:
     """Bits that PPM needs for a text's UTF-8 bytes and end, learning from it alone as it goes."""
-    data = [*(text or "").encode(), 256]
+    data = [*(text or "").encode(), END]
     trie: dict[tuple[int, ...], dict[int, int]] = {}
     bits = 0.0
     for i, symbol in enumerate(data):
         excluded: set[int] = set()
+        found = -1
         for k in range(min(order, i), -1, -1):
             node = trie.get(tuple(data[i - k : i]))
             left = {s: c for s, c in node.items() if s not in excluded} if node else {}
             if not left:
                 continue
-            total = sum(left.values()) + len(left)
+            total = sum(left.values())
             if symbol in left:
-                bits -= math.log2(left[symbol] / total)
+                bits -= math.log2((2 * left[symbol] - 1) / (2 * total))
+                found = k
                 break
-            bits -= math.log2(len(left) / total)
+            bits -= math.log2(len(left) / (2 * total))
             excluded |= left.keys()
         else:
-            bits += math.log2(257 - len(excluded))
-        for k in range(min(order, i) + 1):
+            bits += math.log2(255 - len(excluded))
+        for k in range(max(found, 0), min(order, i) + 1):  # update exclusion
             node = trie.setdefault(tuple(data[i - k : i]), {})
             node[symbol] = node.get(symbol, 0) + 1
     return bits

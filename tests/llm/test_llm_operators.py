@@ -310,77 +310,105 @@ def test_components_of_a_long_path(spark):
 # --- 8 ppm
 
 
-def plain_code(model_words, word, order):
-    """PPMC with exclusion over exact contexts, straight from the definition."""
-    trie = {}
-    for w, c in model_words.items():
-        text = b" " + w + b" " if w != ppm.END_WORD else b" \n"
-        for i in range(1, len(text)):
-            for k in range(min(order, i) + 1):
-                node = trie.setdefault(text[i - k : i], Counter())
-                node[text[i]] += c
-    text = b" " + word + b" " if word != ppm.END_WORD else b" \n"
-    total = 0.0
-    for i in range(1, len(text)):
-        excluded = set()
-        for k in range(min(order, i), -1, -1):
-            left = {s: c for s, c in trie.get(text[i - k : i], {}).items() if s not in excluded}
-            if not left:
-                continue
-            n = sum(left.values()) + len(left)
-            if text[i] in left:
-                total += math.log10(left[text[i]] / n)
-                break
-            total += math.log10(len(left) / n)
-            excluded |= set(left)
-        else:
-            total -= math.log10(256 - len(excluded))
-    return total
+class PlainPpm:
+    """PPM with escape method D, symbol exclusion and update exclusion, learning text after text."""
+
+    def __init__(self, order):
+        self.order, self.trie = order, {}
+
+    def contexts(self, data, i):
+        return [(k, data[i - k : i]) for k in range(self.order, -1, -1)]
+
+    def spell(self, text):
+        return ppm.spelled(ppm.tokens_of(text))
+
+    def learn(self, text):
+        data = self.spell(text)
+        for i in range(self.order, len(data)):
+            for _, context in self.contexts(data, i):
+                node = self.trie.setdefault(context, Counter())
+                node[data[i]] += 1
+                if node[data[i]] > 1:
+                    break
+
+    def log10(self, text):
+        data, total = self.spell(text), 0.0
+        for i in range(self.order, len(data)):
+            excluded = {ppm.START}
+            for _, context in self.contexts(data, i):
+                left = {s: c for s, c in self.trie.get(context, {}).items() if s not in excluded}
+                if not left:
+                    continue
+                n = 2 * sum(left.values())
+                if data[i] in left:
+                    total += math.log10((2 * left[data[i]] - 1) / n)
+                    break
+                total += math.log10(len(left) / n)
+                excluded |= set(left)
+            else:
+                total -= math.log10(256 - len(excluded))
+        return total
 
 
 def test_ppm_against_the_definition(spark):
     rng = random.Random(11)
-    texts = [None, "", "zzz quokka", *[prose(rng, rng.randint(1, 60)) for _ in range(60)]]
-    docs = docs_frame(spark, list(enumerate(texts)))
-    out = ppm.score_documents(docs, ppm.held_out_fold(), chunk_bytes=2000).toPandas().set_index("doc_id")
-    train, held = Counter(), {}
-    for i, t in enumerate(texts):
-        held[i] = zlib.crc32(str(i).encode()) % 10 == 0
-        if not held[i]:
+    texts = [None, "", "zzz quokka", "\n\t ", "été Été", *[prose(rng, rng.randint(1, 60)) for _ in range(60)]]
+    rows = [*enumerate(texts), (7, texts[7]), (None, "river of null ids"), (40, "another text under one id")]
+    docs = docs_frame(spark, rows, "score string")
+    out = ppm.score_documents(docs.repartition(3), ppm.held_out_fold(), chunk_bytes=2000).toPandas()
+    train, model, want = Counter(), PlainPpm(ppm.ORDER), []
+    for i, t in rows:
+        if i is None or zlib.crc32(str(i).encode()) % 10:
             train.update([*ppm.tokens_of(t), ppm.END_WORD])
+            model.learn(t)
     n, v = sum(train.values()), len(train)
-    for i, t in enumerate(texts):
+    for i, t in rows:
         tokens = [*ppm.tokens_of(t), ppm.END_WORD]
-        r = out.loc[i]
-        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held[i], len(tokens), sum(train[w] > 0 for w in tokens), n)
-        assert r["base_score"] == pytest.approx(sum(math.log10((train[w] + 0.1) / (n + 0.1 * (v + 1))) for w in tokens))
-        assert r["score"] == pytest.approx(sum(plain_code(train, w, ppm.ORDER) for w in tokens))
+        base = sum(math.log10((train[w] + 0.1) / (n + 0.1 * (v + 1))) for w in tokens)
+        held = i is not None and zlib.crc32(str(i).encode()) % 10 == 0
+        want.append((-1 if i is None else i, held, len(tokens), sum(train[w] > 0 for w in tokens), n, base, model.log10(t)))
+    got = sorted(out.fillna({"doc_id": -1}).itertuples(index=False, name=None))
+    assert len(got) == len(rows)
+    for g, w in zip(got, sorted(want), strict=True):
+        assert g[:5] == w[:5] and g[5:] == pytest.approx(w[5:], rel=1e-5)
     assert ppm.score_documents(docs.limit(0), ppm.held_out_fold()).count() == 0
 
 
-def test_ppm_classes_are_told_from_the_text(spark):
-    rows = [(i, "der die und nicht haus " * 9 if i % 2 else "the of and not house " * 9, "de" if i % 2 else "en") for i in range(40)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    out = ppm.score_documents(docs, ppm.held_out_fold()).toPandas()
-    one = ppm.score_documents(docs, ppm.held_out_fold(), lang_col=None).toPandas()
-    assert out["score"].sum() > one["score"].sum()
+def test_ppm_without_training_documents_is_uniform(spark):
+    rows = ppm.score_documents(docs_frame(spark, [(1, "ab"), (2, None)]), F.lit(True)).orderBy("doc_id").collect()
+    assert [(r["n_tokens"], r["n_known"], r["train_tokens"]) for r in rows] == [(2, 0, 0), (1, 0, 0)]
+    assert [r["score"] for r in rows] == pytest.approx([-3 * math.log10(255), -math.log10(255)], rel=1e-5)
+
+
+def test_ppm_predicts_across_words(spark):
+    rows = [(i, "the river of copper and the garden of stone " * 3) for i in range(1, 40)]
+    ids = [i for i in range(100, 200) if zlib.crc32(str(i).encode()) % 10 == 0][:2]
+    ordered, shuffled = "the river of copper and the garden of stone", "stone of of the and copper garden river the"
+    docs = docs_frame(spark, [*rows, (ids[0], ordered), (ids[1], shuffled)])
+    score = {r["doc_id"]: r["score"] for r in ppm.score_documents(docs, ppm.held_out_fold()).where("held_out").collect()}
+    assert score[ids[0]] > score[ids[1]] + 2
+
+
+def test_ppm_levels_of_many_chunks(spark, monkeypatch):
+    rng = random.Random(3)
+    docs = docs_frame(spark, [(i, prose(rng, 40)) for i in range(40)]).repartition(4)
+    whole = ppm.score_documents(docs, ppm.held_out_fold()).orderBy("doc_id").toPandas()
+    monkeypatch.setattr(ppm, "FAN", 3)
+    monkeypatch.setattr(ppm, "PART_BYTES", 1000)
+    dealt = ppm.score_documents(docs, ppm.held_out_fold(), chunk_bytes=300).orderBy("doc_id").toPandas()
+    pd.testing.assert_frame_equal(whole, dealt)
 
 
-def test_ppm_contexts_do_not_share_cells():
-    rng = random.Random(17)
-    words = sorted({bytes(rng.choices(range(97, 123), k=rng.randint(1, 9))) for _ in range(60_000)})
-    cells, counts = ppm.context_counts(words, np.ones(len(words), np.int64))
-    plain = Counter()
-    for w in words:
-        text = b" " + w + b" "
-        for i in range(1, len(text)):
-            for k in range(min(ppm.ORDER, i) + 1):
-                plain[k, text[i - k : i + 1]] += 1
-    assert len(cells) == len(plain) and sorted(counts.tolist()) == sorted(plain.values())
+def test_places_and_packing_of_arrays():
+    rng = np.random.default_rng(1)
+    keys = np.unique(rng.integers(0, 1 << 63, 5000).astype(np.uint64))
+    assert (ppm.Places(keys).find(keys[::-1]) == np.arange(len(keys))[::-1]).all()
+    for values in (keys, np.zeros(0, np.uint64), np.array([3, 1, 2]), rng.random(9).astype(np.float32)):
+        assert (ppm.unpacked(ppm.packed(values)) == values).all()
 
 
 def test_adaptive_code_learns():
-    assert ppm.adaptive_code_length("") == pytest.approx(math.log2(257))
+    assert ppm.adaptive_code_length("") == pytest.approx(math.log2(255))
     assert ppm.adaptive_code_length("abc" * 50) < 0.3 * ppm.adaptive_code_length("".join(random.Random(12).choices("abcdefghij", k=150)))
 
 
