@@ -43,7 +43,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_bucket, written
+from .common import doc_bucket, spans, written
 
 #: Bytes of context; a context and the byte after it fit in 64 bits.
 ORDER = 6
@@ -51,7 +51,7 @@ ORDER = 6
 SUFFIX = 3
 #: Symbols that UTF-8 doesn't use: before a text, and its end.
 START, END = 0xFF, 0xFE
-CHUNK_BYTES = 32 << 20
+CHUNK_BYTES = 14 << 20
 #: Spelled bytes for each part of the model.
 PART_BYTES = 16 << 20
 MAX_PARTS = 4096
@@ -59,7 +59,7 @@ MAX_PARTS = 4096
 FAN = 64
 #: Part number of a chunk's texts.
 TEXTS = -1
-_BLOCK = 1 << 21
+_BLOCK = 1 << 20
 _ZSTD = pa.Codec("zstd", compression_level=1)
 
 
@@ -71,14 +71,19 @@ def spelled(words: list[bytes]) -> bytes:
     return bytes([START]) * ORDER + b" ".join(words) + bytes([END])
 
 
-def grams_of(buf: np.ndarray) -> np.ndarray:
-    """Of spelled texts: each symbol with the ORDER bytes before it, as one number."""
-    n = max(0, len(buf) - ORDER)
-    key = np.zeros(n, np.uint64)
-    for k in range(ORDER + 1):
-        key <<= np.uint64(8)
-        key |= buf[k : k + n]
-    return key[buf[ORDER:] != START]
+def gram_blocks(buf: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(start, end, which of these bytes are symbols, their grams) of spelled texts.
+
+    A gram is a symbol with the ORDER bytes before it, as one number. Blocks
+    end anywhere, so a long text takes no more memory than others.
+    """
+    for lo, hi in spans(len(buf) - ORDER, _BLOCK):
+        key = np.zeros(hi - lo, np.uint64)
+        for k in range(ORDER + 1):
+            key <<= np.uint64(8)
+            key |= buf[lo + k : hi + k]
+        symbol = buf[lo + ORDER : hi + ORDER] != START
+        yield lo + ORDER, hi + ORDER, symbol, key[symbol]
 
 
 def summed(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -256,30 +261,30 @@ def part_of(grams: np.ndarray, parts: int) -> np.ndarray:
     return (((suffix * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) % np.uint64(parts)).astype(np.uint16)
 
 
-def blocks(texts: list[bytes]) -> Iterator[np.ndarray]:
-    """Spelled texts joined to blocks; a text is in one block."""
-    held: list[bytes] = []
-    size = 0
-    for text in texts:
-        held.append(text)
-        size += len(text)
-        if size >= _BLOCK:
-            yield np.frombuffer(b"".join(held), np.uint8)
-            held, size = [], 0
-    if held:
-        yield np.frombuffer(b"".join(held), np.uint8)
+def dealt(grams: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
+    """The parts of grams in order, and the places of each one's grams."""
+    part = part_of(grams, parts)
+    order = np.argsort(part, kind="stable")
+    cuts = np.searchsorted(part[order], np.arange(parts + 1))
+    for p in range(parts):
+        if cuts[p] < cuts[p + 1]:
+            yield p, order[cuts[p] : cuts[p + 1]]
 
 
-def gram_counts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def gram_counts(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct grams of spelled texts in order, and how often each occurs."""
     runs = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
-    for block in blocks(texts):
-        runs.append(counted(grams_of(block)))
+    for *_, grams in gram_blocks(buf):
+        runs.append(counted(grams))
         if len(runs) > 8:
             runs = [summed(*map(np.concatenate, zip(*runs, strict=True)))]
     return summed(*map(np.concatenate, zip(*runs, strict=True)))
 
 
+def joined(texts: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(texts), np.uint8)
+
+
 Row = tuple[int, int, bytes, bytes]  # chunk, part, keys, values
 
 
@@ -290,20 +295,15 @@ def chunk_rows(chunk: int, ids: list, held: list[bool], texts: list[bytes], word
     with pa.ipc.new_stream(sink, batch.schema) as writer:
         writer.write_batch(batch)
     yield chunk, TEXTS, packed_bytes(b"".join(texts)), sink.getvalue().to_pybytes()
-    grams, counts = gram_counts([t for t, h in zip(texts, held, strict=True) if not h])
-    asked, _ = gram_counts([t for t, h in zip(texts, held, strict=True) if h])
+    grams, counts = gram_counts(joined([t for t, h in zip(texts, held, strict=True) if not h]))
+    asked, _ = gram_counts(joined([t for t, h in zip(texts, held, strict=True) if h]))
     grams, counts = summed(np.concatenate([grams, asked]), np.concatenate([counts, np.zeros(len(asked), np.int64)]))
-    part = part_of(grams, parts)
-    order = np.argsort(part, kind="stable")
-    cuts = np.searchsorted(part[order], np.arange(parts + 1))
-    for p in range(parts):
-        own = order[cuts[p] : cuts[p + 1]]
-        if len(own):
-            yield chunk, p, packed(grams[own]), packed(counts[own])
-    dealt: list[list[bytes]] = [[] for _ in range(parts)]
+    for p, own in dealt(grams, parts):
+        yield chunk, p, packed(grams[own]), packed(counts[own])
+    lists: list[list[bytes]] = [[] for _ in range(parts)]
     for w in words:
-        dealt[zlib.crc32(w) % parts].append(w)
-    for p, own in enumerate(dealt):
+        lists[zlib.crc32(w) % parts].append(w)
+    for p, own in enumerate(lists):
         if own:
             yield chunk, parts + p, packed_bytes(b" ".join(own)), packed(np.fromiter((words[w] for w in own), np.int64, len(own)))
 
@@ -429,15 +429,15 @@ def score_documents(docs: DataFrame, held_out, id_col: str = "doc_id", text_col:
                 grams = [unpacked(k) for k in asks["keys"].to_pylist()]
                 every = counted(np.concatenate(grams))[0]
                 code = ppm.code(every).astype(np.float32)
-                found = [packed(code[np.searchsorted(every, g)]) for g in grams]
+                found = [(None, packed(code[np.searchsorted(every, g)])) for g in grams]
             else:
                 total = word_counts([own[0]], [own[1]]) if own else Counter()
-                found = [packed(np.fromiter((total[w] for w in unpacked_words(k)), np.int64)) for k in asks["keys"].to_pylist()]
-            out = [(c, part, k, v) for c, k, v in zip(asks["chunk"].to_pylist(), asks["keys"].to_pylist(), found, strict=True)]
+                found = [(k, packed(np.fromiter((total[w] for w in unpacked_words(k)), np.int64))) for k in asks["keys"].to_pylist()]
+            out = [(c, part, *x) for c, x in zip(asks["chunk"].to_pylist(), found, strict=True)]
         return pa.Table.from_batches([batch_of(out)])
 
     salts = math.ceil(max(1, chunks) / FAN)
-    salted = asked.withColumn("salt", F.pmod(F.xxhash64("chunk"), F.lit(salts)).cast("int")).groupBy("part", "salt")
+    salted = asked.select("chunk", "part", "keys").withColumn("salt", F.pmod(F.xxhash64("chunk"), F.lit(salts)).cast("int")).groupBy("part", "salt")
     copies = model.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).groupBy("part", "salt")
     answers = salted.cogroup(copies).applyInArrow(answer, ROWS)
 
@@ -445,36 +445,34 @@ def score_documents(docs: DataFrame, held_out, id_col: str = "doc_id", text_col:
         part = table["part"].to_numpy()
         at = int(np.flatnonzero(part == TEXTS)[0])
         about = pa.ipc.open_stream(table["vals"][at].as_py()).read_all()
-        buf = np.frombuffer(unpacked_bytes(table["keys"][at].as_py()), np.uint8)
-        grams, codes, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.float32)], {}
+        text = unpacked_bytes(table["keys"][at].as_py())
+        buf = np.frombuffer(text, np.uint8)
+        ends = np.flatnonzero(buf == END) + 1
+        starts = np.concatenate([[0], ends[:-1]])
+        grams, _ = gram_counts(buf)
+        told, counts = {}, {}
         for k in np.flatnonzero(part != TEXTS).tolist():
-            key, val = table["keys"][k].as_py(), unpacked(table["vals"][k].as_py())
+            val = unpacked(table["vals"][k].as_py())
             if part[k] < parts:
-                grams.append(unpacked(key))
-                codes.append(val)
+                told[int(part[k])] = val
             else:
-                counts |= zip(unpacked_words(key), val.tolist(), strict=True)
-        places, code = Places(np.concatenate(grams)), np.concatenate(codes).astype(np.float64)
-        ends = np.flatnonzero(buf == END) + 1
-        starts = np.concatenate([[0], ends[:-1]])
+                counts |= zip(unpacked_words(table["keys"][k].as_py()), val.tolist(), strict=True)
+        code = np.zeros(len(grams), np.float32)
+        for p, own in dealt(grams, parts):
+            code[own] = told.pop(p)
+        places = Places(grams)
         out = np.zeros((4, len(ends)))
         c = np.fromiter(counts.values(), np.float64, len(counts))
         base = dict(zip(counts, np.log10((c + 0.1) / (n + 0.1 * (distinct + 1))).tolist(), strict=True))
-        text = buf.tobytes()
-        first = 0
-        while first < len(ends):
-            last = max(first + 1, int(np.searchsorted(ends, starts[first] + _BLOCK)))
-            own = buf[starts[first] : ends[last - 1]]
-            codes_here = code[places.find(grams_of(own))]
-            lengths = ends[first:last] - starts[first:last] - ORDER
-            out[3, first:last] = np.add.reduceat(codes_here, np.cumsum(lengths) - lengths)
-            for d in range(first, last):
-                words = text[starts[d] + ORDER : ends[d] - 1].split()
-                words.append(END_WORD)
-                out[0, d] = len(words)
-                out[1, d] = sum(1 for w in words if counts[w])
-                out[2, d] = math.fsum(map(base.__getitem__, words))
-            first = last
+        for lo, hi, symbol, own in gram_blocks(buf):
+            codes = np.zeros(hi - lo)
+            codes[symbol] = code[places.find(own)]
+            docs_here = np.arange(np.searchsorted(ends, lo, "right"), np.searchsorted(starts, hi))
+            out[3, docs_here] += np.add.reduceat(codes, np.maximum(starts[docs_here], lo) - lo)
+        for d, (lo, hi) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True)):
+            words = text[lo + ORDER : hi - 1].split()
+            words.append(END_WORD)
+            out[:3, d] = len(words), sum(1 for w in words if counts[w]), math.fsum(map(base.__getitem__, words))
         longs = out[:2].astype(np.int64)
         return pa.table(
             {

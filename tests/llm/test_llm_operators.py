@@ -399,6 +399,14 @@ def test_ppm_levels_of_many_chunks(spark, monkeypatch):
     pd.testing.assert_frame_equal(whole, dealt)
 
 
+def test_gram_blocks_may_end_within_texts(monkeypatch):
+    buf = ppm.joined([ppm.spelled(ppm.tokens_of(prose(random.Random(k), 30))) for k in range(9)])
+    whole = ppm.gram_counts(buf)
+    monkeypatch.setattr(ppm, "_BLOCK", 50)
+    assert all((a == b).all() for a, b in zip(whole, ppm.gram_counts(buf), strict=True))
+    assert whole[1].sum() == (buf != ppm.START).sum()
+
+
 def test_places_and_packing_of_arrays():
     rng = np.random.default_rng(1)
     keys = np.unique(rng.integers(0, 1 << 63, 5000).astype(np.uint64))
