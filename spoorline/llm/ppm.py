@@ -74,18 +74,28 @@ def spelled(words: list[bytes]) -> bytes:
 def gram_blocks(buf: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(start, end, which of these bytes are symbols, their grams) of spelled texts.
 
-    A gram is a symbol with the ORDER bytes before it, as one number. Blocks
-    end anywhere, so a long text takes no more memory than others.
+    A gram is a symbol with the ORDER bytes before it, as one number: the SUFFIX
+    bytes of context before the symbol, the bytes before those, the symbol. So
+    a part's grams stand close together and compress well. Blocks end anywhere,
+    so a long text takes no more memory than others.
     """
+    layout = (*range(ORDER - SUFFIX, ORDER), *range(ORDER - SUFFIX), ORDER)
     for lo, hi in spans(len(buf) - ORDER, _BLOCK):
         key = np.zeros(hi - lo, np.uint64)
-        for k in range(ORDER + 1):
+        for k in layout:
             key <<= np.uint64(8)
             key |= buf[lo + k : hi + k]
         symbol = buf[lo + ORDER : hi + ORDER] != START
         yield lo + ORDER, hi + ORDER, symbol, key[symbol]
 
 
+def natural(grams: np.ndarray) -> np.ndarray:
+    """Grams with their bytes in the order of the text: cells of the longest order."""
+    lead = (grams >> np.uint64(8)) & np.uint64((1 << (8 * (ORDER - SUFFIX))) - 1)
+    suffix = grams >> np.uint64(8 * (ORDER - SUFFIX + 1))
+    return (lead << np.uint64(8 * (SUFFIX + 1))) | (suffix << np.uint64(8)) | (grams & np.uint64(255))
+
+
 def summed(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys in order, and the sum of each one's weights."""
     order = np.argsort(keys, kind="stable")  # runs in order merge fast
@@ -107,9 +117,9 @@ def counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def packed(values: np.ndarray) -> bytes:
-    """An array as compressed bytes: differences of whole numbers, split into planes of bytes."""
+    """An array as compressed bytes: differences of unsigned numbers, split into planes of bytes."""
     kind = values.dtype.str.encode().ljust(8)
-    if values.dtype.kind != "f" and len(values):
+    if values.dtype.kind == "u" and len(values):
         values = np.concatenate([values[:1], np.diff(values)])
     planes = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes() if len(values) else b""
     return kind + len(planes).to_bytes(8, "little") + _ZSTD.compress(planes, asbytes=True)
@@ -122,7 +132,7 @@ def unpacked(blob: bytes) -> np.ndarray:
         return np.zeros(0, kind)
     planes = np.frombuffer(_ZSTD.decompress(blob[16:], size, asbytes=True), np.uint8).reshape(kind.itemsize, -1)
     values = np.ascontiguousarray(planes.T).reshape(-1).view(kind)
-    return values if kind.kind == "f" else np.cumsum(values, dtype=kind)
+    return np.cumsum(values, dtype=kind) if kind.kind == "u" else values
 
 
 def packed_bytes(data: bytes) -> bytes:
@@ -257,7 +267,7 @@ class PpmModel:
 
 
 def part_of(grams: np.ndarray, parts: int) -> np.ndarray:
-    suffix = (grams >> np.uint64(8)) & np.uint64((1 << (8 * SUFFIX)) - 1)
+    suffix = grams >> np.uint64(8 * (ORDER - SUFFIX + 1))
     return (((suffix * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) % np.uint64(parts)).astype(np.uint16)
 
 
@@ -391,7 +401,7 @@ def shared_cells(model: DataFrame, parts: int) -> tuple[np.ndarray, np.ndarray,
         for batch in batches:
             for part, key, val in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 if part < parts:
-                    cells = np.unique(unpacked(key) & _mask(SUFFIX))
+                    cells = np.unique(natural(unpacked(key)) & _mask(SUFFIX))
                     cells, counts = shorter(cells, SUFFIX - 1)
                     out = cells.astype(np.int64), counts, np.zeros(len(cells), np.int64)
                 else:
@@ -425,10 +435,10 @@ def score_documents(docs: DataFrame, held_out, id_col: str = "doc_id", text_col:
             own = (known["keys"][0].as_py(), known["vals"][0].as_py()) if known.num_rows else None
             if part < parts:
                 cells = (unpacked(own[0]), unpacked(own[1])) if own else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-                ppm = PpmModel(*cells, low_cells, low_counts)
+                ppm = PpmModel(*summed(natural(cells[0]), cells[1]), low_cells, low_counts)
                 grams = [unpacked(k) for k in asks["keys"].to_pylist()]
                 every = counted(np.concatenate(grams))[0]
-                code = ppm.code(every).astype(np.float32)
+                code = ppm.code(natural(every)).astype(np.float32)
                 found = [(None, packed(code[np.searchsorted(every, g)])) for g in grams]
             else:
                 total = word_counts([own[0]], [own[1]]) if own else Counter()
@@ -462,8 +472,6 @@ def score_documents(docs: DataFrame, held_out, id_col: str = "doc_id", text_col:
             code[own] = told.pop(p)
         places = Places(grams)
         out = np.zeros((4, len(ends)))
-        c = np.fromiter(counts.values(), np.float64, len(counts))
-        base = dict(zip(counts, np.log10((c + 0.1) / (n + 0.1 * (distinct + 1))).tolist(), strict=True))
         for lo, hi, symbol, own in gram_blocks(buf):
             codes = np.zeros(hi - lo)
             codes[symbol] = code[places.find(own)]
@@ -472,7 +480,8 @@ def score_documents(docs: DataFrame, held_out, id_col: str = "doc_id", text_col:
         for d, (lo, hi) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True)):
             words = text[lo + ORDER : hi - 1].split()
             words.append(END_WORD)
-            out[:3, d] = len(words), sum(1 for w in words if counts[w]), math.fsum(map(base.__getitem__, words))
+            c = np.fromiter(map(counts.__getitem__, words), np.float64, len(words))
+            out[:3, d] = len(words), np.count_nonzero(c), np.log10((c + 0.1) / (n + 0.1 * (distinct + 1))).sum()
         longs = out[:2].astype(np.int64)
         return pa.table(
             {
