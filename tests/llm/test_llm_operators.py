@@ -4,6 +4,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -51,6 +52,93 @@ def test_html_without_article_keeps_the_dense_region():
     assert html_extract.extract(page)[0] == "\n".join([text.strip()] * 2)
 
 
+def plain_choice(lines, parent, sigma=1.0):
+    """The same choice with a line at a time and no shared steps."""
+    body = [x for x in lines if not x.marked]
+    own = lambda xs: sum(max(0, len(x.text) - x.links) for x in xs)
+    inside = lambda x: True
+    for test in (lambda x: x.articles > 0, lambda x: x.main):
+        if own(filter(test, body)) * 2 >= max(1, own(body)):
+            inside = test
+            break
+    first, every = own(x for x in body if x.articles == 1), own(x for x in body if x.articles)
+    weak = [x.marked or not inside(x) or (x.articles > 1 and 4 * first >= every > 0) for x in lines]
+    r = [0 if w else max(0, len(x.text) - x.links) / max(1, x.tags) for x, w in zip(lines, weak)]
+    v = []
+    for i in range(len(r)):
+        near = [j for j in range(len(r)) if abs(i - j) <= math.ceil(2 * sigma)]
+        k = [math.exp(-((i - j) ** 2) / (2 * sigma * sigma)) for j in near]
+        v.append(min(r[i], sum(a * r[j] for a, j in zip(k, near)) / sum(k)))
+    low, high, cut = min(v), max(v), 0
+    if high > 3 * low:
+        for _ in range(20):
+            a, b = [x for x in v if x <= (low + high) / 2], [x for x in v if x > (low + high) / 2]
+            if not a or not b:
+                break
+            low, high = sum(a) / len(a), sum(b) / len(b)
+        cut = (low + high) / 2
+
+    def reached(region):
+        mine = [x for x in lines if x.region == region]
+        if any(y >= cut for x, y in zip(lines, v) if x.region == region) or (not mine and cut <= 0):
+            return True
+        return region in parent and reached(parent[region]) and 2 * own(mine) >= sum(len(x.text) for x in mine)
+
+    return [x.text for x, w in zip(lines, weak) if reached(x.region) and not (w and cut > 0)]
+
+
+def test_html_choice_against_a_plain_version():
+    rng = random.Random(5)
+    tags = ["div", "article", "section", "p", "ul", "li", "a", "b", "main", "table", "td", "aside", "h2"]
+    for _ in range(300):
+        html, depth = "", []
+        for _ in range(rng.randint(1, 60)):
+            if depth and rng.random() < 0.4:
+                html += f"</{depth.pop()}>"
+            else:
+                depth.append(rng.choice(tags))
+                mark = rng.choice(["", "", "", ' class="ad"', ' id="comments"'])
+                html += f"<{depth[-1]}{mark}>" + " ".join(rng.choices(WORDS, k=rng.choice([0, 0, 1, 9, 30])))
+        lines, parent = html_extract.read_lines(html)
+        if lines:
+            assert [x.text for x in html_extract.chosen(lines, parent)] == plain_choice(lines, parent)
+
+
+def test_html_threshold_decides_without_telling_names(monkeypatch):
+    text = "A long sentence about rivers and mountains that goes on for quite a while. " * 4
+    links = "".join(f'<li><a href="/{w}">{w}</a></li>' for w in WORDS)
+    page = f"<body><div><ul>{links}</ul></div><div><p>{text}</p><p>Short one.</p><p>{text}</p><ul><li>stone</li><li>paper</li></ul></div><div>Copper <a href=/x>silver market</a></div></body>"
+    want = "\n".join([text.strip(), "Short one.", text.strip(), "stone", "paper"])
+    assert html_extract.extract(page)[0] == want
+    within = f"<article><h1>Title words</h1><p>{text}</p><ul>{links}</ul><table><tr><td>a<td>b</tr></table><p>{text}</p></article><div>{text[:40]}</div>"
+    assert html_extract.extract(within)[0] == "\n".join(["Title words", text.strip(), "a b", text.strip()])
+    monkeypatch.setattr(html_extract, "two_cluster_threshold", lambda values: 0.0)
+    assert html_extract.extract(page)[0] != want
+    assert "Buy this" in html_extract.extract(PAGE)[0]  # marks alone remove nothing
+
+
+def test_html_teaser_article_beside_the_text():
+    text = "A long sentence about rivers and mountains that goes on for quite a while. " * 6
+    page = f"<body><div><article><a href=1>Other story</a> in brief</article></div><div><p>{text}</p><p>{text}</p></div></body>"
+    assert html_extract.extract(page)[0] == "\n".join([text.strip()] * 2)
+
+
+@pytest.mark.parametrize("mark", ['id="social-impact"', 'class="post ad-free"', 'class="layout sidebar-left"', 'class="related-work"', 'id="content"'])
+def test_html_names_that_only_hold_a_listed_word(mark):
+    page = f"<div {mark}><h2 id='comments'>On comments</h2><p>Rivers and mountains go on for quite a while here.</p></div><div class='cookie-notice'>We use cookies</div>"
+    assert html_extract.extract(page)[0] == "On comments\nRivers and mountains go on for quite a while here."
+
+
+def test_html_bad_references_and_large_pages():
+    page = "<p>a&#" + "9" * 5000 + ";b &#" + "0" * 5000 + "65; &#x" + "f" * 6000 + ";c &#65; &#0000000065;"
+    assert html_extract.extract(page)[0] == "a\ufffdb A \ufffdc A A"
+    began = time.time()
+    assert html_extract.extract("<div>" * 100_000 + "x" + "</span>" * 100_000 + "</div>" * 50_000)[0] == "x"
+    big = "<article>" + "<p>some text of a paragraph that goes on <b>and on</b></p>" * 180_000 + "</article>"
+    assert html_extract.extract(big)[1] == 180_000
+    assert time.time() - began < 60
+
+
 def test_html_frame(spark):
     pages = spark.createDataFrame([(1, None, "old"), (2, "", "old"), (3, "<p>x</p>", "old"), (3, "<p>x</p>", "old"), (4, "<![if bad <p>y", "o")], "page_id long, html string, text string")
     rows = html_extract.extract_main_text(pages).select("page_id", "text", "n_chars").collect()
