@@ -1,15 +1,14 @@
 """Quality classifier by importance resampling.
 
-Two generative models of hashed byte n-grams, and of words that repeat the word
-before them, are counted: one of the target (labelled good documents), one of
-the raw corpus (every document). A
-document's log weight is the mean over its n-grams of
-``log p_target - log p_raw``, shrunk towards 0 for short texts. Gumbel noise,
-fixed by the document's id, is added, and the k documents with the highest
-sums are kept: Gumbel top-k is sampling without replacement by importance
-weight. k is the number of documents whose log weight reaches the cut that
-tells the labelled good from the labelled bad with the fewest errors; with no bad labels
-every document is kept.
+Two generative models of hashed byte n-grams are counted: one of the target
+(labelled good documents), one of the raw corpus (every document). A document's
+log weight is the log ratio of its probabilities under the two: the sum over
+its n-grams of ``log p_target - log p_raw``. Gumbel noise of unit scale, fixed
+by the document's id, is added, and the k documents with the highest sums are
+kept: Gumbel top-k is sampling without replacement by importance weight. ``k``
+is a parameter; by default it is the number of documents whose log weight
+reaches the cut that tells the labelled good from the labelled bad with the
+fewest errors. With no bad labels every document is kept then.
 
 The raw model counts all n-grams of all documents. The labels used are a
 bounded sample (``max_labels``, chosen by a hash of the id), which is all that
@@ -18,7 +17,9 @@ input.
 
 Defined results: null and empty texts have weight 0 (no evidence); a null
 doc_id takes part with noise of its own text; rows of equal id have equal
-noise; ties at the k-th place are all kept; empty tables give empty results.
+noise; ties at the k-th place are all kept; empty tables give empty results;
+``keep`` returns the columns it got, whatever their names (only names that
+begin with ``__`` are reserved).
 """
 
 from __future__ import annotations
@@ -27,26 +28,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import saved, spans, text_buffer
 
 BITS = 16
 #: Lengths of the n-grams in bytes.
-ORDERS = (3, 5)
+ORDERS = (2, 4, 6, 8)
 #: Most labelled rows that the target model and the cut are fitted on.
 MAX_LABELS = 20_000
-#: Pseudo-count of n-grams without evidence, for short texts.
-SHRINK = 100.0
-#: Scale of the Gumbel noise against the mean log weight of an n-gram.
-TEMPERATURE = 0.002
 _BLOCK = 1 << 20
-#: Places after the n-gram buckets: none, then the two outcomes of "repeats the word before it".
-NONE, REPEAT = 1 << BITS, (1 << BITS) + 1
-_BLACK = np.ones(256, bool)
-_BLACK[list(b" \t\n\x0b\x0c\r")] = False
-_POWERS = np.cumprod(np.full(1024, 0x9E3779B97F4A7C15, np.uint64))
+#: The bucket of places where no n-gram fits.
+NONE = 1 << BITS
 
 
 def gram_blocks(data: np.ndarray, offsets: np.ndarray, order: int) -> Iterator[tuple[int, int, np.ndarray]]:
@@ -67,54 +61,18 @@ def gram_blocks(data: np.ndarray, offsets: np.ndarray, order: int) -> Iterator[t
         yield lo, hi, bucket
 
 
-def document_sums(data: np.ndarray, offsets: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Per document: sum of its n-grams' weights, and their number."""
-    n = len(offsets) - 1
-    total, count = np.zeros(n), np.zeros(n, np.int64)
+def document_sums(data: np.ndarray, offsets: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Per document: sum of its n-grams' weights."""
+    total = np.zeros(len(offsets) - 1)
     lengths = np.diff(offsets)
     for order in ORDERS:
-        count += np.maximum(lengths - order + 1, 0)
         for lo, hi, bucket in gram_blocks(data, offsets, order):
             first = int(np.searchsorted(offsets, lo, "right")) - 1
             last = int(np.searchsorted(offsets, hi, "left"))
             own = np.arange(first, last)[lengths[first:last] > 0]
             starts = np.maximum(offsets[own], lo) - lo
             total[own] += np.add.reduceat(weights[bucket], starts)
-    for lo, hi in document_runs(offsets):
-        owner, same = repeats(data, offsets, lo, hi)
-        total[lo:hi] += np.bincount(owner, weights[REPEAT + same], minlength=hi - lo)
-        count[lo:hi] += np.bincount(owner, minlength=hi - lo)
-    return total, count
-
-
-def document_runs(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Runs of whole documents of about a block; a longer document is a run of its own."""
-    lo, n = 0, len(offsets) - 1
-    while lo < n:
-        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + _BLOCK, "right")) - 1)
-        yield lo, hi
-        lo = hi
-
-
-def repeats(data: np.ndarray, offsets: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each word but a document's first: its document (from ``lo``), and 1 if it equals the word before it."""
-    part = data[offsets[lo] : offsets[hi]]
-    black = _BLACK[part]
-    first = black.copy()
-    first[1:] &= ~black[:-1]
-    bounds = offsets[lo:hi] - offsets[lo]
-    bounds = bounds[bounds < len(part)]
-    first[bounds] = black[bounds]
-    start = np.flatnonzero(first)
-    if len(start) < 2:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    place = np.arange(len(part))
-    place[start[0] :] -= np.repeat(start, np.diff(np.append(start, len(part))))
-    value = np.where(black, (part.astype(np.uint64) + np.uint64(1)) * _POWERS[place & 1023], np.uint64(0))
-    code = np.add.reduceat(value, start)
-    owner = np.searchsorted(offsets[lo : hi + 1] - offsets[lo], start, "right") - 1
-    inside = owner[1:] == owner[:-1]
-    return owner[1:][inside], (code[1:] == code[:-1])[inside].astype(np.int64)
+    return total
 
 
 def label_sample(labels: DataFrame, id_col: str, label_col: str, max_labels: int) -> tuple[np.ndarray, np.ndarray]:
@@ -144,40 +102,33 @@ def looked_up(ids: pa.Array, known: np.ndarray, labels: np.ndarray) -> np.ndarra
 
 
 def fit_log_ratio(docs: DataFrame, known: np.ndarray, labels: np.ndarray, id_col: str, text_col: str) -> np.ndarray:
-    """log p_target - log p_raw for each bucket, 0 for NONE, and both outcomes of a repeat."""
+    """log p_target - log p_raw for each bucket, and 0 for NONE."""
     size = 1 << BITS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, good = np.zeros(size + 3, np.int64), np.zeros(size + 3, np.int64)
+        raw, good = np.zeros(size + 1, np.int64), np.zeros(size + 1, np.int64)
         for batch in batches:
             data, offsets = text_buffer(batch.column(1))
             target = looked_up(batch.column(0), known, labels) == 1
-            wanted = np.repeat(target, np.diff(offsets))
+            wanted = np.repeat(target, np.diff(offsets)) if target.any() else None
             for order in ORDERS:
                 for lo, hi, bucket in gram_blocks(data, offsets, order):
-                    raw += np.bincount(bucket, minlength=size + 3)
-                    good += np.bincount(bucket[wanted[lo:hi]], minlength=size + 3)
-            for lo, hi in document_runs(offsets):
-                owner, same = repeats(data, offsets, lo, hi)
-                raw[REPEAT:] += np.bincount(same, minlength=2)
-                good[REPEAT:] += np.bincount(same[target[lo:hi][owner]], minlength=2)
+                    raw += np.bincount(bucket, minlength=size + 1)
+                    if wanted is not None:
+                        good += np.bincount(bucket[wanted[lo:hi]], minlength=size + 1)
         raw[NONE] = 0
         at = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(raw[at]), pa.array(good[at])], ["bucket", "raw", "good"])
 
     rows = docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(count, "bucket int, raw long, good long")
     table = rows.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good")).toPandas()
-    raw, good = np.zeros(size + 3), np.zeros(size + 3)
+    raw, good = np.zeros(size), np.zeros(size)
     raw[table["bucket"]], good[table["bucket"]] = table["raw"], table["good"]
     if not good.sum():
-        return np.zeros(size + 3)
-    out = np.zeros(size + 3)
-    for own in (slice(0, size), slice(REPEAT, size + 3)):  # two multinomials
-        n = len(raw[own])
-        # Target and raw share a prior of one count a bucket, spread as the raw corpus is.
-        prior = (raw[own] + 1) / (raw[own].sum() + n)
-        out[own] = np.log((good[own] + n * prior) / (good[own].sum() + n)) - np.log(prior)
-    return out
+        return np.zeros(size + 1)
+    # Target and raw share a prior of one count a bucket, spread as the raw corpus is.
+    prior = (raw + 1) / (raw.sum() + size)
+    return np.append(np.log((good + size * prior) / (good.sum() + size)) - np.log(prior), 0.0)
 
 
 def best_cut(weights: np.ndarray, labels: np.ndarray) -> float:
@@ -193,39 +144,53 @@ def best_cut(weights: np.ndarray, labels: np.ndarray) -> float:
     return float(mids[top[np.argmax(gaps)]])
 
 
+class Sampler:
+    """The fitted models and the least key that is kept."""
+
+    def __init__(self, docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, k: int | None, max_labels: int, seed: int) -> None:
+        self.id_col, self.text_col, self.seed = id_col, text_col, seed
+        known, marks = label_sample(labels, id_col, label_col, max_labels)
+        self.ratio = fit_log_ratio(docs, known, marks, id_col, text_col)
+        self.scored = saved(docs.select(F.col(id_col).cast("long").alias("id"), self.log_weight().alias("log_weight"), self.noise().alias("noise")))
+        if k is None:
+            rows = docs.sparkSession.createDataFrame(list(zip(known.tolist(), marks.tolist(), strict=True)), "id long, q long")
+            fitted = self.scored.join(F.broadcast(rows), "id").groupBy("id").agg(F.first("log_weight").alias("w"), F.first("q").alias("q")).toPandas()
+            cut = best_cut(fitted["w"].to_numpy(float), fitted["q"].to_numpy())
+            k = self.scored.where(F.col("log_weight") >= F.lit(cut)).count()
+        keyed = self.scored.select((F.col("log_weight") + F.col("noise")).alias("key"))
+        self.least = kth_largest(keyed, "key", k, keyed.count())
+
+    def log_weight(self) -> Column:
+        ratio = self.ratio
+
+        @F.arrow_udf("double")
+        def weigh(texts: pa.Array) -> pa.Array:
+            return pa.array(document_sums(*text_buffer(texts), ratio))
+
+        return weigh(F.col(self.text_col))
+
+    def noise(self) -> Column:
+        """Gumbel noise: 53 bits of a hash make a uniform number in (0, 1)."""
+        i = F.col(self.id_col)
+        h = F.when(i.isNull(), F.xxhash64(F.col(self.text_col), F.lit(self.seed))).otherwise(F.xxhash64(i.cast("long"), F.lit(self.seed)))
+        return -F.log(-F.log((F.shiftrightunsigned(h, 11).cast("double") + 0.5) / F.lit(float(1 << 53))))
+
+
 def resample(
-    docs: DataFrame,
-    labels: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    label_col: str = "quality",
-    max_labels: int = MAX_LABELS,
-    temperature: float = TEMPERATURE,
-    seed: int = 17,
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", k: int | None = None, max_labels: int = MAX_LABELS, seed: int = 17
 ) -> DataFrame:
     """One row per document: ``id_col``, log_weight, key, kept. The text isn't carried."""
-    known, marks = label_sample(labels, id_col, label_col, max_labels)
-    ratio = fit_log_ratio(docs, known, marks, id_col, text_col)
+    fitted = Sampler(docs, labels, id_col, text_col, label_col, k, max_labels, seed)
+    key = F.col("log_weight") + F.col("noise")
+    return fitted.scored.select(F.col("id").alias(id_col), "log_weight", key.alias("key"), (key >= F.lit(fitted.least)).alias("kept"))
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = text_buffer(batch.column(1))
-            total, count = document_sums(data, offsets, ratio)
-            label = looked_up(batch.column(0), known, marks)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(total / (count + SHRINK)), pa.array(label)], ["id", "h", "log_weight", "label"])
-
-    noise_of = F.coalesce(F.xxhash64(F.col(id_col), F.lit(seed)), F.xxhash64(F.col(text_col), F.lit(seed)))
-    noise_of = F.when(F.col(id_col).isNull(), F.xxhash64(F.col(text_col), F.lit(seed))).otherwise(noise_of)
-    scored = saved(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col), noise_of.alias("h")).select("id", text_col, "h").mapInArrow(score, "id long, h long, log_weight double, label long"))
-    fitted = scored.where("label >= 0").groupBy("id").agg(F.first("log_weight").alias("w"), F.first("label").alias("q")).toPandas()
-    cut = best_cut(fitted["w"].to_numpy(float), fitted["q"].to_numpy())
-    # 53 bits of the hash make a uniform number in (0, 1).
-    uniform = (F.shiftrightunsigned("h", 11).cast("double") + 0.5) / F.lit(float(1 << 53))
-    keyed = scored.withColumn("key", F.col("log_weight") - F.lit(temperature) * F.log(-F.log(uniform)))
-    k, n = keyed.agg(F.count(F.when(F.col("log_weight") >= F.lit(cut), 1)), F.count(F.lit(1))).first()
-    least = kth_largest(keyed, "key", k, n)
-    out = keyed.withColumn("kept", F.col("key") >= F.lit(least))
-    return out.select(F.col("id").alias(id_col), "log_weight", "key", "kept")
+
+def keep(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", k: int | None = None, max_labels: int = MAX_LABELS, seed: int = 17
+) -> DataFrame:
+    """The rows of ``docs`` that are kept. They are weighed once more, so that no text moves."""
+    fitted = Sampler(docs, labels, id_col, text_col, label_col, k, max_labels, seed)
+    return docs.withColumn("__weight", fitted.log_weight()).where(F.col("__weight") + fitted.noise() >= F.lit(fitted.least)).drop("__weight")
 
 
 def kth_largest(df: DataFrame, col: str, k: int, n: int) -> float:

@@ -276,22 +276,72 @@ def test_resampling_keeps_good_and_drops_bad(spark):
     assert importance.resample(docs_frame(spark, rows).limit(0), labels).count() == 0
 
 
+def gram_bucket(gram):
+    key = len(gram)
+    for b in gram:
+        key = (key << 8 | b) & (1 << 64) - 1
+    return (key * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> 64 - importance.BITS
+
+
+def plain_log_weights(rows, labels):
+    """Sum over a text's n-grams of the log ratio of the two models, straight from the definition."""
+    grams = lambda t: [gram_bucket(t[i : i + n]) for n in importance.ORDERS for i in range(len(t) - n + 1)]
+    texts = [(i, grams((t or "").encode())) for i, t in rows]
+    raw, good = Counter(), Counter()
+    for i, g in texts:
+        raw.update(g)
+        if labels.get(i) == 1:
+            good.update(g)
+    size, n, m = 1 << importance.BITS, sum(raw.values()), sum(good.values())
+    prior = lambda b: (raw[b] + 1) / (n + size)
+    return [sum(math.log((good[b] + size * prior(b)) / (m + size) / prior(b)) for b in g) for _, g in texts]
+
+
+def test_resampling_against_the_definition(spark):
+    rng = random.Random(9)
+    rows = [(i, prose(rng, rng.randint(1, 30)) if i % 3 else " ".join(rng.choices(["x&&&", "y$$$", "the"], k=9))) for i in range(60)]
+    rows += [(5, "another text under one id"), (7, rows[7][1]), (None, "no id at all"), (None, None), (99, ""), (98, "word " * 60_000)]
+    marks = {i: int(i % 3 > 0) for i in range(0, 60, 2)}
+    docs = spark.createDataFrame([(i, t, 1, 2, "n") for i, t in rows], "doc_id long, text string, key int, log_weight int, noise string")
+    labels = spark.createDataFrame([*marks.items(), (None, 1), (1, None)], "doc_id long, quality int")
+    out = importance.resample(docs, labels, k=40).toPandas()
+    want = sorted(plain_log_weights(rows, marks))
+    assert sorted(out["log_weight"]) == pytest.approx(want, rel=1e-6, abs=1e-6)
+    assert out["kept"].sum() == 40 and out.loc[out["kept"], "key"].min() >= out.loc[~out["kept"], "key"].max()
+    noise = (out["key"] - out["log_weight"]).groupby(out["doc_id"]).nunique()
+    assert noise.loc[7] == 1
+    kept = importance.keep(docs, labels, k=40)
+    assert kept.columns == docs.columns
+    assert Counter(r["doc_id"] for r in kept.collect()) == Counter(None if pd.isna(i) else int(i) for i in out.loc[out["kept"], "doc_id"])
+    assert importance.resample(docs, labels, k=0).where("kept").count() == 0
+    same = docs_frame(spark, [(3, "one text")] * 5)  # ties at the k-th place are all kept
+    assert importance.resample(same, labels, k=2).where("kept").count() == 5
+
+
+def test_resampling_draws_by_weight(spark):
+    rows = [(i, "light river stone" if i % 2 else "light river stonx") for i in range(400)]
+    docs = docs_frame(spark, rows)
+    labels = spark.createDataFrame([(i, 1) for i in range(1, 60, 2)], "doc_id long, quality int")
+    out = [importance.resample(docs, labels, k=80, seed=s).toPandas() for s in (1, 2, 3)]
+    weight = out[0].groupby(out[0]["doc_id"] % 2)["log_weight"].first()
+    assert 0.5 < weight[1] - weight[0] < 5
+    share = [x.loc[x["kept"], "doc_id"].mod(2).mean() for x in out]
+    odds = math.exp(weight[1] - weight[0])
+    # The first draws follow the odds; later ones less so, as the drawn leave the pool.
+    assert 0.5 < min(share) and max(share) <= 1 and abs(sum(share) / 3 - odds / (1 + odds)) < 0.12
+    assert set(out[0].loc[out[0]["kept"], "doc_id"]) != set(out[1].loc[out[1]["kept"], "doc_id"])
+
+
 def test_gram_sums_match_a_plain_count():
     rng = np.random.default_rng(6)
     texts = [bytes(rng.integers(97, 101, n, dtype=np.uint8)) for n in (0, 1, 2, 3, 4, 5, 6, 40, 0, 9)]
     data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
-    weights = rng.normal(size=(1 << importance.BITS) + 3)
+    weights = rng.normal(size=(1 << importance.BITS) + 1)
     weights[importance.NONE :] = 0
-    total, _ = importance.document_sums(data, offsets, weights)
-
-    def bucket(gram):
-        key = len(gram)
-        for b in gram:
-            key = (key << 8 | b) & (1 << 64) - 1
-        return (key * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> 64 - importance.BITS
+    total = importance.document_sums(data, offsets, weights)
 
     for t, got in zip(texts, total):
-        assert got == pytest.approx(sum(weights[bucket(t[i : i + n])] for n in importance.ORDERS for i in range(len(t) - n + 1)))
+        assert got == pytest.approx(sum(weights[gram_bucket(t[i : i + n])] for n in importance.ORDERS for i in range(len(t) - n + 1)))
 
 
 def test_kth_largest(spark):
