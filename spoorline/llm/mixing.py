@@ -8,13 +8,17 @@ token budget. A document's draw depends on its id alone.
 
 DataFrame functions only. Documents are aggregated to cells map-side, so a hot
 source costs no more than any other; raking works on the cell table alone,
-which has a row for each combination of values and no text.
+which has a row for each combination of values and no text. Sweeps go on until all
+marginals are within ``TOLERANCE`` of their targets, or ``MAX_SWEEPS`` is
+reached, as targets may contradict each other.
 
 Targets are explicit shares, or the observed share to a power below 1, which
 lifts small values. Defined results: null keys count as the empty string; a
 value that has tokens but no explicit share gets none, so its documents have
 probability 0; cells without a token have probability 1; a null id draws by
 its text; rows of equal id draw alike; an empty table gives an empty result.
+``mix`` replaces columns named as its own, ``draw`` returns rows as they came;
+names that begin with ``__`` are reserved.
 """
 
 from __future__ import annotations
@@ -30,11 +34,17 @@ from .common import saved
 DIMS = ("source", "lang", "topic")
 #: Powers of the observed shares that the query aims at.
 POWERS = {"source": 0.5, "lang": 0.7, "topic": 0.9}
+#: Sweeps before the marginals are looked at, and at most.
 SWEEPS = 8
+MAX_SWEEPS = 64
+#: Largest difference of a marginal share and its target.
+TOLERANCE = 1e-4
 #: Share of all tokens that is sampled.
 BUDGET = 0.6
 #: Most cells that are broadcast to the documents.
 BROADCAST_CELLS = 100_000
+#: Tasks that a hot cell's documents are dealt to beyond that.
+SALTS = 64
 _WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -54,15 +64,15 @@ def topic_of(text: Column) -> Column:
 
 
 def with_cells(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Add the cell of each document and its words."""
+    """Add the cell of each document and its words, as ``__source``, ``__lang``, ``__topic`` and ``__tokens``."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     topic = F.coalesce(F.col("topic"), F.lit("")) if "topic" in docs.columns else topic_of(text)
     return docs.withColumns(
         {
-            "source": F.coalesce("source", F.lit("")),
-            "lang": F.coalesce("lang", F.lit("")),
-            "topic": topic,
-            "n_tokens": F.regexp_count(text, F.lit(_WORD)).cast("long"),
+            "__source": F.coalesce("source", F.lit("")),
+            "__lang": F.coalesce("lang", F.lit("")),
+            "__topic": topic,
+            "__tokens": F.regexp_count(text, F.lit(_WORD)).cast("long"),
         }
     )
 
@@ -85,14 +95,23 @@ def raked(cells: DataFrame, targets: Mapping[str, Mapping[str, float]] | None =
             want = present.select(dim, F.pow("t", F.lit(POWERS[dim])).alias("x"))
         shares = want.select(dim, F.try_divide("x", F.sum("x").over(W.partitionBy(F.lit(1)))).alias(f"to_{dim}"))
         cur = cur.join(shares, dim, "left")
-    cur = saved(cur)
-    for _ in range(sweeps):
-        for dim in DIMS:
-            factor = F.try_divide(F.col(f"to_{dim}"), F.sum("w").over(W.partitionBy(dim)))
-            cur = cur.withColumn("w", F.col("w") * F.coalesce(factor, F.lit(0.0)))
+    for done in range(0, MAX_SWEEPS, sweeps):
+        cur = saved(cur)
+        if done and _farthest(cur) <= TOLERANCE:
+            break
+        for _ in range(sweeps):
+            for dim in DIMS:
+                factor = F.try_divide(F.col(f"to_{dim}"), F.sum("w").over(W.partitionBy(dim)))
+                cur = cur.withColumn("w", F.col("w") * F.coalesce(factor, F.lit(0.0)))
     return cur.select(*DIMS, "tokens", "w")
 
 
+def _farthest(cells: DataFrame) -> float:
+    """Largest difference of a marginal share of the weights and its target."""
+    sums = [cells.groupBy(dim).agg(F.abs(F.sum("w") - F.coalesce(F.first(f"to_{dim}"), F.lit(0.0))).alias("far")).select("far") for dim in DIMS]
+    return sums[0].unionAll(sums[1]).unionAll(sums[2]).agg(F.max("far")).first()[0] or 0.0
+
+
 def probabilities(cells: DataFrame, budget: float = BUDGET) -> DataFrame:
     """(source, lang, topic, p): one rate for all cells that aren't taken whole spends ``budget`` of the tokens."""
     order = W.orderBy(F.desc("r"), "source", "lang", "topic")
@@ -119,6 +138,23 @@ def probabilities(cells: DataFrame, budget: float = BUDGET) -> DataFrame:
     return some.unionByName(cells.where("tokens <= 0 or tokens is null").select("source", "lang", "topic", F.lit(1.0).alias("p")))
 
 
+def _drawn(docs: DataFrame, targets, budget: float, sweeps: int, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` with ``__source``, ``__lang``, ``__topic``, ``__tokens``, ``__p`` and ``__kept``."""
+    own = with_cells(docs, text_col)
+    hidden = {f"__{dim}": dim for dim in DIMS}
+    cells = saved(own.groupBy(*hidden).agg(F.sum("__tokens").alias("tokens")).withColumnsRenamed(hidden))
+    p = saved(probabilities(raked(cells, targets, sweeps), budget)).withColumnsRenamed({dim: f"__{dim}" for dim in DIMS} | {"p": "__p"})
+    draw = F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.col(text_col), F.lit("")).cast("binary")), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
+    # Few cells go to every task, so no document moves; beyond that a join deals documents by cell and salt.
+    if p.count() <= BROADCAST_CELLS:
+        joined = own.join(F.broadcast(p), list(hidden), "left")
+    else:
+        salted = p.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salt = F.pmod(F.xxhash64(id_col, text_col), F.lit(SALTS)).cast("int")
+        joined = own.withColumn("__salt", salt).join(salted, [*hidden, "__salt"], "left").drop("__salt")
+    return joined.withColumn("__p", F.coalesce("__p", F.lit(1.0))).withColumn("__kept", draw < F.col("__p"))
+
+
 def mix(
     docs: DataFrame,
     targets: Mapping[str, Mapping[str, float]] | None = None,
@@ -128,14 +164,21 @@ def mix(
     text_col: str = "text",
 ) -> DataFrame:
     """Add source, lang and topic without nulls, n_tokens, p and kept."""
-    own = with_cells(docs, text_col)
-    cells = saved(own.groupBy(*DIMS).agg(F.sum("n_tokens").alias("tokens")))
-    p = saved(probabilities(raked(cells, targets, sweeps), budget))
-    draw = F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.col(text_col), F.lit("")).cast("binary")), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
-    # Few cells go to every task, so no document moves; beyond that the join deals documents by cell.
-    few = p.count() <= BROADCAST_CELLS
-    joined = own.withColumn("__draw", draw).join(F.broadcast(p) if few else p, list(DIMS), "left")
-    return joined.withColumn("kept", F.col("__draw") < F.coalesce("p", F.lit(1.0))).drop("__draw")
+    out = _drawn(docs, targets, budget, sweeps, id_col, text_col)
+    added = {"source": "__source", "lang": "__lang", "topic": "__topic", "n_tokens": "__tokens", "p": "__p", "kept": "__kept"}
+    return out.withColumns({name: F.col(c) for name, c in added.items()}).drop(*added.values())
+
+
+def draw(
+    docs: DataFrame,
+    targets: Mapping[str, Mapping[str, float]] | None = None,
+    budget: float = BUDGET,
+    sweeps: int = SWEEPS,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """The rows of ``docs`` that are drawn, as they came."""
+    return _drawn(docs, targets, budget, sweeps, id_col, text_col).where("__kept").select(docs.columns)
 
 
 def oracle_sql() -> str:
