@@ -2,7 +2,7 @@
 
 1. ``quality``: importance resampling drops what the labelled good documents don't resemble.
 2. ``language``: a byte network drops texts whose language it can't tell (no letters, or under even odds).
-3. ``near_duplicates``: documents whose 5-word shingles have a Jaccard similarity of 0.8 or more link; of each component the one with the smallest id stays.
+3. ``near_duplicates``: documents link whose SimHash fingerprints, found by Golay-code fuzzy hashing, tell a similarity of their 5-word shingles of 0.8 or more; of each component the one with the smallest id stays.
 4. ``mixing``: documents are sampled towards target weights of source, language and topic.
 5. ``packing``: what is left is tokenised and packed; the result has one row per piece.
 
@@ -16,40 +16,47 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spoorline.llm import importance, jaccard, langid, mixing, packing
+from spoorline.llm import importance, langid, mixing, packing, simhash
 from spoorline.llm.common import doc_bucket, read_table, saved
 
 #: A document stays if its language has at least this probability.
 MIN_LANGUAGE_SCORE = 0.35
 
 
-def _kept_by_id(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose doc_id is among ``ids``; rows with a null id stay out."""
-    return docs.join(ids.select("doc_id").distinct(), "doc_id", "left_semi").select(docs.columns)
-
-
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    judged = importance.resample(docs, read_table(spark, sf_dir, "labels"))
-    return _kept_by_id(docs, judged.where("kept"))
+    """Rows that importance resampling towards the labelled good documents keeps.
+
+    Rows are judged one by one, null ids and repeated rows too; empty texts have
+    weight 0. Columns are returned as they came.
+    """
+    return importance.keep(docs, read_table(spark, sf_dir, "labels"))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose text has a letter and a language told with ``MIN_LANGUAGE_SCORE`` or more.
+
+    Without any labelled text to learn from only texts without a letter go.
+    Columns are returned as they came.
+    """
     model = langid.fit(docs, F.coalesce(doc_bucket("doc_id", 4) != 2, F.lit(True)))
+    if not model.langs:
+        return docs.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
     told = langid.identify(docs, model, lang_out="__lang", score_out="__score")
     return told.where((F.col("__lang") != langid.UNKNOWN) & (F.col("__score") >= MIN_LANGUAGE_SCORE)).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return jaccard.first_of_each(docs).select(docs.columns)
+    """One row of each group of near-duplicates, the one with the smallest id; a null id stays only where there is no other."""
+    return simhash.first_of_each(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    drawn = mixing.mix(docs.withColumns({f"__{c}": F.col(c) for c in ("source", "lang")}))
-    kept = drawn.where("kept").drop("source", "lang")
-    return kept.withColumnsRenamed({"__source": "source", "__lang": "lang"}).select(docs.columns)
+    """Rows drawn towards the target shares; rows of equal id are drawn alike, a null id by its text. Columns are returned as they came."""
+    return mixing.draw(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row per piece of a sequence; a null or empty text is one end token."""
     return packing.pack(docs, with_ids=False)
 
 
