@@ -6,7 +6,10 @@ keeps its maximum (after a rectifier), and a softmax layer gives language
 probabilities; a document's are the mean over its windows. Training is
 stochastic gradient descent in numpy on the driver, over a bounded sample of
 labelled windows (``DOCS_PER_LANG`` documents of a language, by hash order, and
-``WINDOWS_PER_DOC`` windows of each). The model has a fixed size a language.
+``WINDOWS_PER_DOC`` windows of each, spread over the whole text). The sample is
+taken by a limit on hashes for each language, so no language's rows meet in a
+task. Every language that is labelled is learned; the model has a fixed size a
+language.
 
 Defined results: ``und`` with score 0 for a null text, a text without a letter,
 or when no labelled text was learned from; ties between languages go to the
@@ -23,7 +26,6 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import text_buffer
@@ -33,8 +35,9 @@ CLASSES = 64
 FILTERS = 16
 DOCS_PER_LANG = 300
 WINDOWS_PER_DOC = 4
-#: Most languages that are learned, by hash order of their names: bounds the model.
-MAX_LANGS = 1000
+#: So many times the wanted documents pass the limit on hashes, before the first of them are taken.
+SPARE = 3
+_HASHES = 1 << 32
 EPOCHS = 4
 UNKNOWN = "und"
 
@@ -179,39 +182,40 @@ def softmax(z: np.ndarray) -> np.ndarray:
 
 def training_windows(docs: DataFrame, learn, id_col: str, text_col: str, lang_col: str, per_lang: int) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """Windows and labels of the bounded sample. Ids travel first; only chosen texts are read."""
-    base = docs.select(F.col(id_col).alias("i"), F.col(lang_col).cast("string").alias("g"), F.col(text_col).alias("t"), learn.alias("k"))
-    base = base.where("k and g is not null and t is not null and length(t) > 0 and i is not null")
-    chosen = (
-        base.select("i", "g")
-        .withColumn("r", F.row_number().over(W.partitionBy("g").orderBy(F.xxhash64("i"), "i")))
-        .where(F.col("r") <= per_lang)
-        .select("i", "g")
-        .orderBy(F.xxhash64("g"), "g")
-        .limit(per_lang * MAX_LANGS)
-    )
-    picked = chosen.toPandas().drop_duplicates()
+    row = F.xxhash64(F.col(id_col), F.col(text_col), F.col(lang_col))
+    base = docs.select(row.alias("h"), F.col(lang_col).cast("string").alias("g"), F.col(text_col).alias("t"), learn.alias("k"))
+    base = base.where("k and g is not null and t is not null and length(t) > 0")
+    place = F.pmod("h", F.lit(_HASHES))
+    counts = base.groupBy("g").agg(F.approx_count_distinct("h").alias("n"), F.min(place).alias("least"))
+    limits = counts.select("g", F.greatest(F.ceil(F.lit(_HASHES) * F.lit(SPARE * per_lang) / F.col("n")), F.col("least") + 1).alias("most"))
+    passed = base.select("h", "g").join(F.broadcast(limits), "g").where(place < F.col("most"))
+    picked = passed.select("h", "g").distinct().toPandas()
     if not len(picked):
         return np.zeros((0, LENGTH), np.uint8), np.zeros(0, np.int64), []
+    picked["order"] = picked["h"] % _HASHES
+    picked = picked.sort_values(["g", "order", "h"]).groupby("g").head(per_lang)
     langs = sorted(set(picked["g"]))
-    ids = dict(zip(picked["i"], picked["g"], strict=True))
+    chosen = np.sort(picked["h"].to_numpy())
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = [k for k, i in enumerate(batch.column(0).to_pylist()) if i in ids]
-            if not at:
+            own = np.asarray(batch.column(0))
+            at = np.flatnonzero(chosen[np.minimum(np.searchsorted(chosen, own), len(chosen) - 1)] == own)
+            if not len(at):
                 continue
             part = batch.take(pa.array(at))
             data, offsets = text_buffer(part.column(1))
             x, counts = windows_of(data, offsets)
             first = np.cumsum(counts) - counts
-            g, rows, names = part.column(2).to_pylist(), [], []
+            names, rows = part.column(2).to_pylist(), []
             for d, n in enumerate(counts):
                 for k in np.unique(np.linspace(0, n - 1, min(n, WINDOWS_PER_DOC)).astype(int)):
-                    rows.append(x[first[d] + k].tobytes())
-                    names.append(g[d])
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), pa.array(names, pa.string())], ["x", "g"])
+                    rows.append((own[at[d]], k, x[first[d] + k].tobytes(), names[d]))
+            arrays = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.string()), strict=True)]
+            yield pa.RecordBatch.from_arrays(arrays, ["h", "k", "x", "g"])
 
-    table = base.select("i", "t", "g").mapInArrow(cut, "x binary, g string").toPandas()
+    # Equal rows give equal windows; one of each is learned from.
+    table = base.select("h", "t", "g").mapInArrow(cut, "h long, k long, x binary, g string").distinct().toPandas()
     table = table.sort_values(["g", "x"], kind="stable")  # the order of arrival isn't fixed
     x = np.frombuffer(b"".join(table["x"]), np.uint8).reshape(-1, LENGTH)
     y = np.searchsorted(langs, table["g"].to_numpy(str)) if len(table) else np.zeros(0, np.int64)

@@ -20,6 +20,7 @@ null; repeated rows are documents of their own; an empty table gives no piece.
 from __future__ import annotations
 
 import functools
+import json
 import re
 import zlib
 from array import array
@@ -34,7 +35,9 @@ from pyspark.sql import functions as F
 WINDOW = 1024
 END_ID = 0
 POOL = 4096
+#: Words whose ids are kept, and the longest that are.
 CACHE = 250_000
+CACHED_CHARS = 100
 #: Places where a pre-token always ends: before a single space, and around a single line break.
 _SAFE = re.compile(r"(?<=\S)(?= \S)|(?<=\S)(?=\n\S)|(?<=\S\n)(?=\S)")
 _RUNS = re.compile(r"\s\s|^\s|\s$")
@@ -45,9 +48,11 @@ class _Cache(dict):
         self.encode, self.prefix = encode, prefix
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= CACHE:
-            self.clear()
-        self[word] = out = array("I", self.encode(self.prefix + word)).tobytes()
+        out = array("I", self.encode(self.prefix + word)).tobytes()
+        if len(word) <= CACHED_CHARS:
+            if len(self) >= CACHE:
+                self.clear()
+            self[word] = out
         return out
 
 
@@ -56,24 +61,31 @@ class TextEncoder:
 
     Pre-tokens of byte-level BPE end at the places in ``_SAFE``, so the words'
     ids joined are the text's. ``tiktoken`` reads the same vocabulary as ranks
-    and gives the ids that ``tokenizers`` gives, in less time.
+    and gives the ids that ``tokenizers`` gives, in less time. Texts that hold
+    the string of a special token go to ``tokenizers`` as a whole.
     """
 
     def __init__(self, path: str, library: str) -> None:
-        if library == "tiktoken":
-            self.encode = _ranks(path).encode_ordinary
-        else:
-            from tokenizers import Tokenizer
-
-            tokenizer = Tokenizer.from_file(path)
-            tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-            self.encode = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
+        self.path, self.whole = path, None
+        with open(path, encoding="utf-8") as lines:
+            added = [t["content"] for t in json.load(lines).get("added_tokens", [])]
+        self.special = re.compile("|".join(map(re.escape, added)) or r"(?!)")
+        self.encode = _ranks(path).encode_ordinary if library == "tiktoken" else self.encode_whole
         self.first, self.later = _Cache(self.encode, ""), _Cache(self.encode, " ")
         self.line = array("I", self.encode("\n")).tobytes()
 
+    def encode_whole(self, text: str) -> list[int]:
+        if self.whole is None:
+            from tokenizers import Tokenizer
+
+            self.whole = Tokenizer.from_file(self.path)
+        return self.whole.encode(text, add_special_tokens=False).ids
+
     def ids(self, text: str) -> bytes:
         if not text:
             return b""
+        if self.special.search(text):
+            return array("I", self.encode_whole(text)).tobytes()
         if _RUNS.search(text):
             return b"".join([self.first[s] for s in _SAFE.split(text)])
         out = []

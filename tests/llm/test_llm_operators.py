@@ -264,6 +264,19 @@ def test_packing_round_trip(spark):
     assert packing.pack(docs_frame(spark, rows).limit(0)).count() == 0
 
 
+def test_packing_reads_special_strings_as_the_tokenizer_does():
+    from tokenizers import Tokenizer
+
+    path = packing.default_vocabulary()
+    tokenizer, coder = Tokenizer.from_file(path), packing.TextEncoder(path, "tiktoken")
+    rng = random.Random(8)
+    bits = ["<|endoftext|>", "<|endoftext", "|>", " ", "\n", "a", " the", "\u00e9", "  ", "<|"]
+    for _ in range(500):
+        text = "".join(rng.choices(bits, k=rng.randint(1, 12)))
+        assert np.frombuffer(coder.ids(text), np.uint32).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    assert len(coder.ids("x" * 1_000_000 + " end")) and max(map(len, coder.later)) <= packing.CACHED_CHARS
+
+
 def test_best_fill_is_optimal():
     rng = random.Random(4)
     for _ in range(60):
@@ -617,6 +630,40 @@ def test_language_id(spark):
     assert (nothing["lang_pred"] == "und").all() and (nothing["score"] == 0).all()
 
 
+def test_language_sample_is_bounded_and_takes_every_language(spark):
+    rows = [(i, prose(random.Random(i), 12), f"l{i % 1100}") for i in range(2200)] + [(9, "one row many times", "l9")] * 500
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    x, y, langs = langid.training_windows(docs, F.lit(True), "doc_id", "text", "lang", 1)
+    assert len(langs) == 1100 == len(set(y.tolist())) and len(x) <= 1100 * langid.WINDOWS_PER_DOC
+    again = langid.training_windows(docs.repartition(3), F.lit(True), "doc_id", "text", "lang", 1)
+    assert (again[0] == x).all() and (again[1] == y).all()
+
+
+def test_network_against_a_plain_convolution_and_numeric_gradients():
+    rng = np.random.default_rng(3)
+    model = langid.ByteCnn.new(["a", "b", "c"])
+    x, y = rng.integers(0, langid.CLASSES, (5, 20)).astype(np.uint8), np.array([0, 1, 2, 1, 0])
+
+    def plain(net):
+        hidden = [[max(0.0, max(float(sum(f[j, r[i + j], k] for j in range(w)) + net.bias[w][k]) for i in range(20 - w + 1))) for w, f in net.filters.items() for k in range(langid.FILTERS)] + [1.0] for r in x]
+        z = np.array(hidden) @ net.out
+        return np.exp(z) / np.exp(z).sum(1, keepdims=True)
+
+    assert np.allclose(model.probabilities(x), plain(model), atol=1e-5)
+    before = -np.log(plain(model)[np.arange(5), y]).mean()
+    parts = {"out": model.out, "f2": model.filters[2], "f4": model.filters[4], "b3": model.bias[3]}
+    kept = {k: v.copy() for k, v in parts.items()}
+    model.train(x, y, epochs=1, rate=1e-3, batch=5)
+    for name, v in parts.items():
+        at = np.unravel_index(np.argmax(np.abs(v - kept[name])), v.shape)
+        gradient = (kept[name][at] - v[at]) / 1e-3
+        probe = langid.ByteCnn.new(["a", "b", "c"])
+        target = {"out": probe.out, "f2": probe.filters[2], "f4": probe.filters[4], "b3": probe.bias[3]}[name]
+        target[at] += 1e-3
+        after = -np.log(plain(probe)[np.arange(5), y]).mean()
+        assert gradient == pytest.approx((after - before) / 1e-3, rel=0.05, abs=2e-3)
+
+
 def test_windows_cover_whole_texts():
     data, offsets = np.frombuffer(b"a" * 300 + b"b", np.uint8), np.array([0, 0, 300, 301])
     x, counts = langid.windows_of(data, offsets)
