@@ -93,9 +93,9 @@ def path_metrics(rankings: DataFrame, gold_edges: DataFrame, edges: DataFrame, k
 
 
 def summary(metrics: DataFrame, keys: tuple[str, ...] = ("method",)) -> DataFrame:
-    """Means over tasks; a mean over nothing is null."""
+    """Means over tasks; a mean over nothing is 0."""
     names = [c for c in metrics.columns if c not in (*keys, "task_id", "n_gold")]
-    return metrics.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_tasks"), *[_digits(F.avg(c)).alias(c) for c in names])
+    return metrics.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_tasks"), *[_digits(F.coalesce(F.avg(c), F.lit(0.0))).alias(c) for c in names])
 
 
 def failure_cases(rankings: DataFrame, gold: DataFrame, k: int, limit: int | None = None) -> DataFrame:

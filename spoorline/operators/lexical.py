@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -52,25 +52,70 @@ def lexical_overlap(items: DataFrame, tasks: DataFrame) -> DataFrame:
     return feats.join(token_score, ["task_id", "item_id"], "left").select("task_id", "item_id", F.round(score, 6).alias("score"))
 
 
+def by_task(items: DataFrame, tasks: DataFrame, own: Column, asked: Column) -> DataFrame:
+    """(task_id, items, asked): a task's candidates as structs and its question's features in one row.
+
+    The one exchange that per-task operators need; what follows stays within
+    the row, and keys that begin with task_id find their rows in place. A task
+    is one question with its candidates, so a row is as large as one of those.
+    """
+    left = items.select("task_id", own.alias("item"))
+    right = tasks.select("task_id", asked.alias("asked"))
+    left = left.withColumn("asked", F.lit(None).cast(right.schema["asked"].dataType))
+    right = right.withColumn("item", F.lit(None).cast(left.schema["item"].dataType))
+    rows = left.unionByName(right).groupBy("task_id").agg(F.collect_list("item").alias("items"), F.first("asked", ignorenulls=True).alias("asked"))
+    return rows.where(F.size("items") > 0)
+
+
 def bm25_scores(items: DataFrame, tasks: DataFrame, config: Bm25Config = Bm25Config()) -> DataFrame:
     """(task_id, item_id, score) for every candidate of every task; 0 where no question token occurs.
 
-    One pass explodes tokens to (task, item, token) counts; task statistics and
-    document frequencies are aggregates of it on the same key prefix. Only
-    question tokens meet the postings.
+    Each task is scored within its row: only the question's tokens are counted
+    in the candidates. The mean idf of all tokens is needed, and made, only
+    where a question token stands in more than half of the candidates.
     """
     k1, b = config.k1, config.b
-    sized = ranking_text(items).select("task_id", "item_id", T.content_tokens("ranking_text").alias("tokens"))
-    lengths = sized.select("task_id", "item_id", F.size("tokens").alias("dl"))
-    tf = sized.select("task_id", "item_id", F.explode("tokens").alias("token")).groupBy("task_id", "item_id", "token").agg(F.count(F.lit(1)).alias("tf"))
-    totals = lengths.groupBy("task_id").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    df = tf.groupBy("task_id", "token").agg(F.count(F.lit(1)).alias("df"))
-    idf = df.join(totals, "task_id").withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    floor = idf.groupBy("task_id").agg(F.avg("raw").alias("mean"))
-    asked = tasks.select("task_id", F.explode(T.content_tokens("question")).alias("token")).groupBy("task_id", "token").agg(F.count(F.lit(1)).alias("qf"))
-    weights = asked.join(idf, ["task_id", "token"]).join(floor, "task_id")
-    weights = weights.select("task_id", "token", "qf", "avgdl", F.when(F.col("raw") < 0, config.epsilon * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
-    hits = tf.join(weights, ["task_id", "token"]).join(lengths, ["task_id", "item_id"])
-    part = F.col("qf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    found = hits.groupBy("task_id", "item_id").agg(F.sum(part).alias("s"))
-    return items.select("task_id", "item_id").join(found, ["task_id", "item_id"], "left").select("task_id", "item_id", F.round(F.coalesce("s", F.lit(0.0)), 6).alias("score"))
+    own = F.struct("item_id", F.concat(F.coalesce("title", F.lit("")), F.lit(". "), F.col("text")).alias("text"))
+    rows = by_task(items, tasks, own, F.col("question"))
+    # Texts are cut behind the exchange, where the work is spread by task.
+    cut = F.transform("items", lambda i: F.struct(i["item_id"].alias("item_id"), T.content_tokens(i["text"]).alias("tokens")))
+    rows = rows.select("task_id", cut.alias("items"), T.content_tokens("asked").alias("asked"))
+    n = F.size("items")
+    occurs = lambda x, tokens: F.size(F.filter(tokens, lambda t: t == x))
+    terms = F.transform(
+        F.array_distinct(F.coalesce("asked", F.array().cast("array<string>"))),
+        lambda q: F.struct(q.alias("q"), occurs(q, F.col("asked")).alias("qf"), F.size(F.filter("items", lambda i: F.array_contains(i["tokens"], q))).alias("df")),
+    )
+    raw = lambda df: F.log(F.col("n") - df + 0.5) - F.log(df + 0.5)
+    length = F.aggregate("items", F.lit(0).cast("long"), lambda s, i: s + F.size(i["tokens"]))
+    rows = rows.select("task_id", "items", n.alias("n"), (length / n).alias("avgdl"), F.filter(terms, lambda t: t["df"] > 0).alias("terms"))
+    floor = F.when(F.exists("terms", lambda t: raw(t["df"]) < 0), config.epsilon * _mean(F.transform(_frequencies(F.col("items")), raw)))
+    rows = rows.select("task_id", "items", "avgdl", F.col("terms"), "n", floor.alias("floor"))
+    weighed = F.transform("terms", lambda t: F.struct(t["q"].alias("q"), (t["qf"] * F.when(raw(t["df"]) < 0, F.col("floor")).otherwise(raw(t["df"]))).alias("w")))
+    rows = rows.select("task_id", "items", "avgdl", weighed.alias("terms"))
+
+    def score(item: Column) -> Column:
+        norm = k1 * (1 - b + b * F.size(item["tokens"]) / F.col("avgdl"))
+        part = lambda t, tf: F.when(tf > 0, t["w"] * tf * (k1 + 1) / (tf + norm)).otherwise(F.lit(0.0))
+        counts = F.transform("terms", lambda t: F.struct(t["w"].alias("w"), occurs(t["q"], item["tokens"]).alias("tf")))
+        return F.aggregate(counts, F.lit(0.0), lambda s, t: s + part(t, t["tf"]))
+
+    scored = F.transform("items", lambda i: F.struct(i["item_id"].alias("item_id"), F.round(score(i), 6).alias("score")))
+    return rows.select("task_id", F.inline(scored))
+
+
+def _frequencies(items: Column) -> Column:
+    """In how many items each of their tokens stands, as an array without the tokens: run lengths of the sorted tokens."""
+
+    def ends(ordered: Column) -> Column:
+        return F.filter(F.sequence(F.lit(1), F.size(ordered)), lambda k: (k == F.size(ordered)) | (F.get(ordered, k) != F.get(ordered, k - 1)))
+
+    def lengths(at: Column) -> Column:
+        return F.transform(at, lambda e, k: e - F.when(k > 0, F.get(at, k - 1)).otherwise(F.lit(0)))
+
+    ordered = F.array_sort(F.flatten(F.transform(items, lambda i: F.array_distinct(i["tokens"]))))
+    return T.let(T.let(ordered, ends), lengths)
+
+
+def _mean(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda s, x: s + x) / F.size(values)
