@@ -90,6 +90,23 @@ def prefixed(text: Column | str, prefix: str) -> Column:
     return F.concat(F.lit(prefix), F.col(text) if isinstance(text, str) else text)
 
 
+def hashed_vector(text: Column | str, dims: int = 64) -> Column:
+    """Counts of content tokens in ``dims`` hashed places, of length 1; zeros for a text without tokens.
+
+    An encoder that needs no model; any other that gives arrays can stand in its place.
+    """
+
+    def counts(places: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: F.size(F.filter(places, lambda p: p == d)).cast("double"))
+
+    def unit(vector: Column) -> Column:
+        norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, x: s + x * x))
+        return F.transform(vector, lambda x: F.when(norm > 0, x / norm).otherwise(F.lit(0.0)))
+
+    places = F.transform(content_tokens(text), lambda t: F.conv(F.substring(F.md5(t.cast("binary")), 1, 6), 16, 10).cast("long") % dims)
+    return let(let(places, counts), unit)
+
+
 def corpus_id(task: Column | str, node: Column | str) -> Column:
     return F.concat_ws("::", task, node)
 

@@ -71,6 +71,26 @@ def connectivity(rankings: DataFrame, gold: DataFrame, edges: DataFrame, k: int)
     return rows.select("task_id", (full & joined).cast("double").alias(f"connected_{k}"), (full & asked).cast("double").alias(f"query_connected_{k}"))
 
 
+def connected_evidence(rankings: DataFrame, gold: DataFrame, edges: DataFrame, k: int, keys: tuple[str, ...] = ("task_id",)) -> DataFrame:
+    """(keys, connected_k, edges_k): connected evidence, and how many edges have both ends in the first k.
+
+    ``keys`` are those of ``rankings`` with task_id among them. Tasks without
+    gold have no row. At most k nodes of a ranking meet, so each is folded
+    within its row.
+    """
+    top = rankings.where(F.col("rank") <= k).select(*keys, "item_id")
+    ends = top.withColumnRenamed("item_id", "source"), top.withColumnRenamed("item_id", "target")
+    inside = edges.select("task_id", "source", "target").join(ends[0], ["task_id", "source"]).join(ends[1], [*keys, "target"], "left_semi")
+    links = inside.groupBy(*keys).agg(F.collect_list(F.struct("source", "target")).alias("links"))
+    golds = gold.groupBy("task_id").agg(F.sort_array(F.collect_set("item_id")).alias("gold"))
+    rows = top.groupBy(*keys).agg(F.collect_set("item_id").alias("top")).join(golds, "task_id").join(links, list(keys), "left")
+    links = F.coalesce("links", F.array().cast("array<struct<source:string,target:string>>"))
+    both = F.concat(links, F.transform(links, lambda e: F.struct(e["target"].alias("source"), e["source"].alias("target"))))
+    joined = F.size(F.array_except("gold", reachable(F.slice("gold", 1, 1), both, k))) == 0
+    full = F.size(F.array_except("gold", "top")) == 0
+    return rows.select(*keys, (full & joined).cast("double").alias(f"connected_{k}"), F.size(links).cast("long").alias(f"edges_{k}"))
+
+
 def path_metrics(rankings: DataFrame, gold_edges: DataFrame, edges: DataFrame, k: int) -> DataFrame:
     """(task_id, edge_recall_k, path_recall_k) for tasks with gold edges.
 

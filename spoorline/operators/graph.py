@@ -48,20 +48,22 @@ def query_overlap_edges(items: DataFrame, tasks: DataFrame, config: GraphConfig
 
 
 def item_entities(items: DataFrame) -> DataFrame:
-    """(task_id, item_id, position, entity) with the title's aliases among the entities."""
+    """(task_id, item_id, position, g, entity) with the title's aliases among the entities; g is the item's group."""
     own = F.array_union(T.entities(F.concat_ws(". ", "source_ref", "text")), T.title_aliases("source_ref"))
-    return items.select("task_id", "item_id", "position", F.explode(own).alias("entity"))
+    return items.select("task_id", "item_id", "position", F.coalesce("group_key", "source_ref").alias("g"), F.explode(own).alias("entity"))
 
 
-def entity_pairs(items: DataFrame) -> DataFrame:
+def entity_pairs(items: DataFrame, across_groups: bool = False) -> DataFrame:
     """(task_id, source, target, weight): shared entities of two items, the earlier one first.
 
     An inverted index joined with itself on (task, entity): only pairs that
-    share something are formed.
+    share something are formed, and on request only pairs of different groups.
     """
     left = item_entities(items)
-    right = left.select("task_id", "entity", F.col("item_id").alias("target"), F.col("position").alias("p2"))
+    right = left.select("task_id", "entity", F.col("item_id").alias("target"), F.col("position").alias("p2"), F.col("g").alias("g2"))
     both = left.join(right, ["task_id", "entity"]).where("position < p2")
+    if across_groups:
+        both = both.where(~F.col("g").eqNullSafe(F.col("g2")))
     return both.groupBy("task_id", F.col("item_id").alias("source"), "target").agg(F.count(F.lit(1)).alias("weight"))
 
 
@@ -87,19 +89,27 @@ def entity_overlap_edges(items: DataFrame, config: GraphConfig = GraphConfig())
     return _edges(kept, "entity_overlap", False)
 
 
+def alias_mentions(items: DataFrame) -> DataFrame:
+    """(task_id, source, target, weight): in how many ways two items of different groups mention each other's title.
+
+    A task's distinct aliases are looked for in its texts, and only hits meet
+    the items that bear the alias: pairs that mention nothing are never formed.
+    """
+    group = F.coalesce("group_key", "source_ref")
+    bearers = items.select("task_id", "item_id", "position", group.alias("g"), F.explode(T.title_aliases("source_ref")).alias("alias"))
+    texts = items.select("task_id", F.col("item_id").alias("other"), F.col("position").alias("p2"), group.alias("g2"), F.lower("text").alias("low"))
+    hits = bearers.select("task_id", "alias").distinct().join(texts, "task_id").where(F.contains("low", "alias")).drop("low")
+    both = bearers.join(hits, ["task_id", "alias"]).where((F.col("position") != F.col("p2")) & ~F.col("g").eqNullSafe(F.col("g2")))
+    first = F.col("position") < F.col("p2")
+    ends = F.when(first, F.col("item_id")).otherwise(F.col("other")), F.when(first, F.col("other")).otherwise(F.col("item_id"))
+    return both.groupBy("task_id", ends[0].alias("source"), ends[1].alias("target")).agg(F.count(F.lit(1)).alias("weight"))
+
+
 def bridge_edges(items: DataFrame, config: GraphConfig = GraphConfig()) -> DataFrame:
     """Across groups: shared entities and mentions of one's title in the other's text."""
-    group = F.coalesce("group_key", "source_ref")
-    base = items.select("task_id", "item_id", "position", group.alias("g"), T.title_aliases("source_ref").alias("aliases"), F.lower("text").alias("low"))
-    other = base.select("task_id", *[F.col(c).alias(f"{c}2") for c in ("item_id", "position", "g", "aliases", "low")])
-    pairs = base.join(other, "task_id").where((F.col("position") < F.col("position2")) & ~F.col("g").eqNullSafe(F.col("g2")))
-    mentions = lambda a, t: F.size(F.filter(a, lambda x: F.contains(F.col(t), x)))
-    mention = (F.coalesce(mentions("aliases", "low2"), F.lit(0)) + F.coalesce(mentions("aliases2", "low"), F.lit(0))).alias("mention")
-    scored = pairs.select("task_id", F.col("item_id").alias("source"), F.col("item_id2").alias("target"), mention)
-    shared = entity_pairs(items)
-    total = scored.join(shared, ["task_id", "source", "target"], "left").withColumn("weight", F.col("mention") + F.coalesce("weight", F.lit(0)))
+    total = alias_mentions(items).unionByName(entity_pairs(items, across_groups=True)).groupBy("task_id", "source", "target").agg(F.sum("weight").alias("weight"))
     w = W.partitionBy("task_id").orderBy(F.desc("weight"), F.asc("source"), F.asc("target"))
-    best = total.where("weight > 0").withColumn("r", F.row_number().over(w)).where(F.col("r") <= config.max_bridge_edges)
+    best = total.withColumn("r", F.row_number().over(w)).where(F.col("r") <= config.max_bridge_edges)
     return _edges(best, "bridge", False)
 
 

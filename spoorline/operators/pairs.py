@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .graph import QUERY_NODE, both_ways
+from .graph import EDGE_TYPES, QUERY_NODE
 from .ranking import ranked
 
 SAMPLE_ORDER = ("positive", "easy_random", "hard_bm25", "hard_dense", "hard_graph_neighbor")
@@ -40,12 +40,23 @@ def hard_by_rank(scores: DataFrame, gold: DataFrame, per_positive: int, pool: in
     return _first(rest, gold, per_positive, "p")
 
 
-def graph_neighbours(edges: DataFrame, gold: DataFrame, per_positive: int) -> DataFrame:
-    """Non-gold neighbours of gold items, strongest edge first."""
-    links = both_ways(edges.withColumn("directed", F.lit(False))).where(F.col("source") != QUERY_NODE).where(F.col("target") != QUERY_NODE)
-    near = links.join(gold.select("task_id", F.col("item_id").alias("source")), ["task_id", "source"], "left_semi")
-    rest = near.groupBy("task_id", F.col("target").alias("item_id")).agg(F.max("weight").alias("weight")).join(gold, ["task_id", "item_id"], "left_anti")
-    return _first(rest, gold, per_positive, F.desc("weight"), "item_id")
+def _edge_place(edges: DataFrame, items: DataFrame) -> DataFrame:
+    """Add place, the order in which a graph's edges are made: by rule; sequential ones by group and sequence, others strongest first."""
+    group = F.coalesce("group_key", "source_ref")
+    first = F.min("position").over(W.partitionBy("task_id", group))
+    where = items.select("task_id", F.col("item_id").alias("source"), F.struct(first.alias("g"), F.coalesce("sequence_index", F.lit(0)).alias("s"), "position").alias("at"))
+    rule = F.array_position(F.array(*[F.lit(t) for t in EDGE_TYPES]), F.col("edge_type"))
+    at = F.when(F.col("edge_type") == "sequential", F.col("at"))
+    return edges.join(where, ["task_id", "source"]).withColumn("place", F.struct(rule.alias("rule"), at.alias("at"), (-F.col("weight")).alias("w"), "source", "target"))
+
+
+def graph_neighbours(edges: DataFrame, items: DataFrame, gold: DataFrame, per_positive: int) -> DataFrame:
+    """Non-gold neighbours of gold items in the order of the graph's edges, never the question."""
+    placed = _edge_place(edges.where(F.col("source") != QUERY_NODE).where(F.col("target") != QUERY_NODE), items)
+    ends = [placed.select("task_id", F.col(a).alias("near"), F.col(b).alias("item_id"), "place") for a, b in (("source", "target"), ("target", "source"))]
+    near = ends[0].unionByName(ends[1]).join(gold.select("task_id", F.col("item_id").alias("near")), ["task_id", "near"], "left_semi")
+    rest = near.join(gold, ["task_id", "item_id"], "left_anti").groupBy("task_id", "item_id").agg(F.min("place").alias("place"))
+    return _first(rest, gold, per_positive, "place", "item_id")
 
 
 def training_pairs(gold: DataFrame, negatives: Mapping[str, DataFrame]) -> DataFrame:

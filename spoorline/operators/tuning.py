@@ -6,10 +6,10 @@ import itertools
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .evaluate import task_metrics
+from .evaluate import reachable
+from .graph import QUERY_NODE
 from .memory import memory_signals
 from .rerank import RerankConfig, components
 
@@ -45,12 +45,34 @@ def grid_frame(spark: SparkSession, grid: list[dict]) -> DataFrame:
     return spark.createDataFrame([{"config_id": k, **point} for k, point in enumerate(grid)])
 
 
-def evaluated(scored: DataFrame, gold: DataFrame, k: int = 5) -> DataFrame:
-    """(config_id, objective parts) from (config_id, task_id, item_id, score): one window and one aggregate for all."""
-    w = W.partitionBy("config_id", "task_id").orderBy(F.desc("score"), F.asc("item_id"))
-    rankings = scored.withColumn("rank", F.row_number().over(w))
-    per = task_metrics(rankings, gold, ("config_id", "task_id"), rounded=False)
-    return per.groupBy("config_id").agg(*[F.round(F.avg(c), 6).alias(c) for c in ("full_5", "recall_5", "full_10", "mrr")])
+def evaluated(scored: DataFrame, gold: DataFrame, edges: DataFrame, subgraph: bool = True) -> DataFrame:
+    """(config_id, means of the objective's parts) from (config_id, task_id, item_id, score).
+
+    One exchange by configuration and task; a ranking is measured within its
+    row, against its task's gold and edges. Tasks without gold take no part.
+    ``subgraph``: whether the method returns the edges among its first 10; avg_edges is 0 otherwise.
+    """
+    golds = gold.groupBy("task_id").agg(F.sort_array(F.collect_set("item_id")).alias("gold"))
+    inner = edges.where(F.col("source") != QUERY_NODE).where(F.col("target") != QUERY_NODE).groupBy("task_id").agg(F.collect_list(F.struct("source", "target")).alias("links"))
+    order = F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("item_id").alias("i"))))
+    rows = scored.groupBy("config_id", "task_id").agg(F.transform(order, lambda x: x["i"]).alias("ids")).join(golds, "task_id").join(inner, "task_id", "left")
+    top = lambda k: F.slice("ids", 1, k)
+    none = F.array().cast("array<struct<source:string,target:string>>")
+    inside = F.filter(F.coalesce("links", none), lambda e: F.array_contains(top(10), e["source"]) & F.array_contains(top(10), e["target"]))
+    rows = rows.select("config_id", "ids", "gold", inside.alias("links"))
+    back = F.transform("links", lambda e: F.struct(e["target"].alias("source"), e["source"].alias("target")))
+    full = lambda k: F.size(F.array_except("gold", top(k))) == 0
+    joined = F.size(F.array_except("gold", reachable(F.slice("gold", 1, 1), F.concat("links", back), 10))) == 0
+    first = F.array_min(F.filter(F.transform("gold", lambda g: F.array_position(F.col("ids"), g)), lambda at: at > 0))
+    parts = {
+        "full_5": full(5).cast("double"),
+        "recall_5": F.size(F.array_intersect("gold", top(5))) / F.size("gold"),
+        "full_10": full(10).cast("double"),
+        "mrr": F.coalesce(1.0 / first, F.lit(0.0)),
+        "connected_10": (full(10) & joined).cast("double"),
+        "avg_edges": F.size("links").cast("double") if subgraph else F.lit(0.0),
+    }
+    return rows.groupBy("config_id").agg(*[F.round(F.avg(x), 6).alias(c) for c, x in parts.items()])
 
 
 def rerank_grid_scores(scores: DataFrame, edges: DataFrame, grid: list[dict]) -> DataFrame:
@@ -81,12 +103,11 @@ def memory_grid_scores(items: DataFrame, relevance: DataFrame, importance: DataF
     return out
 
 
-def with_objective(metrics: DataFrame, connected: str | None = None) -> DataFrame:
-    """Half full support at 5, 0.3 recall at 5, 0.2 connected evidence at 10 where it is known."""
-    extra = F.coalesce(F.col(connected), F.lit(0.0)) if connected else F.lit(0.0)
-    return metrics.withColumn("objective", F.round(0.5 * F.col("full_5") + 0.3 * F.col("recall_5") + 0.2 * extra, 6))
+def with_objective(metrics: DataFrame) -> DataFrame:
+    """Half full support at 5, 0.3 recall at 5, 0.2 connected evidence at 10."""
+    return metrics.withColumn("objective", F.round(0.5 * F.col("full_5") + 0.3 * F.col("recall_5") + 0.2 * F.col("connected_10"), 6))
 
 
 def selected(metrics: DataFrame) -> DataFrame:
-    """The best row; ties go to full support at 10, then to the earlier configuration. Latency takes no part."""
-    return metrics.orderBy(F.desc("objective"), F.desc("full_10"), F.asc("config_id")).limit(1)
+    """The best row; ties go to full support at 10, then fewer edges, then the earlier configuration. Latency takes no part."""
+    return metrics.orderBy(F.desc("objective"), F.desc("full_10"), F.asc("avg_edges"), F.asc("config_id")).limit(1)

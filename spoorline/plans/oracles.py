@@ -91,10 +91,13 @@ bridging AS (SELECT a.task_id, a.item_id AS source, b.item_id AS target, len(lis
 bridge AS (SELECT task_id, source, target, 'bridge' AS edge_type, CAST(weight AS DOUBLE) AS weight, false AS directed FROM (
   SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY weight DESC, source, target) AS r FROM (
     SELECT b.task_id, b.source, b.target, mention + coalesce(s.weight, 0) AS weight FROM bridging b LEFT JOIN shared s USING (task_id, source, target)) WHERE weight > 0) WHERE r <= 50)"""
-EDGES = """
-edges AS (SELECT * FROM sequential UNION ALL SELECT * FROM query_overlap UNION ALL SELECT * FROM bridge),
+EDGES_ONLY = "edges AS (SELECT * FROM sequential UNION ALL SELECT * FROM query_overlap UNION ALL SELECT * FROM bridge)"
+WALK = """
 walk AS (SELECT task_id, source, target, edge_type, weight FROM edges UNION ALL SELECT task_id, target, source, edge_type, weight FROM edges WHERE NOT directed)"""
 
+EDGES = f"{EDGES_ONLY},{WALK}"
+FULL_EDGES = f"{EDGES_ONLY.replace('edges AS (', 'edges AS (SELECT * FROM entity_overlap UNION ALL ')},{WALK}"
+
 
 def doc(*parts: str) -> str:
     return "WITH RECURSIVE " + ",".join((DOCUMENT_SQL, GOLD_SQL, *parts)) + "\n"
@@ -107,6 +110,19 @@ def conv(*parts: str) -> str:
 GRAPH = (OVERLAP, BM25, SEQUENTIAL, QUERY_OVERLAP, PAIRS, BRIDGE, EDGES)
 
 
+def hashed_vector(x: str, dims: int = 64) -> str:
+    """Counts of tokens by hashed place."""
+    places = f"list_transform({tokens(x)}, lambda t: CAST('0x' || substr(md5(t), 1, 6) AS BIGINT) % {dims})"
+    return f"list_transform(range({dims}), lambda d: CAST(len(list_filter({places}, lambda p: p = d)) AS DOUBLE))"
+
+
+DENSE = f"""
+qv AS (SELECT task_id, {hashed_vector('question')} AS q FROM tasks),
+pv AS (SELECT task_id, item_id, {hashed_vector("coalesce(title, '') || '. ' || text")} AS v FROM items),
+scores AS (SELECT task_id, item_id, round(coalesce(list_dot_product(q, v) / nullif(sqrt(list_dot_product(q, q)) * sqrt(list_dot_product(v, v)), 0.0), 0.0), 6) AS score FROM pv JOIN qv USING (task_id)),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY task_id ORDER BY score DESC, item_id) AS INTEGER) AS rank FROM scores)"""
+
+
 def expanded(top_s: int, hops: int, name: str = "allowed") -> str:
     """Seeds by scaled score and everything within some hops."""
     steps = [f"{name}0 AS (SELECT task_id, item_id FROM (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY norm DESC, item_id) AS r FROM seeds) WHERE r <= {top_s})"]
@@ -148,9 +164,12 @@ TRAIN_PAIRS = f"""{WANTED},
 rest AS (SELECT i.task_id, i.item_id FROM items i ANTI JOIN gold g ON i.task_id = g.task_id AND i.item_id = g.item_id),
 easy AS (SELECT task_id, item_id, r AS ord FROM (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY md5('13|' || task_id || '|' || item_id), item_id) AS r FROM rest) JOIN counts USING (task_id) WHERE r <= 2 * n),
 hard AS (SELECT task_id, item_id, r AS ord FROM (SELECT k.task_id, k.item_id, row_number() OVER (PARTITION BY k.task_id ORDER BY rank) AS r FROM ranked k ANTI JOIN gold g ON k.task_id = g.task_id AND k.item_id = g.item_id) JOIN counts USING (task_id) WHERE r <= least(20, 2 * n)),
+group_at AS (SELECT task_id, item_id, min(position) OVER (PARTITION BY task_id, group_key) AS g, sequence_index AS s, position FROM items),
+made AS (SELECT e.task_id, source, target, row_number() OVER (PARTITION BY e.task_id ORDER BY kind, CASE WHEN kind = 0 THEN g ELSE 0 END, CASE WHEN kind = 0 THEN s ELSE 0 END, CASE WHEN kind = 0 THEN position ELSE 0 END, weight DESC, source, target) AS place
+  FROM (SELECT *, 0 AS kind FROM sequential UNION ALL SELECT *, 3 FROM bridge) e JOIN group_at p ON p.task_id = e.task_id AND p.item_id = e.source),
 near AS (SELECT task_id, item_id, r AS ord FROM (
-  SELECT task_id, item_id, row_number() OVER (PARTITION BY task_id ORDER BY weight DESC, item_id) AS r FROM (
-    SELECT n.task_id, n.target AS item_id, max(n.weight) AS weight FROM (SELECT task_id, source, target, weight FROM sequential UNION ALL SELECT task_id, target, source, weight FROM sequential) n
+  SELECT task_id, item_id, row_number() OVER (PARTITION BY task_id ORDER BY place, item_id) AS r FROM (
+    SELECT n.task_id, n.target AS item_id, min(n.place) AS place FROM (SELECT task_id, source, target, place FROM made UNION ALL SELECT task_id, target, source, place FROM made) n
     JOIN gold g ON g.task_id = n.task_id AND g.item_id = n.source ANTI JOIN gold x ON x.task_id = n.task_id AND x.item_id = n.target GROUP BY ALL)) JOIN counts USING (task_id) WHERE r <= n),
 pairs AS (SELECT task_id, item_id, CAST(1 AS INTEGER) AS label, 'positive' AS sample_type, ord + 1 AS ord FROM gold
   UNION ALL SELECT task_id, item_id, 0, 'easy_random', ord FROM easy UNION ALL SELECT task_id, item_id, 0, 'hard_bm25', ord FROM hard UNION ALL SELECT task_id, item_id, 0, 'hard_graph_neighbor', ord FROM near)"""
@@ -177,15 +196,58 @@ def _grid_parts() -> str:
 
 
 GRID_EVAL = "granked AS (SELECT *, row_number() OVER (PARTITION BY config_id, task_id ORDER BY score DESC, item_id) AS rank FROM gscored)"
-GRID_OUT = """SELECT *, round(0.5 * full_5 + 0.3 * recall_5, 6) AS objective FROM (
- SELECT CAST(config_id AS BIGINT) AS config_id, round(avg(full_5), 6) AS full_5, round(avg(recall_5), 6) AS recall_5, round(avg(full_10), 6) AS full_10, round(avg(mrr), 6) AS mrr FROM metrics GROUP BY config_id)"""
+UNDIRECTED = "undirected AS (SELECT task_id, source, target FROM edges UNION SELECT task_id, target, source FROM edges)"
+
+
+def connected(source: str, keys: str, k: int = 10) -> str:
+    """Connected evidence and edges within the first k, from recursive reachability."""
+    cols = keys.split(", ")
+    on = lambda a, b: " AND ".join(f"{a}.{c} = {b}.{c}" for c in cols)
+    of = lambda a: ", ".join(f"{a}.{c}" for c in cols)
+    return f"""
+ktop AS (SELECT {keys}, item_id FROM {source} WHERE rank <= {k}),
+kone AS (SELECT {of('t')}, min(g.item_id) AS node FROM (SELECT DISTINCT {keys} FROM ktop) t JOIN gold g ON g.task_id = t.task_id GROUP BY ALL),
+kreach AS (SELECT {keys}, node FROM kone UNION SELECT {of('r')}, u.target FROM kreach r JOIN undirected u ON u.task_id = r.task_id AND u.source = r.node JOIN ktop b ON {on('b', 'r')} AND b.item_id = u.target JOIN ktop a ON {on('a', 'r')} AND a.item_id = u.source),
+kedges AS (SELECT {of('a')}, count(*) AS n FROM edges e JOIN ktop a ON a.task_id = e.task_id AND a.item_id = e.source JOIN ktop b ON {on('b', 'a')} AND b.item_id = e.target GROUP BY ALL),
+linked AS (SELECT {of('o')}, CAST(bool_and(t.item_id IS NOT NULL AND r.node IS NOT NULL) AS DOUBLE) AS connected_{k}, CAST(coalesce(any_value(e.n), 0) AS BIGINT) AS edges_{k}
+  FROM kone o JOIN gold g ON g.task_id = o.task_id LEFT JOIN ktop t ON {on('t', 'o')} AND t.item_id = g.item_id LEFT JOIN kreach r ON {on('r', 'o')} AND r.node = g.item_id LEFT JOIN kedges e ON {on('e', 'o')} GROUP BY ALL)"""
+
+
+def grid_out(edges: str = "avg(edges_10)") -> str:
+    means = ", ".join(f"round(avg({c}), 6) AS {c}" for c in ("full_5", "recall_5", "full_10", "mrr", "connected_10"))
+    return f"""SELECT *, round(0.5 * full_5 + 0.3 * recall_5 + 0.2 * connected_10, 6) AS objective FROM (
+ SELECT CAST(config_id AS BIGINT) AS config_id, {means}, round({edges}, 6) AS avg_edges FROM metrics JOIN linked USING (config_id, task_id) GROUP BY config_id)"""
+
+
+def greedy(cap: int) -> str:
+    """Entity pairs strongest first, each node in ``cap`` at most: one step of the recursion for each pair of a task."""
+    free = lambda node: f"len(list_filter(g.used, lambda u: u = {node})) < {cap}"
+    return f"""
+numbered AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY weight DESC, source, target) AS r FROM shared),
+scan AS (SELECT DISTINCT task_id, CAST(0 AS BIGINT) AS r, CAST([] AS VARCHAR[]) AS used, '' AS source, '' AS target, CAST(0 AS BIGINT) AS weight, false AS kept FROM shared
+  UNION ALL SELECT task_id, r, CASE WHEN ok THEN list_concat(used, [source, target]) ELSE used END, source, target, weight, ok FROM (
+    SELECT p.task_id, p.r, g.used, p.source, p.target, p.weight, {free('p.source')} AND {free('p.target')} AS ok FROM scan g JOIN numbered p ON p.task_id = g.task_id AND p.r = g.r + 1)),
+entity_overlap AS (SELECT task_id, source, target, 'entity_overlap' AS edge_type, CAST(weight AS DOUBLE) AS weight, false AS directed FROM scan WHERE kept)"""
 RERANK_GRID_SQL = conv(
     *GRAPH, SEEDS, _grid(), _grid_parts(),
     "gscored AS (SELECT config_id, task_id, item_id, round(init + lq * query + ln_ * neighbor + lb * bridge, 6) AS score FROM allparts JOIN configs USING (s, h))",
-    GRID_EVAL, task_metrics("granked", "config_id, task_id", False),
-) + GRID_OUT
+    GRID_EVAL, task_metrics("granked", "config_id, task_id", False), UNDIRECTED, connected("granked", "config_id, task_id"),
+) + grid_out()
 MEMORY_VALUES = "mconfigs AS (SELECT * FROM (VALUES (0, 0.0), (1, 0.01), (2, 0.05), (3, 0.1), (4, 0.2), (5, 0.5), (6, 1.0)) AS v(config_id, wi))"
 
+FULL_GRAPH = (OVERLAP, BM25, SEQUENTIAL, QUERY_OVERLAP, PAIRS, greedy(10), BRIDGE, FULL_EDGES)
+GRAPH_ONLY = (OVERLAP, SEQUENTIAL, QUERY_OVERLAP, PAIRS, BRIDGE, EDGES)
+#: What each rule must count in the tables with faults put in.
+PLANTED = """, few AS (SELECT * FROM tasks WHERE task_id NOT LIKE '%0')
+SELECT * FROM (VALUES
+ ('alignment', (SELECT count(DISTINCT i.task_id) FROM items i ANTI JOIN few USING (task_id)) + (SELECT count(*) FROM few ANTI JOIN items USING (task_id))),
+ ('items', (SELECT count(*) FROM items WHERE position % 5 = 1) + (SELECT count(*) FROM items WHERE position % 5 = 2 OR trim(text) = '') + (SELECT count(*) FROM items ANTI JOIN few USING (task_id)) + (SELECT count(*) FROM few WHERE trim(question) = '')),
+ ('gold', (SELECT count(*) FROM gold) + (SELECT count(*) FROM gold) + (SELECT count(*) FROM (SELECT task_id FROM gold GROUP BY ALL HAVING count(*) > 1))),
+ ('graph', (SELECT count(*) FROM edges WHERE edge_type = 'bridge') + (SELECT count(*) FROM edges WHERE weight > 0) + (SELECT count(*) FROM edges WHERE source <> 'q')),
+ ('ranking', (SELECT count(*) FROM ranked WHERE rank = 1 OR rank > 3) + (SELECT count(*) FROM ranked WHERE rank = 3) * 2),
+ ('importance', (SELECT count(*) FROM cleaned WHERE score * 2 > 10)),
+ ('metrics', (SELECT count(*) FROM metrics WHERE mrr + 0.75 > 1))) AS v("check", n)"""
+
 SQL = {
     "task_items": doc() + "SELECT task_id, item_id, position, title, group_key, sequence_index, CAST(length(text) AS INTEGER) AS n_chars FROM items JOIN tasks USING (task_id)",
     "content_tokens": doc() + f"SELECT task_id, item_id, CAST(len({tokens('text')}) AS BIGINT) AS n_tokens, array_to_string({tokens('text')}, ' ') AS tokens, array_to_string(list_sort({aliases('title')}), '|') AS aliases FROM items",
@@ -204,6 +266,20 @@ SQL = {
     "entity_pairs": conv(PAIRS) + "SELECT * FROM shared",
     "bridge_edges": conv(PAIRS, BRIDGE) + "SELECT * FROM bridge",
     "graph_edges": conv(*GRAPH) + "SELECT * FROM edges",
+    "document_graph_edges": doc(*GRAPH) + "SELECT * FROM edges",
+    "entity_overlap_capped": conv(PAIRS, greedy(2)) + "SELECT * FROM entity_overlap",
+    "full_graph": conv(*FULL_GRAPH) + "SELECT * FROM edges",
+    "graph_rerank_full": conv(*FULL_GRAPH, RERANK) + "SELECT *, CAST(row_number() OVER (PARTITION BY task_id ORDER BY score DESC, item_id) AS INTEGER) AS rank FROM reranked",
+    "connected_evidence": doc(*GRAPH, UNDIRECTED, connected("ranked", "task_id")) + "SELECT * FROM linked",
+    "path_metrics": doc(*GRAPH, """
+ptop AS (SELECT task_id, item_id FROM ranked WHERE rank <= 10),
+inside AS (SELECT DISTINCT w.task_id, w.source, w.target FROM walk w SEMI JOIN ptop a ON a.task_id = w.task_id AND a.item_id = w.source SEMI JOIN ptop b ON b.task_id = w.task_id AND b.item_id = w.target),
+preach AS (SELECT g.task_id, g.source AS start, g.source AS node FROM gold_edges g JOIN ptop t ON t.task_id = g.task_id AND t.item_id = g.source
+  UNION SELECT r.task_id, r.start, i.target FROM preach r JOIN inside i ON i.task_id = r.task_id AND i.source = r.node)""")
+    + """SELECT g.task_id, round(count(i.source) / count(*), 6) AS edge_recall_10, CAST(bool_and(p.node IS NOT NULL) AS DOUBLE) AS path_recall_10
+ FROM gold_edges g LEFT JOIN inside i ON i.task_id = g.task_id AND i.source = g.source AND i.target = g.target LEFT JOIN preach p ON p.task_id = g.task_id AND p.start = g.source AND p.node = g.target GROUP BY g.task_id""",
+    "dense_task_ranking": doc(DENSE) + "SELECT * FROM ranked",
+    "dense_graph_rerank": doc(OVERLAP, DENSE, SEQUENTIAL, QUERY_OVERLAP, PAIRS, BRIDGE, EDGES, RERANK) + "SELECT *, CAST(row_number() OVER (PARTITION BY task_id ORDER BY score DESC, item_id) AS INTEGER) AS rank FROM reranked",
     "graph_statistics": conv(*GRAPH) + """SELECT *, round((num_items + num_graphs) / num_graphs, 6) AS avg_nodes, round(num_edges / num_graphs, 6) AS avg_edges FROM (
  SELECT (SELECT count(*) FROM tasks) AS num_graphs, (SELECT count(*) FROM items) AS num_items, count(*) AS num_edges, count(CASE WHEN edge_type = 'sequential' THEN 1 END) AS num_sequential,
  count(CASE WHEN edge_type = 'query_overlap' THEN 1 END) AS num_query_overlap, count(CASE WHEN edge_type = 'entity_overlap' THEN 1 END) AS num_entity_overlap, count(CASE WHEN edge_type = 'bridge' THEN 1 END) AS num_bridge,
@@ -220,24 +296,26 @@ qreach AS (SELECT task_id, 'q' AS node FROM tasks UNION SELECT r.task_id, u.targ
     + """SELECT g.task_id, CAST(bool_and(t.item_id IS NOT NULL AND r.node IS NOT NULL) AS DOUBLE) AS connected_5, CAST(bool_and(t.item_id IS NOT NULL AND q.node IS NOT NULL) AS DOUBLE) AS query_connected_5
  FROM gold g LEFT JOIN top t ON t.task_id = g.task_id AND t.item_id = g.item_id LEFT JOIN reach r ON r.task_id = g.task_id AND r.node = g.item_id LEFT JOIN qreach q ON q.task_id = g.task_id AND q.node = g.item_id GROUP BY g.task_id""",
     "memory_stream": conv(BM25, CONV_RAW, CLEANED, SIGNALS, "ms AS (SELECT task_id, item_id, round(relevance + 0.1 * importance + 0.05 * recency, 6) AS score FROM signals)") + "SELECT *, CAST(row_number() OVER (PARTITION BY task_id ORDER BY score DESC, item_id) AS INTEGER) AS rank FROM ms",
-    "memory_grid": conv(BM25, CONV_RAW, CLEANED, SIGNALS, MEMORY_VALUES, "gscored AS (SELECT config_id, task_id, item_id, round(relevance + wi * importance, 6) AS score FROM signals, mconfigs)", GRID_EVAL, task_metrics("granked", "config_id, task_id", False)) + GRID_OUT,
+    "memory_grid": conv(*GRAPH, CONV_RAW, CLEANED, SIGNALS, MEMORY_VALUES, "gscored AS (SELECT config_id, task_id, item_id, round(relevance + wi * importance, 6) AS score FROM signals, mconfigs)", GRID_EVAL, task_metrics("granked", "config_id, task_id", False), UNDIRECTED, connected("granked", "config_id, task_id")) + grid_out("0.0::DOUBLE"),
     "rerank_grid": RERANK_GRID_SQL,
-    "tuned_rerank": f"SELECT * FROM ({RERANK_GRID_SQL}) ORDER BY objective DESC, full_10 DESC, config_id LIMIT 1",
+    "tuned_rerank": f"SELECT * FROM ({RERANK_GRID_SQL}) ORDER BY objective DESC, full_10 DESC, avg_edges, config_id LIMIT 1",
     "cleaned_importance": f"WITH {EVENT_RAW}, {CLEANED} SELECT task_id, item_id, score FROM cleaned",
     "importance_distribution": f"WITH {EVENT_RAW}, {CLEANED} SELECT {HISTOGRAM} FROM cleaned",
     "importance_shards": f"WITH {EVENT_RAW}, {CLEANED} SELECT CAST(task_ord // 40 AS BIGINT) AS shard, {HISTOGRAM} FROM cleaned JOIN (SELECT item_id, task_ord FROM raws) USING (item_id) GROUP BY 1",
     "importance_order_violations": "SELECT CAST(0 AS BIGINT) AS n",
     "duplicate_vectors": conv(CONV_RAW, CLEANED) + "SELECT vector, count(*) AS n_tasks FROM (SELECT task_id, string_agg(CAST(score AS VARCHAR), ',' ORDER BY CAST(substr(item_id, 2) AS INTEGER)) AS vector FROM cleaned GROUP BY task_id) GROUP BY vector HAVING count(*) > 1",
-    "training_pairs": doc(BM25, SEQUENTIAL, TRAIN_PAIRS) + "SELECT task_id, item_id, label, sample_type FROM pairs",
-    "pair_summary": doc(BM25, SEQUENTIAL, TRAIN_PAIRS) + """SELECT *, round(positives / n_tasks, 6) AS positives_per_task, round(negatives / n_tasks, 6) AS negatives_per_task FROM (
+    "training_pairs": doc(BM25, SEQUENTIAL, PAIRS, BRIDGE, TRAIN_PAIRS) + "SELECT task_id, item_id, label, sample_type FROM pairs",
+    "pair_summary": doc(BM25, SEQUENTIAL, PAIRS, BRIDGE, TRAIN_PAIRS) + """SELECT *, round(positives / n_tasks, 6) AS positives_per_task, round(negatives / n_tasks, 6) AS negatives_per_task FROM (
  SELECT count(CASE WHEN label = 1 THEN 1 END) AS positives, count(CASE WHEN label = 0 THEN 1 END) AS negatives, count(CASE WHEN sample_type = 'easy_random' THEN 1 END) AS n_easy_random, count(CASE WHEN sample_type = 'hard_bm25' THEN 1 END) AS n_hard_bm25,
  count(CASE WHEN sample_type = 'hard_dense' THEN 1 END) AS n_hard_dense, count(CASE WHEN sample_type = 'hard_graph_neighbor' THEN 1 END) AS n_hard_graph_neighbor, (SELECT count(*) FROM tasks) AS n_tasks FROM pairs)""",
-    "contrastive_triples": doc(BM25, SEQUENTIAL, TRAIN_PAIRS, """
+    "contrastive_triples": doc(BM25, SEQUENTIAL, PAIRS, BRIDGE, TRAIN_PAIRS, """
 kinds AS (SELECT task_id, item_id, min({'k': CASE sample_type WHEN 'hard_dense' THEN 0 WHEN 'hard_bm25' THEN 1 WHEN 'hard_graph_neighbor' THEN 2 ELSE 3 END, 'o': ord}) AS x FROM pairs WHERE label = 0 GROUP BY ALL),
 negs AS (SELECT task_id, item_id FROM (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY x.k, x.o, item_id) AS r FROM kinds) WHERE r <= 3)""") + "SELECT g.task_id, g.item_id AS positive, n.item_id AS negative FROM gold g LEFT JOIN negs n USING (task_id)",
     "message_edges": conv(*GRAPH, "msgs AS (SELECT task_id, source, target, edge_type || '_forward' AS relation, weight FROM edges UNION ALL SELECT task_id, target, source, edge_type || '_reverse', weight FROM edges WHERE NOT directed)") + "SELECT *, round(1.0 / count(*) OVER (PARTITION BY task_id, target, relation), 6) AS norm FROM msgs",
     "node_features": conv(BM25) + "SELECT task_id, item_id AS node_id, score AS seed_score, round(CASE WHEN count(*) OVER (PARTITION BY task_id) = 1 THEN 0.0 ELSE (rank - 1) / (count(*) OVER (PARTITION BY task_id) - 1) END, 6) AS percentile, 0.0::DOUBLE AS is_question FROM ranked UNION ALL SELECT DISTINCT task_id, 'q', 0.0, 1.0, 1.0 FROM items",
     "split_assignment": "SELECT doc_id, CASE WHEN u < 0.8 THEN 'train' WHEN u < 0.9 THEN 'dev' ELSE 'test' END AS split FROM (SELECT doc_id, CAST('0x' || substr(md5('0|' || doc_id), 1, 8) AS BIGINT) / 4294967296.0 AS u FROM documents)",
+    "content_digests": conv() + """SELECT task_id, sha256('{"items":[' || string_agg('{"id":' || to_json(item_id) || ',"position":' || position || ',"source":' || to_json(source_ref) || ',"text":' || to_json(text) || '}', ',' ORDER BY position) || ']}') AS digest FROM items GROUP BY task_id""",
+    "planted_violations": conv(BM25, CONV_RAW, CLEANED, task_metrics("ranked"), *GRAPH_ONLY) + PLANTED,
     "violations": 'SELECT unnest([\'alignment\', \'items\', \'gold\', \'graph\', \'ranking\', \'importance\', \'metrics\']) AS "check", CAST(0 AS BIGINT) AS n',
     "method_table": conv(*GRAPH, RERANK, CONV_RAW, CLEANED, SIGNALS, """
 methods AS (SELECT 'bm25' AS method, task_id, item_id, score FROM scores UNION ALL SELECT 'bm25_graph_rerank', task_id, item_id, score FROM reranked UNION ALL SELECT 'memory_stream', task_id, item_id, round(relevance + 0.01 * importance, 6) FROM signals),

@@ -124,6 +124,11 @@ def entity_overlap_edges(spark, sf_dir):
     return graph.entity_overlap_edges(document_tasks(spark, sf_dir).items)
 
 
+def entity_overlap_capped(spark, sf_dir):
+    """The greedy scan with a cap that binds on small tasks."""
+    return graph.entity_overlap_edges(conversation_tasks(spark, sf_dir).items, graph.GraphConfig(max_entity_degree=2))
+
+
 def bridge_edges(spark, sf_dir):
     return graph.bridge_edges(conversation_tasks(spark, sf_dir).items)
 
@@ -143,6 +148,16 @@ def graph_statistics(spark, sf_dir):
     return graph.graph_statistics(own.items, own.tasks, graph.build_graph(own.items, own.tasks, rules=PLAIN_RULES))
 
 
+def document_graph_edges(spark, sf_dir):
+    own = document_tasks(spark, sf_dir)
+    return graph.build_graph(own.items, own.tasks, rules=PLAIN_RULES)
+
+
+def _document_seeds(spark, sf_dir):
+    own = document_tasks(spark, sf_dir)
+    return own, lexical.bm25_scores(own.items, own.tasks), graph.build_graph(own.items, own.tasks, rules=PLAIN_RULES)
+
+
 def _conversation_seeds(spark, sf_dir):
     """Seeds and edges are read by several branches of a query, so they are kept."""
     own = conversation_tasks(spark, sf_dir)
@@ -164,6 +179,22 @@ def graph_rerank_full(spark, sf_dir):
     return ranking.ranked(rerank.rerank(lexical.bm25_scores(own.items, own.tasks), graph.build_graph(own.items, own.tasks)))
 
 
+def _dense_scores(own):
+    """Inner products of hashed vectors: the encoder is given by the caller, and this one needs no model."""
+    passages = own.items.select("task_id", "item_id", T.hashed_vector(F.concat(F.coalesce("title", F.lit("")), F.lit(". "), F.col("text"))).alias("vec"))
+    return ranking.dense_scores(own.tasks.select("task_id", T.hashed_vector("question").alias("q_vec")), passages)
+
+
+def dense_task_ranking(spark, sf_dir):
+    return ranking.ranked(_dense_scores(document_tasks(spark, sf_dir)))
+
+
+def dense_graph_rerank(spark, sf_dir):
+    own = document_tasks(spark, sf_dir)
+    edges = graph.build_graph(own.items, own.tasks, rules=PLAIN_RULES)
+    return ranking.ranked(rerank.rerank(_dense_scores(own), edges)).select("task_id", "item_id", "score", "rank")
+
+
 def retrieved_subgraph(spark, sf_dir):
     _, scores, edges = _conversation_seeds(spark, sf_dir)
     return ranking.retrieved_subgraph(edges, ranking.ranked(scores), 3)
@@ -175,8 +206,13 @@ def connectivity(spark, sf_dir):
 
 
 def path_metrics(spark, sf_dir):
-    own, scores, edges = _conversation_seeds(spark, sf_dir)
-    return evaluate.path_metrics(ranking.ranked(scores), own.gold_edges, edges, 5)
+    own, scores, edges = _document_seeds(spark, sf_dir)
+    return evaluate.path_metrics(ranking.ranked(scores), own.gold_edges, edges, 10)
+
+
+def connected_evidence(spark, sf_dir):
+    own, scores, edges = _document_seeds(spark, sf_dir)
+    return evaluate.connected_evidence(ranking.ranked(scores), own.gold, edges, 10)
 
 
 def _conversation_importance(own):
@@ -194,14 +230,15 @@ def memory_stream(spark, sf_dir):
 def memory_grid(spark, sf_dir):
     own = conversation_tasks(spark, sf_dir)
     grid = tuning.parameter_grid(tuning.MEMORY_GRID)
+    edges = graph.build_graph(own.items, own.tasks, rules=PLAIN_RULES)
     scored = tuning.memory_grid_scores(own.items, lexical.bm25_scores(own.items, own.tasks), _conversation_importance(own), grid)
-    return tuning.with_objective(tuning.evaluated(scored, own.gold))
+    return tuning.with_objective(tuning.evaluated(scored, own.gold, edges, subgraph=False))
 
 
 def rerank_grid(spark, sf_dir):
     own, scores, edges = _conversation_seeds(spark, sf_dir)
     scored = tuning.rerank_grid_scores(scores, edges, tuning.parameter_grid(tuning.RERANK_GRID))
-    return tuning.with_objective(tuning.evaluated(scored, own.gold))
+    return tuning.with_objective(tuning.evaluated(scored, own.gold, edges))
 
 
 def tuned_rerank(spark, sf_dir):
@@ -242,8 +279,8 @@ def duplicate_vectors(spark, sf_dir):
 def _pairs(spark, sf_dir):
     own = document_tasks(spark, sf_dir)
     scores = lexical.bm25_scores(own.items, own.tasks)
-    edges = graph.sequential_edges(own.items)
-    negatives = {"easy_random": pairs.easy_random(own.items, own.gold, 2), "hard_bm25": pairs.hard_by_rank(scores, own.gold, 2), "hard_graph_neighbor": pairs.graph_neighbours(edges, own.gold, 1)}
+    edges = graph.build_graph(own.items, own.tasks, rules=("sequential", "bridge"))
+    negatives = {"easy_random": pairs.easy_random(own.items, own.gold, 2), "hard_bm25": pairs.hard_by_rank(scores, own.gold, 2), "hard_graph_neighbor": pairs.graph_neighbours(edges, own.items, own.gold, 1)}
     return own, pairs.training_pairs(own.gold, negatives)
 
 
@@ -304,6 +341,31 @@ def violations(spark, sf_dir):
     )
 
 
+def planted_violations(spark, sf_dir):
+    """The rules over tables with faults put in: each check must count its own."""
+    own, scores, edges = _conversation_seeds(spark, sf_dir)
+    ranked = ranking.ranked(scores)
+    fifth = F.col("position") % 5
+    items = own.items.withColumns({"item_id": F.when(fifth == 1, F.concat(F.lit("x"), "position")).otherwise(F.col("item_id")), "text": F.when(fifth == 2, "").otherwise(F.col("text"))})
+    tasks = own.tasks.where(~F.col("task_id").endswith("0"))
+    lost = own.gold.withColumn("item_id", F.lit("m99"))
+    loops = edges.where("source <> 'q'").withColumn("target", F.col("source"))
+    kinds = edges.withColumn("edge_type", F.when(F.col("edge_type") == "bridge", "other").otherwise(F.col("edge_type")))
+    importance = _conversation_importance(own)
+    metrics = evaluate.task_metrics(ranked, own.gold)
+    return validate.violation_counts(
+        {
+            "alignment": validate.alignment(own.items, tasks),
+            "items": validate.item_rules(items, tasks),
+            "gold": validate.gold_rules(own.gold.unionByName(lost).unionByName(own.gold), own.items),
+            "graph": validate.graph_rules(kinds.withColumn("weight", -F.col("weight")).unionByName(loops), own.items),
+            "ranking": validate.ranking_rules(ranked.where("rank <> 1").withColumn("score", F.when(F.col("rank") == 3, F.lit(float("nan"))).otherwise(F.col("score"))).where("rank <= 3"), own.items),
+            "importance": validate.importance_rules(importance.withColumn("score", F.col("score") * 2), own.items),
+            "metrics": validate.metric_rules(metrics.withColumn("mrr", F.col("mrr") + 0.75)),
+        }
+    )
+
+
 def method_table(spark, sf_dir):
     """Metrics of several methods over the same tasks, one row each."""
     own, scores, edges = _conversation_seeds(spark, sf_dir)
@@ -325,10 +387,10 @@ def event_windows(spark, sf_dir):
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         task_items, content_tokens, item_entities, idf_table, lexical_overlap, input_tokens, bm25_ranking, bm25_metrics, bm25_task_metrics, seed_signals, failure_cases,
-        dense_ranking, dense_ir_metrics, sequential_edges, query_overlap_edges, entity_pairs, entity_overlap_edges, bridge_edges, graph_edges, full_graph, graph_statistics,
-        candidate_expansion, graph_rerank, graph_rerank_full, retrieved_subgraph, connectivity, path_metrics, memory_stream, memory_grid, rerank_grid, tuned_rerank,
+        dense_ranking, dense_ir_metrics, sequential_edges, query_overlap_edges, entity_pairs, entity_overlap_edges, entity_overlap_capped, bridge_edges, graph_edges, document_graph_edges, full_graph, graph_statistics,
+        candidate_expansion, graph_rerank, graph_rerank_full, retrieved_subgraph, connectivity, connected_evidence, path_metrics, dense_task_ranking, dense_graph_rerank, memory_stream, memory_grid, rerank_grid, tuned_rerank,
         cleaned_importance, importance_distribution, importance_shards, importance_order_violations, duplicate_vectors, training_pairs, pair_summary, contrastive_triples,
-        message_edges, node_features, rgcn_ranking, content_digests, split_assignment, violations, method_table, event_windows,
+        message_edges, node_features, rgcn_ranking, content_digests, split_assignment, violations, planted_violations, method_table, event_windows,
     )
     return {f.__name__: f for f in found}
 

@@ -179,6 +179,54 @@ def test_grid_and_splits():
         splits.check_range(10, 8, 3)
 
 
+ITEMS = "task_id string, item_id string, position int, source_ref string, group_key string, sequence_index int, text string"
+
+
+def test_graph_neighbours_follow_the_order_of_edges(spark):
+    items = spark.createDataFrame([("t", f"m{k}", k, "A", f"g{k % 2}", k // 2, "x") for k in range(8)], ITEMS)
+    edges = edges_of(spark, [("m1", "m3", "sequential", 1, False), ("m3", "m5", "sequential", 1, False), ("m2", "m4", "sequential", 1, False), ("m3", "m7", "bridge", 9, False), ("m0", "m3", "entity_overlap", 1, False), ("q", "m3", "query_overlap", 5, True)])
+    near = lambda n: [r["item_id"] for r in pairs.graph_neighbours(edges, items, gold_of(spark, ["m3"]), n).orderBy("ord").collect()]
+    assert near(2) == ["m1", "m5"] and near(9) == ["m1", "m5", "m0", "m7"]
+    assert [r["item_id"] for r in pairs.graph_neighbours(edges, items, gold_of(spark, ["m2", "m3"]), 1).orderBy("ord").collect()] == ["m4", "m1"]
+
+
+def test_bridges_equal_all_pairs(spark):
+    rng = random.Random(3)
+    words = ["paris", "seine", "lyon", "rhone", "art", "start", "Alps", "Nice"]
+    rows = [("t", f"m{k}", k, " ".join(rng.sample(words, 2)) if k % 4 else None, f"g{k % 3}" if k % 5 else None, k, " ".join(rng.choices(words, k=4))) for k in range(14)]
+    items = spark.createDataFrame(rows, ITEMS)
+    alias = {r["item_id"]: (r["a"] or [], r["e"] or []) for r in items.select("item_id", T.title_aliases("source_ref").alias("a"), F.array_union(T.entities(F.concat_ws(". ", "source_ref", "text")), F.coalesce(T.title_aliases("source_ref"), F.array().cast("array<string>"))).alias("e")).collect()}
+    want = {}
+    for a in rows:
+        for b in rows:
+            if a[2] < b[2] and (a[4] or a[3]) != (b[4] or b[3]):
+                mentions = sum(x in b[6].lower() for x in alias[a[1]][0]) + sum(x in a[6].lower() for x in alias[b[1]][0])
+                both = set(alias[a[1]][1]) & set(alias[b[1]][1]) if a[3] and b[3] else set()
+                if mentions + len(both):
+                    want[a[1], b[1]] = mentions + len(both)
+    got = {(r["source"], r["target"]): r["weight"] for r in graph.bridge_edges(items, graph.GraphConfig(max_bridge_edges=1000)).collect()}
+    assert got == want and want
+
+
+def test_objective_and_choice(spark):
+    scored = spark.createDataFrame([(c, "t", f"m{k}", s) for c, order in ((0, "0123"), (1, "3210")) for k, s in ((int(i), float(9 - n)) for n, i in enumerate(order))] + [(0, "u", "m0", 1.0)], "config_id int, task_id string, item_id string, score double")
+    edges = edges_of(spark, [("m0", "m1", "sequential", 1, False), ("m3", "m1", "bridge", 1, True), ("q", "m0", "query_overlap", 1, True)])
+    got = {r["config_id"]: r.asDict() for r in tuning.with_objective(tuning.evaluated(scored, gold_of(spark, ["m0", "m3"]), edges)).collect()}
+    assert got[0] == {"config_id": 0, "full_5": 1.0, "recall_5": 1.0, "full_10": 1.0, "mrr": 1.0, "connected_10": 1.0, "avg_edges": 2.0, "objective": 1.0}
+    apart = tuning.with_objective(tuning.evaluated(scored, gold_of(spark, ["m0", "m2"]), edges, subgraph=False)).orderBy("config_id").first()
+    assert (apart["connected_10"], apart["objective"], apart["avg_edges"]) == (0.0, 0.8, 0.0)
+    rows = spark.createDataFrame([(0, 0.8, 1.0, 5.0), (1, 0.8, 1.0, 4.0), (2, 0.8, 1.0, 4.0), (3, 0.8, 0.5, 0.0)], "config_id int, objective double, full_10 double, avg_edges double")
+    assert tuning.selected(rows).first()["config_id"] == 1
+    one_gold = evaluate.connected_evidence(ranks(spark, ["m0", "m1", "m3"]), gold_of(spark, ["m0", "m3"]), edges, 2).first()
+    assert (one_gold["connected_2"], one_gold["edges_2"]) == (0.0, 1)
+
+
+def test_hashed_vectors(spark):
+    v = one(spark, T.hashed_vector("t", 8), t="paris paris lyon")
+    assert len(v) == 8 and sum(x * x for x in v) == pytest.approx(1.0)
+    assert one(spark, T.hashed_vector("t", 8), t="of the") == [0.0] * 8
+
+
 RAW = {
     "_id": "1", "question": "Where?", "answer": "x", "type": "compositional",
     "context": [["Eiffel Tower", ["The tower is in Paris.", "It is tall."]], ["Paris", ["Paris lies on the Seine.", "Big."]]],
