@@ -3,21 +3,15 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Mapping
 from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
-from pyspark.sql import WindowSpec
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import min_max
-from .graph import QUERY_NODE, both_ways, expand
-
-
-
-def _task() -> WindowSpec:
-    """All candidates of a task. A window needs a session, so it isn't made at import."""
-    return W.partitionBy("task_id")
+from ..functions.text import let
+from .graph import QUERY_NODE
 
 
 @dataclass(frozen=True)
@@ -41,32 +35,66 @@ class RerankConfig:
             raise ValueError("seed_top_s must be positive and max_hops not negative")
 
 
+def gathered(scores: DataFrame, edges: DataFrame) -> DataFrame:
+    """(task_id, ids, norm, asks, links): a task's candidates and edges in one row.
+
+    Scores and edges are read once each; what follows stays within the row, so
+    that settings can vary without another pass. norm is the score scaled to
+    0..1; links are the edges between candidates in both directions, in order,
+    so that sums are the same in any run.
+    """
+    items = scores.groupBy("task_id").agg(F.collect_list(F.struct("item_id", F.col("score").cast("double").alias("score"))).alias("items"))
+    drawn = edges.groupBy("task_id").agg(F.sort_array(F.collect_list(F.struct("source", "target", "edge_type", "weight", "directed"))).alias("edges"))
+    rows = items.join(drawn, "task_id", "left").select("task_id", F.transform("items", lambda i: i["item_id"]).alias("ids"), scaled(F.transform("items", lambda i: i["score"])).alias("norm"), "edges")
+    inner = F.filter("edges", lambda e: (e["source"] != QUERY_NODE) & (e["target"] != QUERY_NODE))
+    link = lambda a, b: lambda e: F.struct(e[a].alias("source"), e[b].alias("target"), e["edge_type"].alias("edge_type"), e["weight"].alias("weight"))
+    links = F.concat(F.transform(inner, link("source", "target")), F.transform(F.filter(inner, lambda e: ~e["directed"]), link("target", "source")))
+    asks = F.transform(F.filter("edges", lambda e: (e["source"] == QUERY_NODE) & (e["edge_type"] == "query_overlap")), lambda e: F.struct(e["target"].alias("target"), e["weight"].alias("weight")))
+    return rows.select(
+        "task_id", "ids", "norm",
+        F.coalesce(asks, F.array().cast("array<struct<target:string,weight:double>>")).alias("asks"),
+        F.coalesce(links, F.array().cast("array<struct<source:string,target:string,edge_type:string,weight:double>>")).alias("links"),
+    )
+
+
+def scaled(values: Column) -> Column:
+    """An array scaled to 0..1; constant values give 0."""
+    ends = lambda v: F.struct(v.alias("v"), F.array_min(v).alias("low"), F.array_max(v).alias("high"))
+    each = lambda r: F.transform(r["v"], lambda x: F.when(r["high"] == r["low"], F.lit(0.0)).otherwise((x - r["low"]) / (r["high"] - r["low"])))
+    return let(let(values, ends), each)
+
+
+def parts_within(rows: DataFrame, seed_top_s: Column, max_hops: Column, type_weights: Mapping[str, float], keys: tuple[str, ...] = ("task_id",)) -> DataFrame:
+    """(keys, item_id, init, query, neighbor, bridge), each scaled to 0..1 within its row of ``gathered``."""
+    factor = lambda kind: reduce(lambda other, own: F.when(kind == own[0], F.lit(float(own[1]))).otherwise(other), type_weights.items(), F.lit(0.0))
+    norm_of = lambda item: F.get(F.col("norm"), F.array_position(F.col("ids"), item).cast("int") - 1)
+    best = F.transform(F.sort_array(F.zip_with("ids", "norm", lambda i, n: F.struct((-n).alias("n"), i.alias("i")))), lambda x: x["i"])
+    hops = F.when(max_hops > 0, F.sequence(F.lit(1), max_hops)).otherwise(F.array().cast("array<int>"))
+    step = lambda seen: F.array_union(seen, F.transform(F.filter("links", lambda e: F.array_contains(seen, e["source"])), lambda e: e["target"]))
+    allowed = F.aggregate(hops, F.slice(best, F.lit(1), seed_top_s), lambda seen, _: step(seen))
+    weighed = F.transform("links", lambda e: F.struct(e["target"].alias("target"), (e["edge_type"] == "bridge").alias("bridge"), (e["weight"] * factor(e["edge_type"])).alias("w"), norm_of(e["source"]).alias("n")))
+    rows = rows.select(*keys, "ids", "norm", "asks", allowed.alias("allowed"), F.filter(weighed, lambda f: (f["w"] > 0) & f["n"].isNotNull()).alias("flow"))
+    total = lambda xs, value: F.aggregate(xs, F.lit(0.0), lambda s, x: s + value(x))
+    flow = lambda mine: F.struct(
+        F.coalesce(F.try_divide(total(mine, lambda f: f["n"] * f["w"]), total(mine, lambda f: f["w"])), F.lit(0.0)).alias("neighbor"),
+        total(F.filter(mine, lambda f: f["bridge"]), lambda f: f["n"] * f["w"]).alias("bridge"),
+    )
+    gate = lambda item, x: F.when(F.array_contains(F.col("allowed"), item), x)
+    asked = F.transform("ids", lambda i: F.coalesce(gate(i, total(F.filter("asks", lambda a: a["target"] == i), lambda a: a["weight"])), F.lit(0.0)))
+    drawn = F.transform("ids", lambda i: gate(i, let(F.filter("flow", lambda f: f["target"] == i), flow)))
+    rows = rows.select(*keys, "ids", "norm", asked.alias("asked"), drawn.alias("drawn"))
+    field = lambda name: scaled(F.transform("drawn", lambda d: F.coalesce(d[name], F.lit(0.0)))).alias(name)
+    rows = rows.select(*keys, F.col("ids").alias("item_id"), F.col("norm").alias("init"), scaled(F.col("asked")).alias("query"), field("neighbor"), field("bridge"))
+    return rows.select(*keys, F.inline(F.arrays_zip("item_id", "init", "query", "neighbor", "bridge")))
+
+
 def components(scores: DataFrame, edges: DataFrame, config: RerankConfig) -> DataFrame:
     """(task_id, item_id, init, query, neighbor, bridge), each scaled to 0..1 within its task.
 
     Depends on seed_top_s, max_hops and the type weights only, so a grid over
     the lambdas reuses it.
     """
-    seeds = scores.withColumn("norm", min_max(F.col("score"), _task()))
-    w = _task().orderBy(F.desc("norm"), F.asc("item_id"))
-    top = seeds.withColumn("r", F.row_number().over(w)).where(F.col("r") <= config.seed_top_s)
-    allowed = expand(top, edges, config.max_hops).withColumn("gate", F.lit(1.0))
-    query = edges.where((F.col("source") == QUERY_NODE) & (F.col("edge_type") == "query_overlap")).groupBy("task_id", F.col("target").alias("item_id")).agg(F.sum("weight").alias("query"))
-    factor = F.lit(0.0)
-    for kind, weight in config.neighbor_type_weights.items():
-        factor = F.when(F.col("edge_type") == kind, weight).otherwise(factor)
-    inner = both_ways(edges.where((F.col("source") != QUERY_NODE) & (F.col("target") != QUERY_NODE))).withColumn("weight", F.col("weight") * factor)
-    norm = seeds.select("task_id", F.col("item_id").alias("source"), "norm")
-    flow = inner.where("weight > 0").join(norm, ["task_id", "source"])
-    is_bridge = F.col("edge_type") == "bridge"
-    gathered = flow.groupBy("task_id", F.col("target").alias("item_id")).agg(
-        F.try_divide(F.sum(F.col("norm") * F.col("weight")), F.sum("weight")).alias("neighbor"), F.sum(F.when(is_bridge, F.col("norm") * F.col("weight"))).alias("bridge")
-    )
-    keys = ["task_id", "item_id"]
-    rows = seeds.join(allowed, keys, "left").join(query, keys, "left").join(gathered, keys, "left")
-    gated = {c: F.coalesce(F.col(c), F.lit(0.0)) * F.coalesce(F.col("gate"), F.lit(0.0)) for c in ("query", "neighbor", "bridge")}
-    rows = rows.withColumns(gated)
-    return rows.select(*keys, F.col("norm").alias("init"), *[min_max(F.col(c), _task()).alias(c) for c in gated])
+    return parts_within(gathered(scores, edges), F.lit(config.seed_top_s), F.lit(config.max_hops), config.neighbor_type_weights)
 
 
 def combined(parts: DataFrame, config: RerankConfig):

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .evaluate import reachable
 from .graph import QUERY_NODE
 from .memory import memory_signals
-from .rerank import RerankConfig, components
+from .rerank import RerankConfig, gathered, parts_within
 
 # Fixed values of the default searches.
 RERANK_GRID = {
@@ -76,18 +76,16 @@ def evaluated(scored: DataFrame, gold: DataFrame, edges: DataFrame, subgraph: bo
 
 
 def rerank_grid_scores(scores: DataFrame, edges: DataFrame, grid: list[dict]) -> DataFrame:
-    """(config_id, task_id, item_id, score). Components are made once for each (seed_top_s, max_hops)."""
-    spark = scores.sparkSession
-    configs = grid_frame(spark, grid)
-    scores, edges = scores.persist(), edges.persist()  # read by every group of configurations
-    out = None
-    for top_s, hops in sorted({(p["seed_top_s"], p["max_hops"]) for p in grid}):
-        parts = components(scores, edges, RerankConfig(seed_top_s=top_s, max_hops=hops))
-        own = configs.where((F.col("seed_top_s") == top_s) & (F.col("max_hops") == hops)).select("config_id", *[c for c in configs.columns if c.startswith("lambda_")])
-        total = sum((F.col(f"lambda_{c}") * F.col(c) for c in ("query", "neighbor", "bridge")), F.col("lambda_init") * F.col("init"))
-        rows = parts.join(F.broadcast(own)).select("config_id", "task_id", "item_id", F.round(total, 6).alias("score"))  # a grid has a fixed number of rows
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    """(config_id, task_id, item_id, score). Scores and edges are read once; components are made once for each (seed_top_s, max_hops)."""
+    configs = grid_frame(scores.sparkSession, grid)
+    shapes = sorted({(p["seed_top_s"], p["max_hops"]) for p in grid})
+    each = F.inline(F.array(*[F.struct(F.lit(s).alias("seed_top_s"), F.lit(h).alias("max_hops")) for s, h in shapes]))
+    rows = gathered(scores, edges).select("*", each)
+    keys = ("task_id", "seed_top_s", "max_hops")
+    parts = parts_within(rows, F.col("seed_top_s"), F.col("max_hops"), RerankConfig().neighbor_type_weights, keys)
+    total = sum((F.col(f"lambda_{c}") * F.col(c) for c in ("query", "neighbor", "bridge")), F.col("lambda_init") * F.col("init"))
+    rows = parts.join(F.broadcast(configs), ["seed_top_s", "max_hops"])  # a grid has a fixed number of rows
+    return rows.select("config_id", "task_id", "item_id", F.round(total, 6).alias("score"))
 
 
 def memory_grid_scores(items: DataFrame, relevance: DataFrame, importance: DataFrame, grid: list[dict]) -> DataFrame:

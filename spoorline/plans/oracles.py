@@ -270,6 +270,7 @@ SQL = {
     "entity_overlap_capped": conv(PAIRS, greedy(2)) + "SELECT * FROM entity_overlap",
     "full_graph": conv(*FULL_GRAPH) + "SELECT * FROM edges",
     "graph_rerank_full": conv(*FULL_GRAPH, RERANK) + "SELECT *, CAST(row_number() OVER (PARTITION BY task_id ORDER BY score DESC, item_id) AS INTEGER) AS rank FROM reranked",
+    "document_graph_rerank": doc(*GRAPH, RERANK) + "SELECT *, CAST(row_number() OVER (PARTITION BY task_id ORDER BY score DESC, item_id) AS INTEGER) AS rank FROM reranked",
     "connected_evidence": doc(*GRAPH, UNDIRECTED, connected("ranked", "task_id")) + "SELECT * FROM linked",
     "path_metrics": doc(*GRAPH, """
 ptop AS (SELECT task_id, item_id FROM ranked WHERE rank <= 10),

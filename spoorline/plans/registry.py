@@ -159,9 +159,8 @@ def _document_seeds(spark, sf_dir):
 
 
 def _conversation_seeds(spark, sf_dir):
-    """Seeds and edges are read by several branches of a query, so they are kept."""
     own = conversation_tasks(spark, sf_dir)
-    return own, lexical.bm25_scores(own.items, own.tasks).persist(), graph.build_graph(own.items, own.tasks, rules=PLAIN_RULES).persist()
+    return own, lexical.bm25_scores(own.items, own.tasks), graph.build_graph(own.items, own.tasks, rules=PLAIN_RULES)
 
 
 def candidate_expansion(spark, sf_dir):
@@ -174,6 +173,11 @@ def graph_rerank(spark, sf_dir):
     return ranking.ranked(rerank.rerank(scores, edges)).select("task_id", "item_id", "score", "rank")
 
 
+def document_graph_rerank(spark, sf_dir):
+    _, scores, edges = _document_seeds(spark, sf_dir)
+    return ranking.ranked(rerank.rerank(scores, edges)).select("task_id", "item_id", "score", "rank")
+
+
 def graph_rerank_full(spark, sf_dir):
     own = conversation_tasks(spark, sf_dir)
     return ranking.ranked(rerank.rerank(lexical.bm25_scores(own.items, own.tasks), graph.build_graph(own.items, own.tasks)))
@@ -388,7 +392,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         task_items, content_tokens, item_entities, idf_table, lexical_overlap, input_tokens, bm25_ranking, bm25_metrics, bm25_task_metrics, seed_signals, failure_cases,
         dense_ranking, dense_ir_metrics, sequential_edges, query_overlap_edges, entity_pairs, entity_overlap_edges, entity_overlap_capped, bridge_edges, graph_edges, document_graph_edges, full_graph, graph_statistics,
-        candidate_expansion, graph_rerank, graph_rerank_full, retrieved_subgraph, connectivity, connected_evidence, path_metrics, dense_task_ranking, dense_graph_rerank, memory_stream, memory_grid, rerank_grid, tuned_rerank,
+        candidate_expansion, graph_rerank, document_graph_rerank, graph_rerank_full, retrieved_subgraph, connectivity, connected_evidence, path_metrics, dense_task_ranking, dense_graph_rerank, memory_stream, memory_grid, rerank_grid, tuned_rerank,
         cleaned_importance, importance_distribution, importance_shards, importance_order_violations, duplicate_vectors, training_pairs, pair_summary, contrastive_triples,
         message_edges, node_features, rgcn_ranking, content_digests, split_assignment, violations, planted_violations, method_table, event_windows,
     )
