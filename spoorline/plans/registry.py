@@ -311,10 +311,27 @@ def node_features(spark, sf_dir):
     return rgcn.node_features(own.items, ranking.seed_signals(scores))
 
 
+def _trains(task):
+    """Four of five tasks, by hash."""
+    return F.crc32(task.cast("binary")) % 5 != 0
+
+
+def _rgcn_ranked(own, scores, edges):
+    features, messages = rgcn.node_features(own.items, ranking.seed_signals(scores)), rgcn.message_edges(edges)
+    model = rgcn.fitted(features, messages, own.gold.where(_trains(F.col("task_id"))))
+    return ranking.ranked(rgcn.rgcn_scores(features, messages, model))
+
+
 def rgcn_ranking(spark, sf_dir):
-    own, scores, edges = _conversation_seeds(spark, sf_dir)
-    features = rgcn.node_features(own.items, ranking.seed_signals(scores))
-    return ranking.ranked(rgcn.rgcn_scores(features, rgcn.message_edges(edges), rgcn.RgcnModel()))
+    return _rgcn_ranked(*_conversation_seeds(spark, sf_dir))
+
+
+def rgcn_metrics(spark, sf_dir):
+    """Document tasks that the network was not fitted on, against the seeds it started from."""
+    own, scores, edges = _document_seeds(spark, sf_dir)
+    methods = {"bm25": ranking.ranked(scores), "bm25_rgcn": _rgcn_ranked(own, scores, edges)}
+    rows = [r.select("task_id", "item_id", "rank").where(~_trains(F.col("task_id"))).withColumn("method", F.lit(name)) for name, r in methods.items()]
+    return evaluate.summary(evaluate.task_metrics(rows[0].unionByName(rows[1]), own.gold, ("method", "task_id"), rounded=False))
 
 
 def content_digests(spark, sf_dir):
@@ -394,7 +411,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         dense_ranking, dense_ir_metrics, sequential_edges, query_overlap_edges, entity_pairs, entity_overlap_edges, entity_overlap_capped, bridge_edges, graph_edges, document_graph_edges, full_graph, graph_statistics,
         candidate_expansion, graph_rerank, document_graph_rerank, graph_rerank_full, retrieved_subgraph, connectivity, connected_evidence, path_metrics, dense_task_ranking, dense_graph_rerank, memory_stream, memory_grid, rerank_grid, tuned_rerank,
         cleaned_importance, importance_distribution, importance_shards, importance_order_violations, duplicate_vectors, training_pairs, pair_summary, contrastive_triples,
-        message_edges, node_features, rgcn_ranking, content_digests, split_assignment, violations, planted_violations, method_table, event_windows,
+        message_edges, node_features, rgcn_ranking, rgcn_metrics, content_digests, split_assignment, violations, planted_violations, method_table, event_windows,
     )
     return {f.__name__: f for f in found}
 

@@ -221,6 +221,21 @@ def test_objective_and_choice(spark):
     assert (one_gold["connected_2"], one_gold["edges_2"]) == (0.0, 1)
 
 
+def test_fitted_network_ranks_gold_first(spark):
+    rng = random.Random(5)
+    tasks = [f"t{k}" for k in range(30)]
+    signals = spark.createDataFrame([(t, f"m{k}", float(k == 2) * 3 + rng.random(), k / 5) for t in tasks for k in range(6)], "task_id string, item_id string, score double, percentile double")
+    features = rgcn.node_features(signals.select("task_id", "item_id"), signals)
+    edges = spark.createDataFrame([(t, "q", "m2", "query_overlap", 1.0, True) for t in tasks], "task_id string, source string, target string, edge_type string, weight double, directed boolean")
+    gold = spark.createDataFrame([(t, "m2", 0) for t in tasks], "task_id string, item_id string, ord int")
+    messages = rgcn.message_edges(edges)
+    model = rgcn.fitted(features, messages, gold.where("task_id < 't2'"), most_tasks=8, epochs=40)
+    first = ranking.ranked(rgcn.rgcn_scores(features, messages, model)).where("rank = 1")
+    assert {r["item_id"] for r in first.collect()} == {"m2"}
+    untouched = rgcn.fitted(features, messages, gold.limit(0))
+    assert (untouched.weights["score1"] == rgcn.RgcnModel().weights["score1"]).all()
+
+
 def test_hashed_vectors(spark):
     v = one(spark, T.hashed_vector("t", 8), t="paris paris lyon")
     assert len(v) == 8 and sum(x * x for x in v) == pytest.approx(1.0)
