@@ -262,10 +262,10 @@ def find_runs(words: list) -> list[Run]:
     """(start, length, period) of all runs, by start, then period."""
     if len(words) < MIN_WORDS:
         return []
-    number: dict = {}
-    coded = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int32, len(words))
+    number = {w: k for k, w in enumerate(dict.fromkeys(words))}
     if len(number) > len(words) - 5:  # a run holds five words or more that it had before
         return []
+    coded = np.fromiter(map(number.__getitem__, words), np.int32, len(words))
     return sorted((start + s, n, p) for start, stop in stretches(coded) for s, n, p in stretch_runs(coded[start:stop]))
 
 
