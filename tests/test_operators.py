@@ -221,21 +221,6 @@ def test_objective_and_choice(spark):
     assert (one_gold["connected_2"], one_gold["edges_2"]) == (0.0, 1)
 
 
-def test_fitted_network_ranks_gold_first(spark):
-    rng = random.Random(5)
-    tasks = [f"t{k}" for k in range(30)]
-    signals = spark.createDataFrame([(t, f"m{k}", float(k == 2) * 3 + rng.random(), k / 5) for t in tasks for k in range(6)], "task_id string, item_id string, score double, percentile double")
-    features = rgcn.node_features(signals.select("task_id", "item_id"), signals)
-    edges = spark.createDataFrame([(t, "q", "m2", "query_overlap", 1.0, True) for t in tasks], "task_id string, source string, target string, edge_type string, weight double, directed boolean")
-    gold = spark.createDataFrame([(t, "m2", 0) for t in tasks], "task_id string, item_id string, ord int")
-    messages = rgcn.message_edges(edges)
-    model = rgcn.fitted(features, messages, gold.where("task_id < 't2'"), most_tasks=8, epochs=40)
-    first = ranking.ranked(rgcn.rgcn_scores(features, messages, model)).where("rank = 1")
-    assert {r["item_id"] for r in first.collect()} == {"m2"}
-    untouched = rgcn.fitted(features, messages, gold.limit(0))
-    assert (untouched.weights["score1"] == rgcn.RgcnModel().weights["score1"]).all()
-
-
 def test_hashed_vectors(spark):
     v = one(spark, T.hashed_vector("t", 8), t="paris paris lyon")
     assert len(v) == 8 and sum(x * x for x in v) == pytest.approx(1.0)
@@ -266,22 +251,10 @@ def test_records(spark, tmp_path):
     assert validate.leaked_fields(items.schema) == []
 
 
-def test_rgcn(spark, tmp_path):
-    import numpy as np
-
-    model = rgcn.RgcnModel()
-    x = np.array([[0.0, 1.0, 1.0], [0.9, 0.0, 0.0], [0.1, 1.0, 0.0]])
-    args = (x, np.array([0, 1]), np.array([1, 2]), np.array([2, 0]), np.array([1.0, 1.0]), 0)
-    before = model.logits(*args)
-    losses = model.fit_scorer([args], [np.array([-1, 1, 0])], epochs=60)
-    assert losses[-1] < losses[0] and before.shape == (3,)
-    model.save(str(tmp_path / "m.npz"))
-    assert np.allclose(rgcn.RgcnModel.load(str(tmp_path / "m.npz")).logits(*args), model.logits(*args))
+def test_message_edges(spark):
     edges = edges_of(spark, [("m0", "m1", "sequential", 1, False), ("q", "m0", "query_overlap", 2, True)])
     rows = {(r["source"], r["target"], r["relation"]): r["norm"] for r in rgcn.message_edges(edges).collect()}
     assert rows == {("m0", "m1", "sequential_forward"): 1.0, ("m1", "m0", "sequential_reverse"): 1.0, ("q", "m0", "query_overlap_forward"): 1.0}
-    feats = spark.createDataFrame([("t", n, 0.5, 0.0, float(n == "q")) for n in ("q", "m0", "m1")], "task_id string, node_id string, seed_score double, percentile double, is_question double")
-    assert rgcn.rgcn_scores(feats, rgcn.message_edges(edges), model).count() == 2
 
 
 def test_workflow(tmp_path):
