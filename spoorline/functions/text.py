@@ -12,6 +12,7 @@ STOP_WORDS = (
     "a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "has", "in", "is", "it", "its", "of", "on", "or", "that", "the", "this",
     "through", "to", "was", "were", "what", "which", "who", "whom", "with",
 )
+# Classes are spelled out because \\b and \\w mean ASCII in some engines and Unicode in others: a phrase begins where no letter, digit or underscore stands before.
 ENTITY_PHRASE = r"(?:^|[^\p{L}\p{N}_])([A-Z][A-Za-z0-9'_-]*(?:\s+[A-Z][A-Za-z0-9'_-]*)*)"
 ALIAS_WEIGHT = 1.5
 ENTITY_WEIGHT = 2.0

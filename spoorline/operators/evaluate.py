@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .graph import QUERY_NODE, both_ways
@@ -112,10 +113,11 @@ def path_metrics(rankings: DataFrame, gold_edges: DataFrame, edges: DataFrame, k
     return recall.join(rows.select("task_id", ok.cast("double").alias(f"path_recall_{k}")), "task_id")
 
 
-def summary(metrics: DataFrame, keys: tuple[str, ...] = ("method",)) -> DataFrame:
-    """Means over tasks; a mean over nothing is 0."""
+def summary(metrics: DataFrame, keys: tuple[str, ...] = ("method",), optional: tuple[str, ...] = ()) -> DataFrame:
+    """Means over tasks; a mean over nothing is 0, and null for ``optional`` ones."""
     names = [c for c in metrics.columns if c not in (*keys, "task_id", "n_gold")]
-    return metrics.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_tasks"), *[_digits(F.coalesce(F.avg(c), F.lit(0.0))).alias(c) for c in names])
+    mean = lambda c: F.avg(c) if c in optional else F.coalesce(F.avg(c), F.lit(0.0))
+    return metrics.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_tasks"), *[_digits(mean(c)).alias(c) for c in names])
 
 
 def failure_cases(rankings: DataFrame, gold: DataFrame, k: int, limit: int | None = None) -> DataFrame:
@@ -131,10 +133,13 @@ def ir_metrics(rankings: DataFrame, relevant: DataFrame, ndcg_k: int = 10, map_k
 
     rankings(query_id, item_id, rank) and relevant(query_id, item_id).
     """
-    from pyspark.sql import Window as W
-
     total = relevant.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
-    hits = rankings.join(relevant, ["query_id", "item_id"], "left_semi").where(F.col("rank") <= max(map_k, ndcg_k, *cuts))
+    return ir_summary(total, rankings.join(relevant, ["query_id", "item_id"], "left_semi"), ndcg_k, map_k, cuts)
+
+
+def ir_summary(total: DataFrame, hits: DataFrame, ndcg_k: int = 10, map_k: int = 100, cuts: tuple[int, ...] = (1, 3, 5, 10)) -> DataFrame:
+    """The same from total(query_id, n), how many are relevant, and hits(query_id, item_id, rank), the ranked ones among them."""
+    hits = hits.where(F.col("rank") <= max(map_k, ndcg_k, *cuts))
     hits = hits.withColumn("nth", F.row_number().over(W.partitionBy("query_id").orderBy("rank")))
     gain = F.lit(1.0) / F.log2(F.col("rank") + 1.0)
     per = hits.groupBy("query_id").agg(

@@ -14,6 +14,7 @@ from ..functions.text import let
 from .graph import QUERY_NODE
 
 
+# Fixed names and default values of the settings.
 @dataclass(frozen=True)
 class RerankConfig:
     lambda_init: float = 1.0
@@ -98,10 +99,9 @@ def components(scores: DataFrame, edges: DataFrame, config: RerankConfig) -> Dat
 
 
 def combined(parts: DataFrame, config: RerankConfig):
-    """The weighted sum as a column."""
-    return F.round(
-        config.lambda_init * F.col("init") + config.lambda_query * F.col("query") + config.lambda_neighbor * F.col("neighbor") + config.lambda_bridge * F.col("bridge"), 6
-    )
+    """The weighted sum as a column, in millionths by its binary value: a decimal reading of the double would round other ties than other engines do."""
+    total = config.lambda_init * F.col("init") + config.lambda_query * F.col("query") + config.lambda_neighbor * F.col("neighbor") + config.lambda_bridge * F.col("bridge")
+    return F.floor(total * 1e6 + 0.5) / 1e6
 
 
 def rerank(scores: DataFrame, edges: DataFrame, config: RerankConfig = RerankConfig()) -> DataFrame:

@@ -261,6 +261,16 @@ SQL = {
     "seed_signals": doc(BM25) + "SELECT task_id, item_id, score, rank, round(CASE WHEN count(*) OVER (PARTITION BY task_id) = 1 THEN 0.0 ELSE (rank - 1) / (count(*) OVER (PARTITION BY task_id) - 1) END, 6) AS percentile FROM ranked",
     "failure_cases": doc(BM25) + "SELECT task_id, array_to_string(list_sort(list(item_id)), ',') AS missing, any_value(n) AS n_gold FROM gold JOIN (SELECT task_id, count(*) AS n FROM gold GROUP BY ALL) USING (task_id) JOIN ranked USING (task_id, item_id) WHERE rank > 5 GROUP BY task_id",
     "dense_ranking": f"WITH {VECTORS} SELECT * FROM vranked WHERE rank <= 10",
+    "dense_ir_metrics": f"WITH {VECTORS}," + """
+labelled AS (SELECT vec_id, label FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL),
+relevant AS (SELECT a.vec_id AS query_id, b.vec_id AS item_id FROM labelled a JOIN labelled b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0),
+rtotal AS (SELECT query_id, count(*) AS n FROM relevant GROUP BY ALL),
+rhits AS (SELECT query_id, rank, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS nth FROM vranked SEMI JOIN relevant USING (query_id, item_id) WHERE rank <= 100),
+per AS (SELECT t.query_id, n, min(rank) AS first, coalesce(sum(nth / rank), 0.0) / least(n, 100) AS ap, coalesce(sum(CASE WHEN rank <= 10 THEN 1.0 / log2(rank + 1.0) END), 0.0) AS dcg,
+               count(CASE WHEN rank <= 1 THEN 1 END) AS h1, count(CASE WHEN rank <= 3 THEN 1 END) AS h3, count(CASE WHEN rank <= 5 THEN 1 END) AS h5, count(CASE WHEN rank <= 10 THEN 1 END) AS h10
+        FROM rtotal t LEFT JOIN rhits USING (query_id) GROUP BY t.query_id, n)
+SELECT count(*) AS n_queries, """ + ", ".join(f"round(avg(CAST(h{c} > 0 AS DOUBLE)), 6) AS accuracy_{c}, round(avg(h{c} / {c}), 6) AS precision_{c}, round(avg(h{c} / n), 6) AS recall_{c}" for c in (1, 3, 5, 10)) + """,
+  round(avg(coalesce(CASE WHEN first <= 10 THEN 1.0 / first END, 0.0)), 6) AS mrr_10, round(avg(dcg / list_sum(list_transform(range(1, least(n, 10) + 1), lambda i: 1.0 / log2(i + 1.0)))), 6) AS ndcg_10, round(avg(ap), 6) AS map_100 FROM per""",
     "sequential_edges": doc(SEQUENTIAL) + "SELECT * FROM sequential",
     "query_overlap_edges": doc(OVERLAP, QUERY_OVERLAP) + "SELECT * FROM query_overlap",
     "entity_pairs": conv(PAIRS) + "SELECT * FROM shared",
@@ -306,6 +316,10 @@ qreach AS (SELECT task_id, 'q' AS node FROM tasks UNION SELECT r.task_id, u.targ
     "importance_order_violations": "SELECT CAST(0 AS BIGINT) AS n",
     "duplicate_vectors": conv(CONV_RAW, CLEANED) + "SELECT vector, count(*) AS n_tasks FROM (SELECT task_id, string_agg(CAST(score AS VARCHAR), ',' ORDER BY CAST(substr(item_id, 2) AS INTEGER)) AS vector FROM cleaned GROUP BY task_id) GROUP BY vector HAVING count(*) > 1",
     "training_pairs": doc(BM25, SEQUENTIAL, PAIRS, BRIDGE, TRAIN_PAIRS) + "SELECT task_id, item_id, label, sample_type FROM pairs",
+    "dense_training_pairs": doc(BM25, DENSE.replace("scores AS", "dscores AS").replace("FROM scores", "FROM dscores").replace("ranked AS", "dranked AS"), WANTED, """
+hard AS (SELECT task_id, item_id FROM (SELECT k.task_id, k.item_id, row_number() OVER (PARTITION BY k.task_id ORDER BY rank) AS r FROM ranked k ANTI JOIN gold g ON k.task_id = g.task_id AND k.item_id = g.item_id) JOIN counts USING (task_id) WHERE r <= least(20, n)),
+dhard AS (SELECT task_id, item_id FROM (SELECT k.task_id, k.item_id, row_number() OVER (PARTITION BY k.task_id ORDER BY rank) AS r FROM dranked k ANTI JOIN gold g ON k.task_id = g.task_id AND k.item_id = g.item_id) JOIN counts USING (task_id) WHERE r <= least(20, 2 * n))
+""") + "SELECT task_id, item_id, CAST(1 AS INTEGER) AS label, 'positive' AS sample_type FROM gold UNION ALL SELECT task_id, item_id, 0, 'hard_bm25' FROM hard UNION ALL SELECT task_id, item_id, 0, 'hard_dense' FROM dhard",
     "pair_summary": doc(BM25, SEQUENTIAL, PAIRS, BRIDGE, TRAIN_PAIRS) + """SELECT *, round(positives / n_tasks, 6) AS positives_per_task, round(negatives / n_tasks, 6) AS negatives_per_task FROM (
  SELECT count(CASE WHEN label = 1 THEN 1 END) AS positives, count(CASE WHEN label = 0 THEN 1 END) AS negatives, count(CASE WHEN sample_type = 'easy_random' THEN 1 END) AS n_easy_random, count(CASE WHEN sample_type = 'hard_bm25' THEN 1 END) AS n_hard_bm25,
  count(CASE WHEN sample_type = 'hard_dense' THEN 1 END) AS n_hard_dense, count(CASE WHEN sample_type = 'hard_graph_neighbor' THEN 1 END) AS n_hard_graph_neighbor, (SELECT count(*) FROM tasks) AS n_tasks FROM pairs)""",

@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import evaluate, graph, lexical, memory, pairs, ranking, rerank, rgcn, tuning, validate
+from ..operators import evaluate, graph, lexical, memory, pairs, ranking, rerank, rgcn, tuning, validate, vector_search
 from ..sources.splits import hashed_split
+from . import learned
 from .oracles import SQL
 from .tasks import conversation_tasks, document_tasks
 
@@ -83,17 +83,9 @@ def failure_cases(spark, sf_dir):
 
 def _vector_rankings(spark, sf_dir, k=10):
     """Every vector whose id is divisible by 20 asks all others."""
-    vecs = _table(spark, sf_dir, "embeddings").where("vec_id is not null and embedding is not null")
-    asks = vecs.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q_vec"))
-    both = vecs.join(F.broadcast(asks), F.col("vec_id") != F.col("query_id")) if _fits(asks) else vecs.join(asks, F.col("vec_id") != F.col("query_id"))
-    scored = both.select("query_id", F.col("vec_id").alias("item_id"), F.round(ranking.inner_product(F.col("embedding"), F.col("q_vec")), 6).alias("score"))
-    w = W.partitionBy("query_id").orderBy(F.desc("score"), F.asc("item_id"))
-    return scored.withColumn("rank", F.row_number().over(w).cast("int")).where(F.col("rank") <= k)
-
-
-def _fits(df: DataFrame, most_rows: int = 50_000) -> bool:
-    """Whether a side has few enough rows to be sent to every task."""
-    return df.count() <= most_rows
+    vecs = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vec"))
+    asks = vecs.where("item_id % 20 = 0").select(F.col("item_id").alias("query_id"), F.col("vec").alias("q_vec"))
+    return vector_search.nearest(asks, vecs, k)
 
 
 def dense_ranking(spark, sf_dir):
@@ -101,10 +93,13 @@ def dense_ranking(spark, sf_dir):
 
 
 def dense_ir_metrics(spark, sf_dir):
-    vecs = _table(spark, sf_dir, "embeddings").select("vec_id", "label")
-    asks = vecs.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "label")
-    relevant = asks.join(vecs, "label").where("vec_id <> query_id").select("query_id", F.col("vec_id").alias("item_id"))
-    return evaluate.ir_metrics(_vector_rankings(spark, sf_dir, 100).select("query_id", "item_id", "rank"), relevant)
+    """Vectors of a query's own label are relevant: they are counted by label, and labels are compared on ranked rows only."""
+    labels = _table(spark, sf_dir, "embeddings").where("vec_id is not null and label is not null").select("vec_id", "label")
+    asks = labels.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "label")
+    total = asks.join(labels.groupBy("label").agg((F.count(F.lit(1)) - 1).alias("n")), "label").where("n > 0").select("query_id", "n")
+    ranked = _vector_rankings(spark, sf_dir, 100).join(asks, "query_id")
+    hits = ranked.join(labels.select(F.col("vec_id").alias("item_id"), F.col("label").alias("found")), "item_id").where("label = found").select("query_id", "item_id", "rank")
+    return evaluate.ir_summary(total, hits)
 
 
 def sequential_edges(spark, sf_dir):
@@ -292,6 +287,13 @@ def training_pairs(spark, sf_dir):
     return _pairs(spark, sf_dir)[1].select("task_id", "item_id", "label", "sample_type")
 
 
+def dense_training_pairs(spark, sf_dir):
+    """Positives with hard negatives by dense ranking and by BM25."""
+    own = document_tasks(spark, sf_dir)
+    negatives = {"hard_bm25": pairs.hard_by_rank(lexical.bm25_scores(own.items, own.tasks), own.gold, 1), "hard_dense": pairs.hard_by_rank(_dense_scores(own), own.gold, 2)}
+    return pairs.training_pairs(own.gold, negatives).select("task_id", "item_id", "label", "sample_type")
+
+
 def pair_summary(spark, sf_dir):
     own, rows = _pairs(spark, sf_dir)
     return pairs.pair_summary(rows, own.tasks)
@@ -311,29 +313,6 @@ def node_features(spark, sf_dir):
     return rgcn.node_features(own.items, ranking.seed_signals(scores))
 
 
-def _trains(task):
-    """Four of five tasks, by hash."""
-    return F.crc32(task.cast("binary")) % 5 != 0
-
-
-def _rgcn_ranked(own, scores, edges):
-    features, messages = rgcn.node_features(own.items, ranking.seed_signals(scores)), rgcn.message_edges(edges)
-    model = rgcn.fitted(features, messages, own.gold.where(_trains(F.col("task_id"))))
-    return ranking.ranked(rgcn.rgcn_scores(features, messages, model))
-
-
-def rgcn_ranking(spark, sf_dir):
-    return _rgcn_ranked(*_conversation_seeds(spark, sf_dir))
-
-
-def rgcn_metrics(spark, sf_dir):
-    """Document tasks that the network was not fitted on, against the seeds it started from."""
-    own, scores, edges = _document_seeds(spark, sf_dir)
-    methods = {"bm25": ranking.ranked(scores), "bm25_rgcn": _rgcn_ranked(own, scores, edges)}
-    rows = [r.select("task_id", "item_id", "rank").where(~_trains(F.col("task_id"))).withColumn("method", F.lit(name)) for name, r in methods.items()]
-    return evaluate.summary(evaluate.task_metrics(rows[0].unionByName(rows[1]), own.gold, ("method", "task_id"), rounded=False))
-
-
 def content_digests(spark, sf_dir):
     items = conversation_tasks(spark, sf_dir).items
     entry = F.struct(F.col("item_id").alias("id"), "position", F.col("source_ref").alias("source"), "text")
@@ -411,9 +390,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         dense_ranking, dense_ir_metrics, sequential_edges, query_overlap_edges, entity_pairs, entity_overlap_edges, entity_overlap_capped, bridge_edges, graph_edges, document_graph_edges, full_graph, graph_statistics,
         candidate_expansion, graph_rerank, document_graph_rerank, graph_rerank_full, retrieved_subgraph, connectivity, connected_evidence, path_metrics, dense_task_ranking, dense_graph_rerank, memory_stream, memory_grid, rerank_grid, tuned_rerank,
         cleaned_importance, importance_distribution, importance_shards, importance_order_violations, duplicate_vectors, training_pairs, pair_summary, contrastive_triples,
-        message_edges, node_features, rgcn_ranking, rgcn_metrics, content_digests, split_assignment, violations, planted_violations, method_table, event_windows,
+        message_edges, node_features, dense_training_pairs, content_digests, split_assignment, violations, planted_violations, method_table, event_windows,
     )
-    return {f.__name__: f for f in found}
+    return {f.__name__: f for f in found} | learned.queries()
 
 
 def oracle_sql() -> dict[str, str]:
