@@ -69,9 +69,9 @@ def support_score(title: Column, text: Column, subject: Column, relation: Column
     title, text, subject, relation, obj = map(folded, (title, text, subject, relation, obj))
     hit = lambda inner, outer, key: F.when((inner != "") & F.contains(outer, inner), SUPPORT_WEIGHTS[key]).otherwise(0)
     return (
-        F.when((subject != "") & (title == subject), SUPPORT_WEIGHTS["title_subject"]).otherwise(0)
+        hit(subject, title, "title_subject")
         + hit(subject, text, "text_subject")
-        + F.when((obj != "") & (title == obj), SUPPORT_WEIGHTS["title_object"]).otherwise(0)
+        + hit(obj, title, "title_object")
         + hit(obj, text, "text_object")
         + hit(relation, text, "text_relation")
     )

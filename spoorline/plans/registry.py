@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import evaluate, graph, lexical, memory, pairs, ranking, rerank, rgcn, tuning, validate, vector_search
 from ..sources.splits import hashed_split
-from . import learned
-from .oracles import SQL
+from . import corpora, learned
+from .oracles import SQL, conv
 from .tasks import conversation_tasks, document_tasks
 
 FLAGSHIP = "bm25_metrics"
@@ -392,8 +392,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         cleaned_importance, importance_distribution, importance_shards, importance_order_violations, duplicate_vectors, training_pairs, pair_summary, contrastive_triples,
         message_edges, node_features, dense_training_pairs, content_digests, split_assignment, violations, planted_violations, method_table, event_windows,
     )
-    return {f.__name__: f for f in found} | learned.queries()
+    return {f.__name__: f for f in found} | learned.queries() | corpora.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    return SQL | corpora.oracle_sql(conv)

@@ -79,16 +79,26 @@ def unmapped(records: DataFrame, items: DataFrame) -> DataFrame:
     return facts.join(items, ["task_id", "title", "sequence_index"], "left_anti")
 
 
+def _triples(records: DataFrame) -> DataFrame:
+    """(task_id, no, subject, relation, object) of good records."""
+    triples = records.where("error is null").select("task_id", F.posexplode(F.coalesce("evidences", F.array())).alias("no", "e"))
+    return triples.select("task_id", "no", F.get("e", 0).alias("subject"), F.get("e", 1).alias("relation"), F.get("e", 2).alias("object"))
+
+
+def _supports(records: DataFrame, items: DataFrame, gold: DataFrame) -> DataFrame:
+    """Triples with each gold sentence that supports them, and how well."""
+    support = gold.join(items, ["task_id", "item_id"]).select("task_id", "item_id", "ord", "title", "text")
+    score = support_score(F.col("title"), F.col("text"), F.col("subject"), F.col("relation"), F.col("object"))
+    return _triples(records).join(support, "task_id").withColumn("score", score).where("score > 0")
+
+
 def dependency_edges(records: DataFrame, items: DataFrame, gold: DataFrame) -> DataFrame:
     """(task_id, source, target): supports of consecutive triples where one's object is the next one's subject.
 
     A triple's support is its best scoring gold sentence, the earliest of equals.
     """
-    triples = records.where("error is null").select("task_id", F.posexplode(F.coalesce("evidences", F.array())).alias("no", "e"))
-    triples = triples.select("task_id", "no", F.get("e", 0).alias("subject"), F.get("e", 1).alias("relation"), F.get("e", 2).alias("object"))
-    support = gold.join(items, ["task_id", "item_id"]).select("task_id", "item_id", "ord", "title", "text")
-    score = support_score(F.col("title"), F.col("text"), F.col("subject"), F.col("relation"), F.col("object"))
-    best = triples.join(support, "task_id").withColumn("score", score).where("score > 0")
+    triples = _triples(records)
+    best = _supports(records, items, gold)
     w = W.partitionBy("task_id", "no").orderBy(F.desc("score"), "ord")
     best = best.withColumn("r", F.row_number().over(w)).where("r = 1").select("task_id", "no", "item_id")
     chain = triples.join(best, ["task_id", "no"], "left")
@@ -99,5 +109,13 @@ def dependency_edges(records: DataFrame, items: DataFrame, gold: DataFrame) -> D
     return pairs.where("linked and source is not null and target is not null and source <> target").groupBy("task_id", "source", "target").agg(F.min("no").alias("no")).select("task_id", "source", "target")
 
 
+def mapping_ambiguity(records: DataFrame, items: DataFrame, gold: DataFrame) -> DataFrame:
+    """(task_id, ambiguity): over a task's triples, how many gold sentences support one as well as the chosen one does."""
+    scored = _supports(records, items, gold)
+    best = F.max("score").over(W.partitionBy("task_id", "no"))
+    ties = scored.withColumn("best", best).where("score = best").groupBy("task_id", "no").agg((F.count(F.lit(1)) - 1).alias("more"))
+    return ties.groupBy("task_id").agg(F.sum("more").alias("ambiguity"))
+
+
 def invalid_reasons(records: DataFrame) -> DataFrame:
     return records.where("error is not null").groupBy("error").agg(F.count(F.lit(1)).alias("n"))
