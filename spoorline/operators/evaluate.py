@@ -21,12 +21,10 @@ def task_metrics(rankings: DataFrame, gold: DataFrame, keys: tuple[str, ...] = (
     Precision divides by k, whatever was returned. Gold items that aren't
     ranked count as missed; tasks without gold have no row.
     """
-    total = gold.groupBy("task_id").agg(F.count(F.lit(1)).alias("n_gold"))
-    hits = rankings.join(gold.select("task_id", "item_id"), ["task_id", "item_id"], "left_semi").groupBy(*keys)
-    counts = [F.count(F.when(F.col("rank") <= k, 1)).alias(f"h{k}") for k in ks]
-    found = hits.agg(F.min("rank").alias("first"), *counts)
-    every = rankings.select(*keys).distinct().join(total, "task_id")
-    rows = every.join(found, list(keys), "left")
+    golds = gold.groupBy("task_id").agg(F.collect_set("item_id").alias("gold"), F.count(F.lit(1)).alias("n_gold"))
+    hit = F.array_contains(F.col("gold"), F.col("item_id"))
+    counts = [F.count(F.when(hit & (F.col("rank") <= k), 1)).alias(f"h{k}") for k in ks]
+    rows = rankings.join(golds, "task_id").groupBy(*keys).agg(F.first("n_gold").alias("n_gold"), F.min(F.when(hit, F.col("rank"))).alias("first"), *counts)
     n = F.col("n_gold")
     cut = _digits if rounded else (lambda x: x)
     cols = []

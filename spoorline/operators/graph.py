@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import heapq
+import itertools
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructType
 
 from ..functions import text as T
-from .lexical import lexical_overlap
+from .task_rows import overlap, task_rows, with_features
 
 EDGE_TYPES = ("sequential", "query_overlap", "entity_overlap", "bridge")
 QUERY_NODE = "q"
@@ -27,39 +33,152 @@ class GraphConfig:
             raise ValueError("edge limits must not be negative")
 
 
-def _edges(df: DataFrame, kind: str, directed: bool) -> DataFrame:
-    return df.select("task_id", "source", "target", F.lit(kind).alias("edge_type"), F.col("weight").cast("double").alias("weight"), F.lit(directed).alias("directed"))
+EDGE = "struct<source:string,target:string,edge_type:string,weight:double,directed:boolean>"
+EDGE_ARROW = pa.struct([("source", pa.string()), ("target", pa.string()), ("edge_type", pa.string()), ("weight", pa.float64()), ("directed", pa.bool_())])
 
 
-def sequential_edges(items: DataFrame) -> DataFrame:
+def _edge(source: Column, target: Column, kind: str, weight: Column, directed: bool) -> Column:
+    return F.struct(source.alias("source"), target.alias("target"), F.lit(kind).alias("edge_type"), weight.cast("double").alias("weight"), F.lit(directed).alias("directed"))
+
+
+def _sequential(items: Column) -> Column:
     """Neighbours in a group whose sequence numbers differ by exactly 1."""
-    w = W.partitionBy("task_id", F.coalesce("group_key", "source_ref")).orderBy(F.coalesce("sequence_index", F.lit(0)), "position")
-    placed = items.where(F.coalesce("group_key", "source_ref").isNotNull()).select(
-        "task_id", F.col("item_id").alias("source"), F.lead("item_id").over(w).alias("target"), (F.lead("sequence_index").over(w) - F.col("sequence_index")).alias("step")
-    )
-    return _edges(placed.where("step = 1").withColumn("weight", F.lit(1.0)), "sequential", False)
+    group = lambda i: F.coalesce(i["group_key"], i["source_ref"])
+    placed = F.transform(F.filter(items, lambda i: group(i).isNotNull()), lambda i: F.struct(group(i).alias("g"), F.coalesce(i["sequence_index"], F.lit(0)).alias("s"), i["position"].alias("p"), i["item_id"].alias("id"), i["sequence_index"].alias("at")))
 
+    def links(ordered: Column) -> Column:
+        near = F.zip_with(F.slice(ordered, 1, F.greatest(F.size(ordered) - 1, F.lit(0))), F.slice(ordered, 2, F.greatest(F.size(ordered) - 1, F.lit(0))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+        good = F.filter(near, lambda x: (x["a"]["g"] == x["b"]["g"]) & (x["b"]["at"] - x["a"]["at"] == 1))
+        return F.transform(good, lambda x: _edge(x["a"]["id"], x["b"]["id"], "sequential", F.lit(1.0), False))
 
-def query_overlap_edges(items: DataFrame, tasks: DataFrame, config: GraphConfig = GraphConfig()) -> DataFrame:
+    return T.let(F.array_sort(placed), links)
+
+
+def _query_overlap(items: Column, scores: Column, limit: int) -> Column:
     """From the question to its best lexical matches."""
-    w = W.partitionBy("task_id").orderBy(F.desc("score"), F.asc("item_id"))
-    best = lexical_overlap(items, tasks).where("score > 0").withColumn("r", F.row_number().over(w)).where(F.col("r") <= config.max_query_overlap)
-    return _edges(best.select("task_id", F.lit(QUERY_NODE).alias("source"), F.col("item_id").alias("target"), F.col("score").alias("weight")), "query_overlap", True)
+    best = F.filter(F.zip_with(items, F.coalesce(scores, F.array().cast("array<double>")), lambda i, s: F.struct((-s).alias("s"), i["item_id"].alias("id"))), lambda x: x["s"] < 0)
+    first = F.slice(F.array_sort(best), 1, limit) if limit else F.slice(best, 1, 0)
+    return F.transform(first, lambda x: _edge(F.lit(QUERY_NODE), x["id"], "query_overlap", -x["s"], True))
+
+
+def shared_pairs(entities: list[list[str]], groups: list[str | None] | None = None) -> Counter:
+    """How many entities two items share, by their places: over an index of entities, so that only pairs that share something are formed; with ``groups`` only pairs of different ones."""
+    bearers: dict[str, list[int]] = {}
+    for k, own in enumerate(entities):
+        for entity in own:
+            bearers.setdefault(entity, []).append(k)
+    out: Counter = Counter()
+    for places in bearers.values():
+        if len(places) > 1:
+            pairs = itertools.combinations(places, 2)
+            out.update(pairs if groups is None else ((a, b) for a, b in pairs if groups[a] != groups[b]))
+    return out
+
+
+def mentions(aliases: list[list[str]], texts: list[str], groups: list[str | None]) -> Counter:
+    """In how many ways two items of different groups mention each other's title: each alias is looked for once in each text."""
+    bearers: dict[str, list[int]] = {}
+    for k, own in enumerate(aliases):
+        for alias in own:
+            bearers.setdefault(alias, []).append(k)
+    out: Counter = Counter()
+    for alias, places in bearers.items():
+        for k, text in enumerate(texts):
+            if text is not None and alias in text:
+                for p in places:
+                    if p != k and groups[p] != groups[k]:
+                        out[(p, k) if p < k else (k, p)] += 1
+    return out
+
+
+def capped(pairs: Counter, ids: list[str], limit: int) -> list[tuple[int, int, int]]:
+    """Strongest pairs first, each node in ``limit`` of them at most; ends when no two nodes are open."""
+    degree = [0] * len(ids)
+    open_nodes, out = len(ids), []
+    for (a, b), weight in sorted(pairs.items(), key=lambda x: (-x[1], ids[x[0][0]], ids[x[0][1]])):
+        if open_nodes < 2:
+            break
+        if degree[a] < limit and degree[b] < limit:
+            out.append((a, b, weight))
+            for end in (a, b):
+                degree[end] += 1
+                open_nodes -= degree[end] == limit
+    return out
+
+
+def pair_edges(rows: DataFrame, config: GraphConfig, rules: tuple[str, ...]) -> DataFrame:
+    """Add pairs, the edges of the rules that compare candidates with each other, to rows of (task_id, ids, entities, aliases, low, groups, kept columns)."""
+    schema = StructType([f for f in rows.schema if f.name not in ("entities", "aliases", "low", "groups")]).add("pairs", DataType.fromDDL(f"array<{EDGE}>"))
+    passed = [f.name for f in schema][:-1]
+
+    def of_task(ids: list[str], entities: list[list[str]], aliases: list[list[str]], low: list[str], groups: list[str | None]) -> list[dict]:
+        out = []
+        if "entity_overlap" in rules and config.max_entity_degree:
+            out += [(a, b, "entity_overlap", w) for a, b, w in capped(shared_pairs(entities), ids, config.max_entity_degree)]
+        if "bridge" in rules:
+            total = mentions(aliases, low, groups)
+            total.update(shared_pairs(entities, groups))
+            best = heapq.nsmallest(config.max_bridge_edges, total.items(), key=lambda x: (-x[1], ids[x[0][0]], ids[x[0][1]]))
+            out += [(a, b, "bridge", w) for (a, b), w in best]
+        return [{"source": ids[a], "target": ids[b], "edge_type": kind, "weight": float(w), "directed": False} for a, b, kind, w in out]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cols = [batch.column(c).to_pylist() for c in ("ids", "entities", "aliases", "low", "groups")]
+            edges = pa.array([of_task(*row) for row in zip(*cols, strict=True)], pa.list_(EDGE_ARROW))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in passed], edges], names=schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
+def with_edges(rows: DataFrame, config: GraphConfig = GraphConfig(), rules: tuple[str, ...] = EDGE_TYPES) -> DataFrame:
+    """(task_id, asked, items, edges) from task rows: all rules within the row, edges in a fixed order.
+
+    Features are made once. Rules that compare candidates with each other work
+    in Arrow batches over indexes of entities and aliases.
+    """
+    rows = with_features(rows)
+    empty = F.array().cast(f"array<{EDGE}>")
+    sequential = _sequential(F.col("items")) if "sequential" in rules else empty
+    asked = _query_overlap(F.col("items"), overlap(F.col("own"), F.col("asked")), config.max_query_overlap) if "query_overlap" in rules else empty
+    cols = ["task_id", "asked", "items"]
+    if not {"entity_overlap", "bridge"} & set(rules):
+        return rows.select(*cols, F.array_sort(F.concat(sequential, asked)).alias("edges"))
+    part = lambda c, f: F.transform(c, f)
+    rows = rows.select(
+        *cols, F.concat(sequential, asked).alias("made"), part("items", lambda i: i["item_id"]).alias("ids"), part("own", lambda o: F.array_union(o["phrases"], o["aliases"])).alias("entities"),
+        part("own", lambda o: o["aliases"]).alias("aliases"), part("own", lambda o: o["low_text"]).alias("low"), part("own", lambda o: o["g"]).alias("groups"),
+    )
+    return pair_edges(rows, config, rules).select(*cols, F.array_sort(F.concat("made", "pairs")).alias("edges"))
 
 
-def item_entities(items: DataFrame) -> DataFrame:
-    """(task_id, item_id, position, g, entity) with the title's aliases among the entities; g is the item's group."""
-    own = F.array_union(T.entities(F.concat_ws(". ", "source_ref", "text")), T.title_aliases("source_ref"))
-    return items.select("task_id", "item_id", "position", F.coalesce("group_key", "source_ref").alias("g"), F.explode(own).alias("entity"))
+def flat_edges(rows: DataFrame) -> DataFrame:
+    """(task_id, source, target, edge_type, weight, directed) of rows with edges."""
+    return rows.select("task_id", F.inline("edges"))
+
+
+def _no_tasks(items: DataFrame) -> DataFrame:
+    return items.select("task_id", F.lit(None).cast("string").alias("question")).limit(0)
+
+
+def sequential_edges(items: DataFrame) -> DataFrame:
+    """Neighbours in a group whose sequence numbers differ by exactly 1."""
+    return build_graph(items, _no_tasks(items), rules=("sequential",))
+
+
+def query_overlap_edges(items: DataFrame, tasks: DataFrame, config: GraphConfig = GraphConfig()) -> DataFrame:
+    """From the question to its best lexical matches."""
+    return build_graph(items, tasks, config, ("query_overlap",))
 
 
 def entity_pairs(items: DataFrame, across_groups: bool = False) -> DataFrame:
-    """(task_id, source, target, weight): shared entities of two items, the earlier one first.
+    """(task_id, source, target, weight): shared entities of two items, the earlier one first; on request only of different groups.
 
-    An inverted index joined with itself on (task, entity): only pairs that
-    share something are formed, and on request only pairs of different groups.
+    An inverted index joined with itself on (task, entity), for tables of items
+    that are no rows of tasks yet.
     """
-    left = item_entities(items)
+    own = F.array_union(T.entities(F.concat_ws(". ", "source_ref", "text")), T.title_aliases("source_ref"))
+    left = items.select("task_id", "item_id", "position", F.coalesce("group_key", "source_ref").alias("g"), F.explode(own).alias("entity"))
     right = left.select("task_id", "entity", F.col("item_id").alias("target"), F.col("position").alias("p2"), F.col("g").alias("g2"))
     both = left.join(right, ["task_id", "entity"]).where("position < p2")
     if across_groups:
@@ -68,66 +187,26 @@ def entity_pairs(items: DataFrame, across_groups: bool = False) -> DataFrame:
 
 
 def entity_overlap_edges(items: DataFrame, config: GraphConfig = GraphConfig()) -> DataFrame:
-    """Strongest pairs first, each node in ``max_entity_degree`` edges at most (a greedy scan per task)."""
-    import pandas as pd
-
-    limit = config.max_entity_degree
+    """Strongest pairs first, each node in ``max_entity_degree`` edges at most."""
+    return build_graph(items, _no_tasks(items), config, ("entity_overlap",))
 
-    def scan(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["weight", "source", "target"], ascending=[False, True, True], kind="stable")
-        degree: dict[str, int] = {}
-        keep = []
-        for s, t in zip(pdf["source"], pdf["target"], strict=True):
-            ok = degree.get(s, 0) < limit and degree.get(t, 0) < limit
-            keep.append(ok)
-            if ok:
-                degree[s] = degree.get(s, 0) + 1
-                degree[t] = degree.get(t, 0) + 1
-        return pdf[keep]
 
-    kept = entity_pairs(items).groupBy("task_id").applyInPandas(scan, "task_id string, source string, target string, weight long")
-    return _edges(kept, "entity_overlap", False)
+def bridge_edges(items: DataFrame, config: GraphConfig = GraphConfig()) -> DataFrame:
+    """Across groups: shared entities and mentions of one's title in the other's text."""
+    return build_graph(items, _no_tasks(items), config, ("bridge",))
 
 
-def alias_mentions(items: DataFrame) -> DataFrame:
-    """(task_id, source, target, weight): in how many ways two items of different groups mention each other's title.
+def build_graph(items: DataFrame, tasks: DataFrame, config: GraphConfig = GraphConfig(), rules: tuple[str, ...] = EDGE_TYPES, given: DataFrame | None = None) -> DataFrame:
+    """(task_id, source, target, edge_type, weight, directed) of all rules.
 
-    A task's distinct aliases are looked for in its texts, and only hits meet
-    the items that bear the alias: pairs that mention nothing are never formed.
+    ``given`` edges come first; of equal ones only the first is kept. The
+    rules themselves never make an edge twice.
     """
-    group = F.coalesce("group_key", "source_ref")
-    bearers = items.select("task_id", "item_id", "position", group.alias("g"), F.explode(T.title_aliases("source_ref")).alias("alias"))
-    texts = items.select("task_id", F.col("item_id").alias("other"), F.col("position").alias("p2"), group.alias("g2"), F.lower("text").alias("low"))
-    hits = bearers.select("task_id", "alias").distinct().join(texts, "task_id").where(F.contains("low", "alias")).drop("low")
-    both = bearers.join(hits, ["task_id", "alias"]).where((F.col("position") != F.col("p2")) & ~F.col("g").eqNullSafe(F.col("g2")))
-    first = F.col("position") < F.col("p2")
-    ends = F.when(first, F.col("item_id")).otherwise(F.col("other")), F.when(first, F.col("other")).otherwise(F.col("item_id"))
-    return both.groupBy("task_id", ends[0].alias("source"), ends[1].alias("target")).agg(F.count(F.lit(1)).alias("weight"))
-
-
-def bridge_edges(items: DataFrame, config: GraphConfig = GraphConfig()) -> DataFrame:
-    """Across groups: shared entities and mentions of one's title in the other's text."""
-    total = alias_mentions(items).unionByName(entity_pairs(items, across_groups=True)).groupBy("task_id", "source", "target").agg(F.sum("weight").alias("weight"))
-    w = W.partitionBy("task_id").orderBy(F.desc("weight"), F.asc("source"), F.asc("target"))
-    best = total.withColumn("r", F.row_number().over(w)).where(F.col("r") <= config.max_bridge_edges)
-    return _edges(best, "bridge", False)
-
-
-RULES = {
-    "sequential": lambda items, tasks, config: sequential_edges(items),
-    "query_overlap": query_overlap_edges,
-    "entity_overlap": lambda items, tasks, config: entity_overlap_edges(items, config),
-    "bridge": lambda items, tasks, config: bridge_edges(items, config),
-}
-
-
-def build_graph(items: DataFrame, tasks: DataFrame, config: GraphConfig = GraphConfig(), rules: tuple[str, ...] = EDGE_TYPES) -> DataFrame:
-    """(task_id, source, target, edge_type, weight, directed) of all rules in order, without repeats."""
-    out = None
-    for k, name in enumerate(rules):
-        part = RULES[name](items, tasks, config).withColumn("rule", F.lit(k))
-        out = part if out is None else out.unionByName(part)
-    return deduplicated(out).drop("rule")
+    edges = flat_edges(with_edges(task_rows(items, tasks), config, rules))
+    if given is None:
+        return edges
+    both = given.select(edges.columns).withColumn("rule", F.lit(0)).unionByName(edges.withColumn("rule", F.lit(1)))
+    return deduplicated(both).drop("rule")
 
 
 def deduplicated(edges: DataFrame) -> DataFrame:

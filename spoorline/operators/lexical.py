@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .task_rows import overlap, task_rows, with_features
 
 
 @dataclass(frozen=True)
@@ -32,39 +33,14 @@ def document_frequency(items: DataFrame, tasks: DataFrame) -> DataFrame:
 
 
 def lexical_overlap(items: DataFrame, tasks: DataFrame) -> DataFrame:
-    """(task_id, item_id, score): shared tokens by idf, aliases in both texts, shared entities."""
-    own = F.concat_ws(". ", "source_ref", "text")
-    asked = tasks.select(
-        "task_id", F.array_distinct(T.content_tokens("question")).alias("q_tokens"), F.lower("question").alias("q_lower"), T.entities("question").alias("q_entities")
-    )
-    feats = items.join(asked, "task_id").select(
-        "task_id",
-        "item_id",
-        F.array_intersect(F.array_distinct(T.content_tokens(own)), "q_tokens").alias("shared"),
-        F.size(F.filter(T.title_aliases("source_ref"), lambda a: F.contains(F.col("q_lower"), a) & F.contains(F.lower(own), a))).alias("aliases"),
-        F.size(F.array_intersect(F.array_union(T.entities(own), T.title_aliases("source_ref")), "q_entities")).alias("common"),
-    )
-    # Only the question's tokens are looked up, so the idf table is small before it is joined.
-    idf = document_frequency(items, tasks).join(asked.select("task_id", F.explode("q_tokens").alias("token")), ["task_id", "token"])
-    parts = feats.select("task_id", "item_id", F.explode("shared").alias("token")).join(idf, ["task_id", "token"])
-    token_score = parts.groupBy("task_id", "item_id").agg(F.sum("idf").alias("s"))
-    score = F.coalesce("s", F.lit(0.0)) + T.ALIAS_WEIGHT * F.col("aliases") + T.ENTITY_WEIGHT * F.col("common")
-    return feats.join(token_score, ["task_id", "item_id"], "left").select("task_id", "item_id", F.round(score, 6).alias("score"))
-
+    """(task_id, item_id, score): shared tokens by idf, aliases in both texts, shared entities; tasks without a question have no rows."""
+    return overlap_scores(task_rows(items, tasks))
 
-def by_task(items: DataFrame, tasks: DataFrame, own: Column, asked: Column) -> DataFrame:
-    """(task_id, items, asked): a task's candidates as structs and its question's features in one row.
 
-    The one exchange that per-task operators need; what follows stays within
-    the row, and keys that begin with task_id find their rows in place. A task
-    is one question with its candidates, so a row is as large as one of those.
-    """
-    left = items.select("task_id", own.alias("item"))
-    right = tasks.select("task_id", asked.alias("asked"))
-    left = left.withColumn("asked", F.lit(None).cast(right.schema["asked"].dataType))
-    right = right.withColumn("item", F.lit(None).cast(left.schema["item"].dataType))
-    rows = left.unionByName(right).groupBy("task_id").agg(F.collect_list("item").alias("items"), F.first("asked", ignorenulls=True).alias("asked"))
-    return rows.where(F.size("items") > 0)
+def overlap_scores(rows: DataFrame) -> DataFrame:
+    """The same from task rows."""
+    rows = with_features(rows.where("asked is not null")).select("task_id", "items", overlap(F.col("own"), F.col("asked")).alias("scores"))
+    return rows.select("task_id", F.inline(F.zip_with("items", "scores", lambda i, s: F.struct(i["item_id"].alias("item_id"), s.alias("score")))))
 
 
 def bm25_scores(items: DataFrame, tasks: DataFrame, config: Bm25Config = Bm25Config()) -> DataFrame:
@@ -74,12 +50,16 @@ def bm25_scores(items: DataFrame, tasks: DataFrame, config: Bm25Config = Bm25Con
     in the candidates. The mean idf of all tokens is needed, and made, only
     where a question token stands in more than half of the candidates.
     """
+    return bm25_within(task_rows(items, tasks), config).select("task_id", F.inline("scored"))
+
+
+def bm25_within(rows: DataFrame, config: Bm25Config = Bm25Config()) -> DataFrame:
+    """Task rows with scored, an array of (item_id, score) in the order of the candidates, in the place of asked and items; other columns stay."""
     k1, b = config.k1, config.b
-    own = F.struct("item_id", F.concat(F.coalesce("title", F.lit("")), F.lit(". "), F.col("text")).alias("text"))
-    rows = by_task(items, tasks, own, F.col("question"))
+    kept = [c for c in rows.columns if c not in ("asked", "items")]
     # Texts are cut behind the exchange, where the work is spread by task.
-    cut = F.transform("items", lambda i: F.struct(i["item_id"].alias("item_id"), T.content_tokens(i["text"]).alias("tokens")))
-    rows = rows.select("task_id", cut.alias("items"), T.content_tokens("asked").alias("asked"))
+    cut = F.transform("items", lambda i: F.struct(i["item_id"].alias("item_id"), T.content_tokens(F.concat(F.coalesce(i["title"], F.lit("")), F.lit(". "), i["text"])).alias("tokens")))
+    rows = rows.select(*kept, cut.alias("items"), T.content_tokens("asked").alias("asked"))
     n = F.size("items")
     occurs = lambda x, tokens: F.size(F.filter(tokens, lambda t: t == x))
     terms = F.transform(
@@ -88,11 +68,11 @@ def bm25_scores(items: DataFrame, tasks: DataFrame, config: Bm25Config = Bm25Con
     )
     raw = lambda df: F.log(F.col("n") - df + 0.5) - F.log(df + 0.5)
     length = F.aggregate("items", F.lit(0).cast("long"), lambda s, i: s + F.size(i["tokens"]))
-    rows = rows.select("task_id", "items", n.alias("n"), (length / n).alias("avgdl"), F.filter(terms, lambda t: t["df"] > 0).alias("terms"))
+    rows = rows.select(*kept, "items", n.alias("n"), (length / n).alias("avgdl"), F.filter(terms, lambda t: t["df"] > 0).alias("terms"))
     floor = F.when(F.exists("terms", lambda t: raw(t["df"]) < 0), config.epsilon * _mean(F.transform(_frequencies(F.col("items")), raw)))
-    rows = rows.select("task_id", "items", "avgdl", F.col("terms"), "n", floor.alias("floor"))
+    rows = rows.select(*kept, "items", "avgdl", F.col("terms"), "n", floor.alias("floor"))
     weighed = F.transform("terms", lambda t: F.struct(t["q"].alias("q"), (t["qf"] * F.when(raw(t["df"]) < 0, F.col("floor")).otherwise(raw(t["df"]))).alias("w")))
-    rows = rows.select("task_id", "items", "avgdl", weighed.alias("terms"))
+    rows = rows.select(*kept, "items", "avgdl", weighed.alias("terms"))
 
     def score(item: Column) -> Column:
         norm = k1 * (1 - b + b * F.size(item["tokens"]) / F.col("avgdl"))
@@ -101,7 +81,7 @@ def bm25_scores(items: DataFrame, tasks: DataFrame, config: Bm25Config = Bm25Con
         return F.aggregate(counts, F.lit(0.0), lambda s, t: s + part(t, t["tf"]))
 
     scored = F.transform("items", lambda i: F.struct(i["item_id"].alias("item_id"), F.round(score(i), 6).alias("score")))
-    return rows.select("task_id", F.inline(scored))
+    return rows.select(*kept, scored.alias("scored"))
 
 
 def _frequencies(items: Column) -> Column:

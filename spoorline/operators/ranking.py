@@ -15,6 +15,13 @@ def ranked(scores: DataFrame, keys: tuple[str, ...] = ("task_id",)) -> DataFrame
     return scores.withColumn("rank", F.row_number().over(w).cast("int"))
 
 
+def ranked_within(rows: DataFrame, column: str = "scored") -> DataFrame:
+    """(task_id, item_id, score, rank) of rows of (task_id, array of (item_id, score)): the same order without an exchange."""
+    order = F.array_sort(F.transform(column, lambda i: F.struct((-i["score"]).alias("s"), i["item_id"].alias("i"))))
+    placed = rows.select("task_id", F.posexplode(order).alias("at", "x"))
+    return placed.select("task_id", F.col("x.i").alias("item_id"), (-F.col("x.s")).alias("score"), (F.col("at") + 1).alias("rank"))
+
+
 def top_k(scores: DataFrame, k: int, keys: tuple[str, ...] = ("task_id",)) -> DataFrame:
     return ranked(scores, keys).where(F.col("rank") <= k)
 

@@ -46,7 +46,12 @@ def gathered(scores: DataFrame, edges: DataFrame) -> DataFrame:
     """
     items = scores.groupBy("task_id").agg(F.collect_list(F.struct("item_id", F.col("score").cast("double").alias("score"))).alias("items"))
     drawn = edges.groupBy("task_id").agg(F.sort_array(F.collect_list(F.struct("source", "target", "edge_type", "weight", "directed"))).alias("edges"))
-    rows = items.join(drawn, "task_id", "left").select("task_id", F.transform("items", lambda i: i["item_id"]).alias("ids"), scaled(F.transform("items", lambda i: i["score"])).alias("norm"), "edges")
+    return linked(items.join(drawn, "task_id", "left").select("task_id", F.col("items").alias("scored"), "edges"))
+
+
+def linked(rows: DataFrame) -> DataFrame:
+    """The same from rows of (task_id, scored, edges), both in order."""
+    rows = rows.select("task_id", F.transform("scored", lambda i: i["item_id"]).alias("ids"), scaled(F.transform("scored", lambda i: i["score"])).alias("norm"), "edges")
     inner = F.filter("edges", lambda e: (e["source"] != QUERY_NODE) & (e["target"] != QUERY_NODE))
     link = lambda a, b: lambda e: F.struct(e[a].alias("source"), e[b].alias("target"), e["edge_type"].alias("edge_type"), e["weight"].alias("weight"))
     links = F.concat(F.transform(inner, link("source", "target")), F.transform(F.filter(inner, lambda e: ~e["directed"]), link("target", "source")))
@@ -66,7 +71,7 @@ def scaled(values: Column) -> Column:
 
 
 def parts_within(rows: DataFrame, seed_top_s: Column, max_hops: Column, type_weights: Mapping[str, float], keys: tuple[str, ...] = ("task_id",)) -> DataFrame:
-    """(keys, item_id, init, query, neighbor, bridge), each scaled to 0..1 within its row of ``gathered``."""
+    """(keys, parts): arrays of (item_id, init, query, neighbor, bridge), each scaled to 0..1 within its row of ``gathered``."""
     factor = lambda kind: reduce(lambda other, own: F.when(kind == own[0], F.lit(float(own[1]))).otherwise(other), type_weights.items(), F.lit(0.0))
     norm_of = lambda item: F.get(F.col("norm"), F.array_position(F.col("ids"), item).cast("int") - 1)
     best = F.transform(F.sort_array(F.zip_with("ids", "norm", lambda i, n: F.struct((-n).alias("n"), i.alias("i")))), lambda x: x["i"])
@@ -86,7 +91,7 @@ def parts_within(rows: DataFrame, seed_top_s: Column, max_hops: Column, type_wei
     rows = rows.select(*keys, "ids", "norm", asked.alias("asked"), drawn.alias("drawn"))
     field = lambda name: scaled(F.transform("drawn", lambda d: F.coalesce(d[name], F.lit(0.0)))).alias(name)
     rows = rows.select(*keys, F.col("ids").alias("item_id"), F.col("norm").alias("init"), scaled(F.col("asked")).alias("query"), field("neighbor"), field("bridge"))
-    return rows.select(*keys, F.inline(F.arrays_zip("item_id", "init", "query", "neighbor", "bridge")))
+    return rows.select(*keys, F.arrays_zip("item_id", "init", "query", "neighbor", "bridge").alias("parts"))
 
 
 def components(scores: DataFrame, edges: DataFrame, config: RerankConfig) -> DataFrame:
@@ -95,15 +100,22 @@ def components(scores: DataFrame, edges: DataFrame, config: RerankConfig) -> Dat
     Depends on seed_top_s, max_hops and the type weights only, so a grid over
     the lambdas reuses it.
     """
-    return parts_within(gathered(scores, edges), F.lit(config.seed_top_s), F.lit(config.max_hops), config.neighbor_type_weights)
+    return parts_within(gathered(scores, edges), F.lit(config.seed_top_s), F.lit(config.max_hops), config.neighbor_type_weights).select("task_id", F.inline("parts"))
+
+
+def rerank_rows(rows: DataFrame, config: RerankConfig = RerankConfig()) -> DataFrame:
+    """(task_id, scored) from rows of (task_id, scored, edges): nothing moves."""
+    parts = parts_within(linked(rows), F.lit(config.seed_top_s), F.lit(config.max_hops), config.neighbor_type_weights)
+    return parts.select("task_id", F.transform("parts", lambda p: F.struct(p["item_id"].alias("item_id"), combined(p, config).alias("score"))).alias("scored"))
 
 
-def combined(parts: DataFrame, config: RerankConfig):
-    """The weighted sum as a column, in millionths by its binary value: a decimal reading of the double would round other ties than other engines do."""
-    total = config.lambda_init * F.col("init") + config.lambda_query * F.col("query") + config.lambda_neighbor * F.col("neighbor") + config.lambda_bridge * F.col("bridge")
+def combined(part, config: RerankConfig) -> Column:
+    """The weighted sum, in millionths by its binary value: a decimal reading of the double would round other ties than other engines do."""
+    total = config.lambda_init * part["init"] + config.lambda_query * part["query"] + config.lambda_neighbor * part["neighbor"] + config.lambda_bridge * part["bridge"]
     return F.floor(total * 1e6 + 0.5) / 1e6
 
 
 def rerank(scores: DataFrame, edges: DataFrame, config: RerankConfig = RerankConfig()) -> DataFrame:
     """(task_id, item_id, score) for every candidate."""
-    return components(scores, edges, config).select("task_id", "item_id", combined(None, config).alias("score"))
+    parts = components(scores, edges, config)
+    return parts.select("task_id", "item_id", combined(parts, config).alias("score"))

@@ -12,7 +12,7 @@ from ..operators import evaluate, graph, lexical, memory, pairs, ranking, rerank
 from ..sources.splits import hashed_split
 from . import corpora, learned
 from .oracles import SQL, conv
-from .tasks import conversation_tasks, document_tasks
+from .tasks import conversation_tasks, document_tasks, settled
 
 FLAGSHIP = "bm25_metrics"
 #: Rules whose edges SQL can rebuild; the degree-capped rule is a greedy scan.
@@ -46,7 +46,7 @@ def idf_table(spark, sf_dir):
 
 def lexical_overlap(spark, sf_dir):
     own = document_tasks(spark, sf_dir)
-    return lexical.lexical_overlap(own.items, own.tasks)
+    return lexical.overlap_scores(own.rows)
 
 
 def input_tokens(spark, sf_dir):
@@ -55,20 +55,23 @@ def input_tokens(spark, sf_dir):
     return texts.groupBy("task_id").agg(F.sum(F.size(T.content_tokens("text"))).alias("input_tokens"))
 
 
+def _bm25(own) -> DataFrame:
+    """Rankings of all tasks, made within their rows."""
+    return ranking.ranked_within(lexical.bm25_within(own.rows))
+
+
 def bm25_ranking(spark, sf_dir):
-    own = document_tasks(spark, sf_dir)
-    return ranking.ranked(lexical.bm25_scores(own.items, own.tasks)).select("task_id", "item_id", "score", "rank")
+    return _bm25(document_tasks(spark, sf_dir))
 
 
 def bm25_metrics(spark, sf_dir):
     own = document_tasks(spark, sf_dir)
-    ranked = ranking.ranked(lexical.bm25_scores(own.items, own.tasks))
-    return evaluate.summary(evaluate.task_metrics(ranked, own.gold, rounded=False).withColumn("method", F.lit("bm25")))
+    return evaluate.summary(evaluate.task_metrics(_bm25(own), own.gold, rounded=False).withColumn("method", F.lit("bm25")))
 
 
 def bm25_task_metrics(spark, sf_dir):
     own = document_tasks(spark, sf_dir)
-    return evaluate.task_metrics(ranking.ranked(lexical.bm25_scores(own.items, own.tasks)), own.gold)
+    return evaluate.task_metrics(_bm25(own), own.gold)
 
 
 def seed_signals(spark, sf_dir):
@@ -78,7 +81,7 @@ def seed_signals(spark, sf_dir):
 
 def failure_cases(spark, sf_dir):
     own = document_tasks(spark, sf_dir)
-    return evaluate.failure_cases(ranking.ranked(lexical.bm25_scores(own.items, own.tasks)), own.gold, 5)
+    return evaluate.failure_cases(_bm25(own), own.gold, 5)
 
 
 def _vector_rankings(spark, sf_dir, k=10):
@@ -103,12 +106,11 @@ def dense_ir_metrics(spark, sf_dir):
 
 
 def sequential_edges(spark, sf_dir):
-    return graph.sequential_edges(document_tasks(spark, sf_dir).items)
+    return graph.flat_edges(graph.with_edges(document_tasks(spark, sf_dir).rows, rules=("sequential",)))
 
 
 def query_overlap_edges(spark, sf_dir):
-    own = document_tasks(spark, sf_dir)
-    return graph.query_overlap_edges(own.items, own.tasks)
+    return graph.flat_edges(graph.with_edges(document_tasks(spark, sf_dir).rows, rules=("query_overlap",)))
 
 
 def entity_pairs(spark, sf_dir):
@@ -116,7 +118,7 @@ def entity_pairs(spark, sf_dir):
 
 
 def entity_overlap_edges(spark, sf_dir):
-    return graph.entity_overlap_edges(document_tasks(spark, sf_dir).items)
+    return graph.flat_edges(graph.with_edges(document_tasks(spark, sf_dir).rows, rules=("entity_overlap",)))
 
 
 def entity_overlap_capped(spark, sf_dir):
@@ -144,18 +146,20 @@ def graph_statistics(spark, sf_dir):
 
 
 def document_graph_edges(spark, sf_dir):
-    own = document_tasks(spark, sf_dir)
-    return graph.build_graph(own.items, own.tasks, rules=PLAIN_RULES)
+    return graph.flat_edges(graph.with_edges(document_tasks(spark, sf_dir).rows, rules=PLAIN_RULES))
 
 
-def _document_seeds(spark, sf_dir):
-    own = document_tasks(spark, sf_dir)
-    return own, lexical.bm25_scores(own.items, own.tasks), graph.build_graph(own.items, own.tasks, rules=PLAIN_RULES)
+def _seeded(own, rules=PLAIN_RULES) -> DataFrame:
+    """(task_id, edges, scored): a task's graph and its BM25 scores, from one reading of its row."""
+    return lexical.bm25_within(graph.with_edges(own.rows, rules=rules))
+
+
+def _document_seeds(spark, sf_dir, rules=PLAIN_RULES):
+    return settled(document_tasks(spark, sf_dir), rules)
 
 
 def _conversation_seeds(spark, sf_dir):
-    own = conversation_tasks(spark, sf_dir)
-    return own, lexical.bm25_scores(own.items, own.tasks), graph.build_graph(own.items, own.tasks, rules=PLAIN_RULES)
+    return settled(conversation_tasks(spark, sf_dir), PLAIN_RULES)
 
 
 def candidate_expansion(spark, sf_dir):
@@ -164,18 +168,15 @@ def candidate_expansion(spark, sf_dir):
 
 
 def graph_rerank(spark, sf_dir):
-    _, scores, edges = _conversation_seeds(spark, sf_dir)
-    return ranking.ranked(rerank.rerank(scores, edges)).select("task_id", "item_id", "score", "rank")
+    return ranking.ranked_within(rerank.rerank_rows(_seeded(conversation_tasks(spark, sf_dir))))
 
 
 def document_graph_rerank(spark, sf_dir):
-    _, scores, edges = _document_seeds(spark, sf_dir)
-    return ranking.ranked(rerank.rerank(scores, edges)).select("task_id", "item_id", "score", "rank")
+    return ranking.ranked_within(rerank.rerank_rows(_seeded(document_tasks(spark, sf_dir))))
 
 
 def graph_rerank_full(spark, sf_dir):
-    own = conversation_tasks(spark, sf_dir)
-    return ranking.ranked(rerank.rerank(lexical.bm25_scores(own.items, own.tasks), graph.build_graph(own.items, own.tasks)))
+    return ranking.ranked_within(rerank.rerank_rows(_seeded(conversation_tasks(spark, sf_dir), graph.EDGE_TYPES)))
 
 
 def _dense_scores(own):
@@ -189,8 +190,7 @@ def dense_task_ranking(spark, sf_dir):
 
 
 def dense_graph_rerank(spark, sf_dir):
-    own = document_tasks(spark, sf_dir)
-    edges = graph.build_graph(own.items, own.tasks, rules=PLAIN_RULES)
+    own, _, edges = _document_seeds(spark, sf_dir)
     return ranking.ranked(rerank.rerank(_dense_scores(own), edges)).select("task_id", "item_id", "score", "rank")
 
 
@@ -227,10 +227,9 @@ def memory_stream(spark, sf_dir):
 
 
 def memory_grid(spark, sf_dir):
-    own = conversation_tasks(spark, sf_dir)
+    own, scores, edges = _conversation_seeds(spark, sf_dir)
     grid = tuning.parameter_grid(tuning.MEMORY_GRID)
-    edges = graph.build_graph(own.items, own.tasks, rules=PLAIN_RULES)
-    scored = tuning.memory_grid_scores(own.items, lexical.bm25_scores(own.items, own.tasks), _conversation_importance(own), grid)
+    scored = tuning.memory_grid_scores(own.items, scores, _conversation_importance(own), grid)
     return tuning.with_objective(tuning.evaluated(scored, own.gold, edges, subgraph=False))
 
 
@@ -276,9 +275,7 @@ def duplicate_vectors(spark, sf_dir):
 
 
 def _pairs(spark, sf_dir):
-    own = document_tasks(spark, sf_dir)
-    scores = lexical.bm25_scores(own.items, own.tasks)
-    edges = graph.build_graph(own.items, own.tasks, rules=("sequential", "bridge"))
+    own, scores, edges = _document_seeds(spark, sf_dir, ("sequential", "bridge"))
     negatives = {"easy_random": pairs.easy_random(own.items, own.gold, 2), "hard_bm25": pairs.hard_by_rank(scores, own.gold, 2), "hard_graph_neighbor": pairs.graph_neighbours(edges, own.items, own.gold, 1)}
     return own, pairs.training_pairs(own.gold, negatives)
 

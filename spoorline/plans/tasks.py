@@ -14,6 +14,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators.graph import with_edges
+from ..operators.lexical import bm25_within
+from ..operators.task_rows import task_rows
+from ..runtime import kept
+
 
 @dataclass(frozen=True)
 class TaskSet:
@@ -21,6 +26,12 @@ class TaskSet:
 
     tasks: DataFrame
     items: DataFrame
+    made: DataFrame | None = None
+
+    @property
+    def rows(self) -> DataFrame:
+        """(task_id, asked, items): one row per task; one exchange where the source has no such rows."""
+        return task_rows(self.items, self.tasks) if self.made is None else self.made
 
     @property
     def gold(self) -> DataFrame:
@@ -36,23 +47,19 @@ class TaskSet:
 
 
 def document_tasks(spark: SparkSession, sf_dir: str) -> TaskSet:
+    """A document is a task's row already: its sentences are cut and numbered within it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").where("text is not null and doc_id is not null")
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    sents = lines.select("doc_id", "line_no", "line", F.posexplode(F.split("line", r"\. ")).alias("sent_no", "sent")).where(F.trim("sent") != "")
-    placed = sents.withColumn("pos", F.row_number().over(W.partitionBy("doc_id").orderBy("line_no", "sent_no")) - 1)
-    task = F.concat(F.lit("doc_"), F.col("doc_id")).alias("task_id")
-    title = F.array_join(F.slice(F.split("line", " "), 1, 2), " ")
-    items = placed.where("pos > 0").select(
-        task,
-        F.concat(F.lit("m"), F.col("pos") - 1).alias("item_id"),
-        (F.col("pos") - 1).alias("position"),
-        title.alias("title"),
-        title.alias("source_ref"),
-        F.concat(F.lit("line:"), F.col("line_no")).alias("group_key"),
-        F.col("sent_no").alias("sequence_index"),
-        F.col("sent").alias("text"),
-    )
-    return TaskSet(placed.where("pos = 0").select(task, F.col("sent").alias("question")), items)
+    title = lambda line: F.array_join(F.slice(F.split(line, " "), 1, 2), " ")
+    cut = lambda line, no: F.transform(F.split(line, r"\. "), lambda s, k: F.struct(no.alias("line_no"), title(line).alias("title"), k.alias("k"), s.alias("s")))
+    sentences = F.filter(F.flatten(F.transform(F.split("text", "\n"), cut)), lambda x: F.trim(x["s"]) != "")
+    rows = docs.select(F.concat(F.lit("doc_"), F.col("doc_id")).alias("task_id"), sentences.alias("sentences")).where(F.size("sentences") > 0)
+    item = lambda x, at: F.struct(
+        at.alias("position"), F.concat(F.lit("m"), at).alias("item_id"), x["title"].alias("title"), x["title"].alias("source_ref"),
+        F.concat(F.lit("line:"), x["line_no"]).alias("group_key"), x["k"].alias("sequence_index"), x["s"].alias("text"),
+    )
+    rows = rows.select("task_id", F.get("sentences", 0)["s"].alias("asked"), F.transform(F.slice("sentences", F.lit(2), F.greatest(F.size("sentences") - 1, F.lit(0))), item).alias("items"))
+    items = rows.select("task_id", F.inline("items")).select("task_id", "item_id", "position", "title", "source_ref", "group_key", "sequence_index", "text")
+    return TaskSet(rows.select("task_id", F.col("asked").alias("question")), items, rows.where(F.size("items") > 0))
 
 
 def conversation_tasks(spark: SparkSession, sf_dir: str) -> TaskSet:
@@ -74,6 +81,15 @@ def conversation_tasks(spark: SparkSession, sf_dir: str) -> TaskSet:
     return TaskSet(turns.where("turn = ask").select("task_id", F.col("text").alias("question")), items)
 
 
+def settled(own: TaskSet, rules: tuple[str, ...]) -> tuple[TaskSet, DataFrame, DataFrame]:
+    """The tasks, their BM25 scores and their graph from files: the source is read once, for plans that need them in several places."""
+    rows = with_edges(own.rows, rules=rules)
+    rows = bm25_within(rows.select("*", F.col("asked").alias("question"), F.col("items").alias("candidates")))
+    rows = kept(rows.select("task_id", F.col("question").alias("asked"), F.col("candidates").alias("items"), "edges", "scored"))
+    tasks = TaskSet(rows.select("task_id", F.col("asked").alias("question")).where("question is not null"), rows.select("task_id", F.inline("items")), rows.select("task_id", "asked", "items"))
+    return tasks, rows.select("task_id", F.inline("scored")), rows.select("task_id", F.inline("edges"))
+
+
 DOCUMENT_SQL = r"""
 lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
 sents AS (SELECT doc_id, line_no - 1 AS line_no, line, unnest(string_split(line, '. ')) AS sent, generate_subscripts(string_split(line, '. '), 1) - 1 AS sent_no FROM lines),
