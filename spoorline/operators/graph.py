@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructType
 
 from ..functions import text as T
-from .task_rows import overlap, task_rows, with_features
+from .task_rows import flat, overlap, task_rows, with_features
 
 EDGE_TYPES = ("sequential", "query_overlap", "entity_overlap", "bridge")
 QUERY_NODE = "q"
@@ -154,7 +154,7 @@ def with_edges(rows: DataFrame, config: GraphConfig = GraphConfig(), rules: tupl
 
 def flat_edges(rows: DataFrame) -> DataFrame:
     """(task_id, source, target, edge_type, weight, directed) of rows with edges."""
-    return rows.select("task_id", F.inline("edges"))
+    return flat(rows, "edges", "source", "task_id")
 
 
 def _no_tasks(items: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .task_rows import overlap, task_rows, with_features
+from .task_rows import flat, overlap, task_rows, with_features
 
 
 @dataclass(frozen=True)
@@ -40,7 +40,7 @@ def lexical_overlap(items: DataFrame, tasks: DataFrame) -> DataFrame:
 def overlap_scores(rows: DataFrame) -> DataFrame:
     """The same from task rows."""
     rows = with_features(rows.where("asked is not null")).select("task_id", "items", overlap(F.col("own"), F.col("asked")).alias("scores"))
-    return rows.select("task_id", F.inline(F.zip_with("items", "scores", lambda i, s: F.struct(i["item_id"].alias("item_id"), s.alias("score")))))
+    return flat(rows, F.zip_with("items", "scores", lambda i, s: F.struct(i["item_id"].alias("item_id"), s.alias("score"))), "item_id", "task_id")
 
 
 def bm25_scores(items: DataFrame, tasks: DataFrame, config: Bm25Config = Bm25Config()) -> DataFrame:
@@ -50,7 +50,7 @@ def bm25_scores(items: DataFrame, tasks: DataFrame, config: Bm25Config = Bm25Con
     in the candidates. The mean idf of all tokens is needed, and made, only
     where a question token stands in more than half of the candidates.
     """
-    return bm25_within(task_rows(items, tasks), config).select("task_id", F.inline("scored"))
+    return flat(bm25_within(task_rows(items, tasks), config), "scored", "item_id", "task_id")
 
 
 def bm25_within(rows: DataFrame, config: Bm25Config = Bm25Config()) -> DataFrame:

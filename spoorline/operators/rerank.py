@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import let
 from .graph import QUERY_NODE
+from .task_rows import flat
 
 
 # Fixed names and default values of the settings.
@@ -100,7 +101,7 @@ def components(scores: DataFrame, edges: DataFrame, config: RerankConfig) -> Dat
     Depends on seed_top_s, max_hops and the type weights only, so a grid over
     the lambdas reuses it.
     """
-    return parts_within(gathered(scores, edges), F.lit(config.seed_top_s), F.lit(config.max_hops), config.neighbor_type_weights).select("task_id", F.inline("parts"))
+    return flat(parts_within(gathered(scores, edges), F.lit(config.seed_top_s), F.lit(config.max_hops), config.neighbor_type_weights), "parts", "item_id", "task_id")
 
 
 def rerank_rows(rows: DataFrame, config: RerankConfig = RerankConfig()) -> DataFrame:

@@ -26,6 +26,16 @@ def task_rows(items: DataFrame, tasks: DataFrame) -> DataFrame:
     return rows.where(F.size("items") > 0)
 
 
+def flat(rows: DataFrame, array: Column | str, field: str, *keys: str) -> DataFrame:
+    """A row for each struct of an array, told by a field that is never null.
+
+    The outer form, as the other makes the optimizer test the array's size
+    further down, where the whole of what the array is made of is computed
+    again.
+    """
+    return rows.select(*keys, F.inline_outer(array)).where(F.col(field).isNotNull())
+
+
 def with_features(rows: DataFrame) -> DataFrame:
     """Add own, an array beside items: distinct tokens, lower text, the title's aliases, entities with the aliases among them, and the group."""
 

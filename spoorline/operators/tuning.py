@@ -12,6 +12,7 @@ from .evaluate import reachable
 from .graph import QUERY_NODE
 from .memory import memory_signals
 from .rerank import RerankConfig, gathered, parts_within
+from .task_rows import flat
 
 # Fixed values of the default searches.
 RERANK_GRID = {
@@ -82,7 +83,7 @@ def rerank_grid_scores(scores: DataFrame, edges: DataFrame, grid: list[dict]) ->
     each = F.inline(F.array(*[F.struct(F.lit(s).alias("seed_top_s"), F.lit(h).alias("max_hops")) for s, h in shapes]))
     rows = gathered(scores, edges).select("*", each)
     keys = ("task_id", "seed_top_s", "max_hops")
-    parts = parts_within(rows, F.col("seed_top_s"), F.col("max_hops"), RerankConfig().neighbor_type_weights, keys).select(*keys, F.inline("parts"))
+    parts = flat(parts_within(rows, F.col("seed_top_s"), F.col("max_hops"), RerankConfig().neighbor_type_weights, keys), "parts", "item_id", *keys)
     total = sum((F.col(f"lambda_{c}") * F.col(c) for c in ("query", "neighbor", "bridge")), F.col("lambda_init") * F.col("init"))
     rows = parts.join(F.broadcast(configs), ["seed_top_s", "max_hops"])  # a grid has a fixed number of rows
     return rows.select("config_id", "task_id", "item_id", F.round(total, 6).alias("score"))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import with_edges
 from ..operators.lexical import bm25_within
-from ..operators.task_rows import task_rows
+from ..operators.task_rows import flat, task_rows
 from ..runtime import kept
 
 
@@ -47,18 +47,23 @@ class TaskSet:
 
 
 def document_tasks(spark: SparkSession, sf_dir: str) -> TaskSet:
-    """A document is a task's row already: its sentences are cut and numbered within it."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").where("text is not null and doc_id is not null")
+    """A document is a task's row already: its sentences are cut and numbered within it.
+
+    Rows are dealt by task once, so that long documents spread and whatever is
+    joined, grouped or ranked by task later finds its rows in place.
+    """
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text is not null and doc_id is not null").select(F.concat(F.lit("doc_"), F.col("doc_id")).alias("task_id"), "text")
+    docs = docs.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "task_id")
     title = lambda line: F.array_join(F.slice(F.split(line, " "), 1, 2), " ")
     cut = lambda line, no: F.transform(F.split(line, r"\. "), lambda s, k: F.struct(no.alias("line_no"), title(line).alias("title"), k.alias("k"), s.alias("s")))
     sentences = F.filter(F.flatten(F.transform(F.split("text", "\n"), cut)), lambda x: F.trim(x["s"]) != "")
-    rows = docs.select(F.concat(F.lit("doc_"), F.col("doc_id")).alias("task_id"), sentences.alias("sentences")).where(F.size("sentences") > 0)
+    rows = docs.select("task_id", sentences.alias("sentences")).where(F.size("sentences") > 0)
     item = lambda x, at: F.struct(
         at.alias("position"), F.concat(F.lit("m"), at).alias("item_id"), x["title"].alias("title"), x["title"].alias("source_ref"),
         F.concat(F.lit("line:"), x["line_no"]).alias("group_key"), x["k"].alias("sequence_index"), x["s"].alias("text"),
     )
     rows = rows.select("task_id", F.get("sentences", 0)["s"].alias("asked"), F.transform(F.slice("sentences", F.lit(2), F.greatest(F.size("sentences") - 1, F.lit(0))), item).alias("items"))
-    items = rows.select("task_id", F.inline("items")).select("task_id", "item_id", "position", "title", "source_ref", "group_key", "sequence_index", "text")
+    items = flat(rows, "items", "item_id", "task_id").select("task_id", "item_id", "position", "title", "source_ref", "group_key", "sequence_index", "text")
     return TaskSet(rows.select("task_id", F.col("asked").alias("question")), items, rows.where(F.size("items") > 0))
 
 
