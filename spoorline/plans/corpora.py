@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import memory
 from ..runtime import shared_folder
-from ..sources import canonical, records
+from ..sources import canonical, manifests, records
 from ..sources.splits import ordered_slice, permuted_split
 from ..sources.strict_records import read_records, reasons
 
@@ -120,8 +120,13 @@ def document_splits(spark, sf_dir):
     return permuted_split(docs, ["doc_id"], SPLIT_SEED, {"train": n * 8 // 10, "dev": n // 10, "test": n // 20}).select("doc_id", "row", "place", "split")
 
 
+def table_files(spark, sf_dir):
+    """The tables' files with their digests, and whether they would be delivered."""
+    return manifests.classified(manifests.file_digests(spark, sf_dir), [r"\.parquet"], ["^lineitem"])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (record_reasons, record_items, record_dependency_edges, record_ambiguity, importance_prepared, importance_fault_counts, document_slice, document_splits)
+    found = (record_reasons, record_items, record_dependency_edges, record_ambiguity, importance_prepared, importance_fault_counts, document_slice, document_splits, table_files)
     return {f.__name__: f for f in found}
 
 

@@ -97,16 +97,21 @@ def stages_of(method: str, first: str | None = None, last: str | None = None) ->
 
 @dataclass
 class Stage:
-    """A named step: it writes ``output`` from ``inputs`` with ``config``."""
+    """A named step: it writes ``output`` from ``inputs`` with ``config``.
+
+    ``digest`` gives what an input's path holds, by content; without it sizes
+    and times stand for it.
+    """
 
     name: str
     run: Callable[[], Any]
     inputs: tuple[str, ...] = ()
     output: str | None = None
     config: Mapping[str, Any] = field(default_factory=dict)
+    digest: Callable[[str], str] | None = None
 
     def fingerprint(self) -> str:
-        seen = {p: _stamp(p) for p in self.inputs}
+        seen = {p: (self.digest or _stamp)(p) for p in self.inputs}
         return hashlib.sha256(json.dumps([self.name, seen, dict(self.config)], sort_keys=True, default=str).encode()).hexdigest()
 
 
