@@ -18,7 +18,10 @@ Defined results: null or empty html gives an empty text; markup without any
 text gives an empty text; broken markup is read as far as the parser's error
 recovery goes; references to numbers beyond Unicode give U+FFFD; repeated pages
 give repeated rows; an input column named as an output column is replaced.
-Time and memory are proportional to the page, however deep its elements nest.
+Memory is proportional to the page, however deep its elements nest, and so is
+time: the parser looks for the end of every tag and comment anew, so where more
+than ``OPEN`` of them begin and none ends, all from the first of them on is the
+inside of one unclosed tag or comment and is left out, as browsers do.
 """
 
 from __future__ import annotations
@@ -49,6 +52,9 @@ REGIONS = frozenset("article main section div body".split())
 PARTS = frozenset("ul ol dl table".split())
 #: Elements that an article may stand in although nothing else does.
 POROUS = frozenset("nav header footer form head".split())
+#: Tags or comments that may begin behind the page's last end of one, before they are cut off.
+OPEN = 64
+_BEGINS = re.compile(r"<[A-Za-z/!?]")
 CELLS = frozenset(("td", "th", "br", "img", "option"))
 ROLES = frozenset("navigation banner contentinfo complementary search menu menubar dialog alertdialog alert form toolbar".split())
 #: Words of class and id tokens that tell of something else than article text.
@@ -277,9 +283,20 @@ def chosen(lines: list[Line], parent: dict[int, int], sigma: float = 1.0) -> lis
     return [x for x, f in zip(lines, weak, strict=True) if reached[x.region] and not (f and cut > 0)]
 
 
+def closed(html: str) -> str:
+    """The page without a long tail of tags or comments that begin and never end."""
+    for begins, end in ((re.compile("<!--"), "-->"), (_BEGINS, ">")):
+        tail = html.rfind(end) + len(end) if end in html else 0
+        places = begins.finditer(html, tail)
+        first = next(places, None)
+        if first and sum(1 for _ in places) >= OPEN:
+            html = html[: first.start()]
+    return html
+
+
 def extract(html: str | None, sigma: float = 1.0) -> tuple[str, int, int]:
     """(main text, kept lines, all lines) of one page."""
-    lines, parent = read_lines(html) if html else ([], {})
+    lines, parent = read_lines(closed(html)) if html else ([], {})
     if not lines:
         return "", 0, 0
     kept = chosen(lines, parent, sigma)
