@@ -314,6 +314,9 @@ qreach AS (SELECT task_id, 'q' AS node FROM tasks UNION SELECT r.task_id, u.targ
     "importance_distribution": f"WITH {EVENT_RAW}, {CLEANED} SELECT {HISTOGRAM} FROM cleaned",
     "importance_shards": f"WITH {EVENT_RAW}, {CLEANED} SELECT CAST(task_ord // 40 AS BIGINT) AS shard, {HISTOGRAM} FROM cleaned JOIN (SELECT item_id, task_ord FROM raws) USING (item_id) GROUP BY 1",
     "importance_order_violations": "SELECT CAST(0 AS BIGINT) AS n",
+    "planted_order_violations": f"WITH {EVENT_RAW}, {CLEANED}, " + """turned AS (SELECT task_id, item_id, raw, CASE WHEN CAST(item_id AS BIGINT) % 7 = 0 THEN 11 - score ELSE score END AS score FROM cleaned),
+stepped AS (SELECT raw, score, lag(raw) OVER w AS raw0, lag(score) OVER w AS score0 FROM turned WINDOW w AS (PARTITION BY task_id ORDER BY raw, item_id))
+SELECT count(*) AS n FROM stepped WHERE score < score0 OR (raw = raw0 AND score <> score0)""",
     "duplicate_vectors": conv(CONV_RAW, CLEANED) + "SELECT vector, count(*) AS n_tasks FROM (SELECT task_id, string_agg(CAST(score AS VARCHAR), ',' ORDER BY CAST(substr(item_id, 2) AS INTEGER)) AS vector FROM cleaned GROUP BY task_id) GROUP BY vector HAVING count(*) > 1",
     "training_pairs": doc(BM25, SEQUENTIAL, PAIRS, BRIDGE, TRAIN_PAIRS) + "SELECT task_id, item_id, label, sample_type FROM pairs",
     "dense_training_pairs": doc(BM25, DENSE.replace("scores AS", "dscores AS").replace("FROM scores", "FROM dscores").replace("ranked AS", "dranked AS"), WANTED, """
@@ -337,3 +340,4 @@ methods AS (SELECT 'bm25' AS method, task_id, item_id, score FROM scores UNION A
 mranked AS (SELECT *, row_number() OVER (PARTITION BY method, task_id ORDER BY score DESC, item_id) AS rank FROM methods)""", task_metrics("mranked", "method, task_id", False)) + f"SELECT method, count(*) AS n_tasks, {MEANS} FROM metrics GROUP BY method",
     "event_windows": "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events WHERE ts IS NOT NULL GROUP BY 1, 2",
 }
+SQL["tuned_memory"] = f"SELECT * FROM ({SQL['memory_grid']}) ORDER BY objective DESC, full_10 DESC, avg_edges, config_id LIMIT 1"

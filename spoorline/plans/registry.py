@@ -232,6 +232,10 @@ def memory_grid(spark, sf_dir):
     return tuning.with_objective(tuning.evaluated(scored, own.gold, edges, subgraph=False))
 
 
+def tuned_memory(spark, sf_dir):
+    return tuning.selected(memory_grid(spark, sf_dir))
+
+
 def rerank_grid(spark, sf_dir):
     own, scores, edges = _conversation_seeds(spark, sf_dir)
     scored = tuning.rerank_grid_scores(scores, edges, tuning.parameter_grid(tuning.RERANK_GRID))
@@ -267,6 +271,13 @@ def importance_order_violations(spark, sf_dir):
     return memory.order_violations(cleaned).agg(F.count(F.lit(1)).alias("n"))
 
 
+def planted_order_violations(spark, sf_dir):
+    """The same over scores of which every seventh event's is turned round: the check must count the faults."""
+    cleaned = memory.cleaned_importance(_event_scores(spark, sf_dir).select("task_id", "item_id", "raw"))
+    turned = cleaned.withColumn("score", F.when(F.col("item_id").cast("long") % 7 == 0, 11 - F.col("score")).otherwise(F.col("score")))
+    return memory.order_violations(turned).agg(F.count(F.lit(1)).alias("n"))
+
+
 def duplicate_vectors(spark, sf_dir):
     own = conversation_tasks(spark, sf_dir)
     scored = _conversation_importance(own).withColumn("item_ord", T.node_number("item_id"))
@@ -385,7 +396,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         task_items, content_tokens, item_entities, idf_table, lexical_overlap, input_tokens, bm25_ranking, bm25_metrics, bm25_task_metrics, seed_signals, failure_cases,
         dense_ranking, dense_ir_metrics, sequential_edges, query_overlap_edges, entity_pairs, entity_overlap_edges, entity_overlap_capped, bridge_edges, graph_edges, document_graph_edges, full_graph, graph_statistics,
         candidate_expansion, graph_rerank, document_graph_rerank, graph_rerank_full, retrieved_subgraph, connectivity, connected_evidence, path_metrics, dense_task_ranking, dense_graph_rerank, memory_stream, memory_grid, rerank_grid, tuned_rerank,
-        cleaned_importance, importance_distribution, importance_shards, importance_order_violations, duplicate_vectors, training_pairs, pair_summary, contrastive_triples,
+        cleaned_importance, importance_distribution, importance_shards, importance_order_violations, planted_order_violations, tuned_memory, duplicate_vectors, training_pairs, pair_summary, contrastive_triples,
         message_edges, node_features, dense_training_pairs, content_digests, split_assignment, violations, planted_violations, method_table, event_windows,
     )
     return {f.__name__: f for f in found} | learned.queries() | corpora.queries() | reports.queries()
