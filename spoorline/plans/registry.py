@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import evaluate, graph, lexical, memory, pairs, ranking, rerank, rgcn, tuning, validate, vector_search
 from ..sources.splits import hashed_split
-from . import corpora, learned, oracles, reports
+from . import corpora, experiment, learned, oracles, reports
 from .tasks import conversation_tasks, document_tasks, settled
 
 FLAGSHIP = "bm25_metrics"
@@ -399,8 +399,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         cleaned_importance, importance_distribution, importance_shards, importance_order_violations, planted_order_violations, tuned_memory, duplicate_vectors, training_pairs, pair_summary, contrastive_triples,
         message_edges, node_features, dense_training_pairs, content_digests, split_assignment, violations, planted_violations, method_table, event_windows,
     )
-    return {f.__name__: f for f in found} | learned.queries() | corpora.queries() | reports.queries()
+    return {f.__name__: f for f in found} | learned.queries() | corpora.queries() | reports.queries() | experiment.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracles.SQL | corpora.oracle_sql(oracles.conv) | reports.oracle_sql(oracles.doc, vars(oracles), oracles.task_metrics, oracles.connected, oracles.tokens)
+    parts = vars(oracles)
+    found = oracles.SQL | corpora.oracle_sql(oracles.conv) | reports.oracle_sql(oracles.doc, parts, oracles.task_metrics, oracles.connected, oracles.tokens)
+    return found | experiment.oracle_sql(reports.metrics_sql(oracles.doc, parts, oracles.task_metrics), oracles.MEANS)

@@ -80,16 +80,25 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in found}
 
 
-def oracle_sql(doc, parts: dict[str, str], task_metrics, connected, tokens) -> dict[str, str]:
-    """From the pieces of the other queries' SQL: scores of both seeds and both reranks, and their metrics."""
+def _ranked_sql(parts: dict[str, str]) -> tuple[str, ...]:
+    """From the pieces of the other queries' SQL: the rankings of both seeds and both reranks."""
     dense = parts["DENSE"].replace("scores AS", "dscores AS").replace("FROM scores", "FROM dscores").replace("ranked AS", "dranked AS")
     swap = lambda sql: sql.replace("seeds", "dseeds").replace("FROM scores", "FROM dscores").replace("allowed", "dallowed").replace("parts", "dparts").replace("reranked", "dreranked")
     methods = """
 methods AS (SELECT 'bm25' AS method, task_id, item_id, score FROM scores UNION ALL SELECT 'bm25_graph_rerank', task_id, item_id, score FROM reranked UNION ALL SELECT 'dense', task_id, item_id, score FROM dscores
   UNION ALL SELECT 'dense_graph_rerank', task_id, item_id, score FROM dreranked),
 mranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY method, task_id ORDER BY score DESC, item_id) AS INTEGER) AS rank FROM methods)"""
-    base = (parts["OVERLAP"], parts["BM25"], dense, parts["SEQUENTIAL"], parts["QUERY_OVERLAP"], parts["PAIRS"], parts["BRIDGE"], parts["EDGES"], parts["RERANK"], swap(parts["RERANK"]), methods)
-    main = doc(*base, task_metrics("mranked", "method, task_id", rounded=False))
+    return (parts["OVERLAP"], parts["BM25"], dense, parts["SEQUENTIAL"], parts["QUERY_OVERLAP"], parts["PAIRS"], parts["BRIDGE"], parts["EDGES"], parts["RERANK"], swap(parts["RERANK"]), methods)
+
+
+def metrics_sql(doc, parts: dict[str, str], task_metrics) -> str:
+    """Metrics of all four methods by task."""
+    return doc(*_ranked_sql(parts), task_metrics("mranked", "method, task_id", rounded=False))
+
+
+def oracle_sql(doc, parts: dict[str, str], task_metrics, connected, tokens) -> dict[str, str]:
+    base = _ranked_sql(parts)
+    main = metrics_sql(doc, parts, task_metrics)
     mean = ", ".join(f"round(avg({c}), 6) AS {c}" for c in tables.MAIN)
     paths = """
 ptop AS (SELECT method, task_id, item_id FROM mranked WHERE rank <= 10 AND method LIKE '%graph_rerank'),

@@ -102,3 +102,26 @@ def test_bad_graphs(spark, tmp_path):
             StageGraph(spark, str(tmp_path), stages)
     with pytest.raises(ValueError, match="unknown stage"):
         StageGraph(spark, str(tmp_path), [Stage("a", make)]).plan(["z"])
+
+
+def test_experiment_from_the_command_line(spark, tmp_path, capsys):
+    from spoorline.plans import experiment
+
+    data = tmp_path / "data"
+    rows = [(k, f"Asks about River {k}. First sentence of River {k}. Second one. Gold sentence here. Last one\nOther line. More of it") for k in range(6)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{data}/documents.parquet")
+    args = ["--data", str(data), "--folder", str(tmp_path / "x"), "--methods", "bm25_graph_rerank"]
+    assert experiment.main(["plan", *args], spark) == 0
+    plan = capsys.readouterr().out.split()
+    assert plan[0] == "tasks" and plan[-1] == "table" and {"bm25", "graphs", "bm25_graph_rerank"} < set(plan)
+    experiment.main(["run", *args], spark)
+    assert set(capsys.readouterr().out.split()) == set(plan)
+    experiment.main(["status", *args], spark)
+    assert set(capsys.readouterr().out.split()[1::2]) == {"complete"}
+    experiment.main(["table", *args], spark)
+    assert "bm25_graph_rerank" in capsys.readouterr().out
+    spark.createDataFrame([(9, "One more. Text here. Third")], "doc_id long, text string").write.mode("append").parquet(f"{data}/documents.parquet")
+    experiment.main(["plan", *args], spark)
+    assert capsys.readouterr().out.split()[0] == "tasks"
+    with pytest.raises(ValueError, match="can't run"):
+        experiment.main(["plan", "--data", str(data), "--folder", str(tmp_path / "y"), "--methods", "dense_ft"], spark)
