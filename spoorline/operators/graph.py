@@ -65,7 +65,7 @@ def shared_pairs(entities: list[list[str]], groups: list[str | None] | None = No
     """How many entities two items share, by their places: over an index of entities, so that only pairs that share something are formed; with ``groups`` only pairs of different ones."""
     bearers: dict[str, list[int]] = {}
     for k, own in enumerate(entities):
-        for entity in own:
+        for entity in own or ():
             bearers.setdefault(entity, []).append(k)
     out: Counter = Counter()
     for places in bearers.values():
@@ -79,7 +79,7 @@ def mentions(aliases: list[list[str]], texts: list[str], groups: list[str | None
     """In how many ways two items of different groups mention each other's title: each alias is looked for once in each text."""
     bearers: dict[str, list[int]] = {}
     for k, own in enumerate(aliases):
-        for alias in own:
+        for alias in own or ():
             bearers.setdefault(alias, []).append(k)
     out: Counter = Counter()
     for alias, places in bearers.items():

@@ -65,6 +65,7 @@ def overlap(own: Column, asked: Column) -> Column:
 
 def _score(o: Column, q: Column) -> Column:
     shared = F.aggregate(q["weights"], F.lit(0.0), lambda s, w: s + F.when(F.array_contains(o["tokens"], w["t"]), w["idf"]).otherwise(F.lit(0.0)))
-    both = F.size(F.filter(o["aliases"], lambda a: F.contains(q["low"], a) & F.contains(o["low"], a)))
-    common = F.size(F.array_intersect(F.array_union(o["phrases"], o["aliases"]), q["entities"]))
+    aliases = F.coalesce(o["aliases"], F.array().cast("array<string>"))
+    both = F.size(F.filter(aliases, lambda a: F.contains(q["low"], a) & F.contains(o["low"], a)))
+    common = F.size(F.array_intersect(F.array_union(o["phrases"], aliases), q["entities"]))
     return F.round(shared + T.ALIAS_WEIGHT * both + T.ENTITY_WEIGHT * common, 6)
