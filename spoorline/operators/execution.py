@@ -55,14 +55,14 @@ def execute(method: str, rows: DataFrame, rank: Callable[[DataFrame], DataFrame]
     """
     tag = f"{method}-{time.monotonic_ns()}"
     asked, told = Observation(f"asked-{tag}"), Observation(f"told-{tag}")
-    ids = F.array_sort(F.transform("items", lambda i: i["item_id"]))
+    ids = F.sort_array(F.transform("items", lambda i: i["item_id"]))
     graph = F.col("edges").isNull() if "edges" in rows.columns else F.lit(needs_graph)
     rows = rows.withColumn("__ids", ids).observe(
         asked, F.count(F.lit(1)).alias("tasks"), F.sum(F.size("items")).alias("candidates"), F.count(F.when(graph, 1)).alias("without_graph"), F.count(F.when(F.col("asked").isNull(), 1)).alias("without_question")
     )
     scored = rank(rows)
     bad = F.exists("scored", lambda s: s["score"].isNull() | F.isnan(s["score"]) | (F.abs(s["score"]) == F.lit(float("inf"))))
-    own = F.array_sort(F.transform("scored", lambda s: s["item_id"]))
+    own = F.sort_array(F.transform("scored", lambda s: s["item_id"]))
     # A method that hands the ids through is compared with them; another one by count.
     wrong = ~own.eqNullSafe(F.col("__ids")) if "__ids" in scored.columns else F.size(F.array_distinct(own)) != F.size(own)
     scored = scored.observe(told, F.count(F.lit(1)).alias("ranked"), F.sum(F.size("scored")).alias("scored_items"), F.count(F.when(wrong, 1)).alias("not_covered"), F.count(F.when(bad, 1)).alias("bad_scores"))

@@ -51,13 +51,13 @@ def _sequential(items: Column) -> Column:
         good = F.filter(near, lambda x: (x["a"]["g"] == x["b"]["g"]) & (x["b"]["at"] - x["a"]["at"] == 1))
         return F.transform(good, lambda x: _edge(x["a"]["id"], x["b"]["id"], "sequential", F.lit(1.0), False))
 
-    return T.let(F.array_sort(placed), links)
+    return T.let(F.sort_array(placed), links)
 
 
 def _query_overlap(items: Column, scores: Column, limit: int) -> Column:
     """From the question to its best lexical matches."""
     best = F.filter(F.zip_with(items, F.coalesce(scores, F.array().cast("array<double>")), lambda i, s: F.struct((-s).alias("s"), i["item_id"].alias("id"))), lambda x: x["s"] < 0)
-    first = F.slice(F.array_sort(best), 1, limit) if limit else F.slice(best, 1, 0)
+    first = F.slice(F.sort_array(best), 1, limit) if limit else F.slice(best, 1, 0)
     return F.transform(first, lambda x: _edge(F.lit(QUERY_NODE), x["id"], "query_overlap", -x["s"], True))
 
 
@@ -143,13 +143,13 @@ def with_edges(rows: DataFrame, config: GraphConfig = GraphConfig(), rules: tupl
     asked = _query_overlap(F.col("items"), overlap(F.col("own"), F.col("asked")), config.max_query_overlap) if "query_overlap" in rules else empty
     cols = ["task_id", "asked", "items"]
     if not {"entity_overlap", "bridge"} & set(rules):
-        return rows.select(*cols, F.array_sort(F.concat(sequential, asked)).alias("edges"))
+        return rows.select(*cols, F.sort_array(F.concat(sequential, asked)).alias("edges"))
     part = lambda c, f: F.transform(c, f)
     rows = rows.select(
         *cols, F.concat(sequential, asked).alias("made"), part("items", lambda i: i["item_id"]).alias("ids"), part("own", lambda o: F.array_union(o["phrases"], o["aliases"])).alias("entities"),
         part("own", lambda o: o["aliases"]).alias("aliases"), part("own", lambda o: o["low_text"]).alias("low"), part("own", lambda o: o["g"]).alias("groups"),
     )
-    return pair_edges(rows, config, rules).select(*cols, F.array_sort(F.concat("made", "pairs")).alias("edges"))
+    return pair_edges(rows, config, rules).select(*cols, F.sort_array(F.concat("made", "pairs")).alias("edges"))
 
 
 def flat_edges(rows: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ def ranked(scores: DataFrame, keys: tuple[str, ...] = ("task_id",)) -> DataFrame
 
 def ranked_within(rows: DataFrame, column: str = "scored") -> DataFrame:
     """(task_id, item_id, score, rank) of rows of (task_id, array of (item_id, score)): the same order without an exchange."""
-    order = F.array_sort(F.transform(column, lambda i: F.struct((-i["score"]).alias("s"), i["item_id"].alias("i"))))
+    order = F.sort_array(F.transform(column, lambda i: F.struct((-i["score"]).alias("s"), i["item_id"].alias("i"))))
     placed = rows.select("task_id", F.posexplode_outer(order).alias("at", "x")).where("at is not null")  # outer for the reason in task_rows.flat
     return placed.select("task_id", F.col("x.i").alias("item_id"), (-F.col("x.s")).alias("score"), (F.col("at") + 1).alias("rank"))
 

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.text import let
 from ..operators.graph import with_edges
 from ..operators.lexical import bm25_within
 from ..operators.task_rows import flat, task_rows
@@ -54,15 +55,16 @@ def document_tasks(spark: SparkSession, sf_dir: str) -> TaskSet:
     """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text is not null and doc_id is not null").select(F.concat(F.lit("doc_"), F.col("doc_id")).alias("task_id"), "text")
     docs = docs.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "task_id")
-    title = lambda line: F.array_join(F.slice(F.split(line, " "), 1, 2), " ")
-    cut = lambda line, no: F.transform(F.split(line, r"\. "), lambda s, k: F.struct(no.alias("line_no"), title(line).alias("title"), k.alias("k"), s.alias("s")))
+    title = lambda line: F.array_join(F.slice(F.split(line, " ", 3), 1, 2), " ")
+    cut = lambda line, no: let(title(line), lambda t: F.transform(F.split(line, r"\. "), lambda s, k: F.struct(no.alias("line_no"), t.alias("title"), k.alias("k"), s.alias("s"))))
     sentences = F.filter(F.flatten(F.transform(F.split("text", "\n"), cut)), lambda x: F.trim(x["s"]) != "")
-    rows = docs.select("task_id", sentences.alias("sentences")).where(F.size("sentences") > 0)
     item = lambda x, at: F.struct(
         at.alias("position"), F.concat(F.lit("m"), at).alias("item_id"), x["title"].alias("title"), x["title"].alias("source_ref"),
         F.concat(F.lit("line:"), x["line_no"]).alias("group_key"), x["k"].alias("sequence_index"), x["s"].alias("text"),
     )
-    rows = rows.select("task_id", F.get("sentences", 0)["s"].alias("asked"), F.transform(F.slice("sentences", F.lit(2), F.greatest(F.size("sentences") - 1, F.lit(0))), item).alias("items"))
+    row = let(sentences, lambda s: F.struct(F.get(s, 0)["s"].alias("asked"), F.transform(F.slice(s, F.lit(2), F.greatest(F.size(s) - 1, F.lit(0))), item).alias("items")))
+    # Opened from an array of one: conditions on what comes out aren't tested below, where all of it would be made again.
+    rows = docs.select("task_id", F.explode_outer(F.array(row)).alias("row")).select("task_id", "row.asked", "row.items").where("asked is not null")
     items = flat(rows, "items", "item_id", "task_id").select("task_id", "item_id", "position", "title", "source_ref", "group_key", "sequence_index", "text")
     return TaskSet(rows.select("task_id", F.col("asked").alias("question")), items, rows.where(F.size("items") > 0))
 
