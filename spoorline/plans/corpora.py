@@ -15,6 +15,8 @@ from ..sources.splits import ordered_slice, permuted_split
 from ..sources.strict_records import read_records, reasons
 
 SPLIT_SEED = 7
+#: A sentence number that no line has.
+NOWHERE = 2**31 - 1
 
 
 def rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,7 +38,7 @@ def rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Pairs of unlike types can't be one array: they are put together as text.
     each = lambda x: F.concat(F.lit("["), F.substr(F.to_json(F.array(title(x))), F.lit(2), F.length(F.to_json(F.array(title(x)))) - 2), F.lit(","), F.to_json(cut(x)), F.lit("]"))
     context = F.concat(F.lit("["), F.array_join(F.transform("lines", each), ","), F.lit("]"))
-    place = F.when(F.col("kind") == 4, 99).otherwise(0).cast("string")
+    place = F.when(F.col("kind") == 4, NOWHERE).otherwise(0).cast("string")
     facts = F.concat(F.lit("["), F.array_join(F.transform("titles", lambda t: F.concat(F.lit("["), F.substr(F.to_json(F.array(t)), F.lit(2), F.length(F.to_json(F.array(t))) - 2), F.lit(","), place, F.lit("]"))), ","), F.lit("]"))
     triple = lambda k: F.array(F.get("titles", k - 1), F.lit("leads to"), F.get("titles", k))
     triples = F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.size("titles") - 1, F.lit(1))), lambda k: k < F.size("titles")), triple)
