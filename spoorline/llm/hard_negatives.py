@@ -3,19 +3,19 @@
 Scores of all anchors with all rows are one product, A times B transposed.
 Anchors and rows are dealt to blocks by a hash of the id, and every block is cut
 into chunks of dimensions. As in SUMMA, the product is laid out on a grid: the
-chunk of an anchor block goes to each row block and the chunk of a row block to
-each anchor block; cell (i, j, chunk) multiplies the two into a partial int64
-tile; the partial tiles of a cell are added behind a shuffle. Tiles are written
-once to the shared folder and read twice: for each anchor's best rows of its
-label, and, when these positives and so the windows are known, for the best
-rows of other labels within each anchor-positive window. Each tile is reduced
-to its own best few before anything is merged, so what is ranked per anchor
-grows with the number of row blocks, not with rows.
-
-Sizes: a tile has ``ANCHOR_ROWS`` x ``BLOCK_ROWS`` scores at most (4 MB); an
-anchor has one such row of scores for every row of the table, which is what the
-task asks for. Dimensions are cut into ``CHUNKS`` parts at most. Blocks are
-dealt by hash, so equal vectors and hot labels spread.
+chunks of an anchor block go to each row block and those of a row block to each
+anchor block; cell (i, j) stays where it is, adds up the products of its chunks
+and reduces the tile to its own best few at once. The grid is gone through
+twice: for each anchor's best rows of its label, and, when these positives and
+so the windows are known, for the best rows of other labels within each
+anchor-positive window. So no tile is moved or written; what is moved grows with
+a side's rows times the other side's blocks, and what is ranked per anchor with
+the number of row blocks, not with rows.
+
+Sizes: a cell holds ``ANCHOR_ROWS`` anchors and ``BLOCK_ROWS`` rows at most and
+makes its tile ``STRIDE`` anchors at a time (16 MB). Components travel in the
+narrowest whole numbers that hold them. Dimensions are cut into ``CHUNKS`` parts
+at most. Blocks are dealt by hash, so equal vectors and hot labels spread.
 
 Defined results: rows with a null id, label or vector, or with a null or
 non-finite component take no part; shorter vectors count as padded with zeros;
@@ -29,7 +29,7 @@ other columns are left out.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,16 +40,22 @@ from pyspark.sql import functions as F
 from .common import written
 from .maxscore import matrix, quantised
 
-ANCHOR_ROWS = 256
-BLOCK_ROWS = 2048
+ANCHOR_ROWS = 2048
+BLOCK_ROWS = 8192
+STRIDE = 256
 #: Dimensions of a chunk, and most chunks; more dimensions make longer chunks.
 CHUNK_DIMS = 16
 CHUNKS = 8
 #: Positives of up to this many anchors (some 100 bytes each) are sent to all tasks; more are joined by anchor block.
 BROADCAST_ANCHORS = 100_000
 
-BLOCK = "block int, chunk int, ids binary, labels binary, data binary"
-TILE = "i int, j int, anchors binary, anchor_labels binary, ids binary, labels binary, tile binary"
+BLOCK = "block int, chunk int, ids binary, labels binary, kind string, data binary"
+
+
+def narrowed(values: np.ndarray) -> np.ndarray:
+    """The same in the smallest of three types of whole numbers that holds them."""
+    low, high = values.min(initial=0), values.max(initial=0)
+    return values.astype(next(t for t in (np.int16, np.int32, np.int64) if np.iinfo(t).min <= low and high <= np.iinfo(t).max))
 
 
 def _blocks(rows: DataFrame, count: int, dims: int, width: int, unique: bool) -> DataFrame:
@@ -61,12 +67,13 @@ def _blocks(rows: DataFrame, count: int, dims: int, width: int, unique: bool) ->
         if unique:
             order = order[np.unique(ids[order], return_index=True)[1]]
         ids, labels, values = ids[order], labels[order], values[order]
+        values = narrowed(values)
         block = table["block"][0].as_py()
         cuts = range(0, max(dims, 1), width)
         n = len(cuts)
         return pa.table(
             {
-                "block": pa.array([block] * n, pa.int32()), "chunk": pa.array(range(n), pa.int32()), "ids": [ids.tobytes()] * n, "labels": [labels.tobytes()] * n,
+                "block": pa.array([block] * n, pa.int32()), "chunk": pa.array(range(n), pa.int32()), "ids": [ids.tobytes()] * n, "labels": [labels.tobytes()] * n, "kind": [values.dtype.str] * n,
                 "data": [np.ascontiguousarray(values[:, k : k + width]).tobytes() for k in cuts],
             }
         )
@@ -76,44 +83,49 @@ def _blocks(rows: DataFrame, count: int, dims: int, width: int, unique: bool) ->
 
 
 def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """a times b transposed, exactly; in floating point where all sums are below 2**53."""
-    most = lambda x: float(np.abs(x).max(initial=0))
-    if most(a) * most(b) * max(a.shape[1], 1) < 2.0**53:
-        return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
-    return a @ b.T
+    """a times b transposed, exactly; in floating point where all sums are below 2**24 or 2**53."""
+    most = lambda x: float(np.abs(x.astype(np.float64)).max(initial=0))
+    bound = most(a) * most(b) * max(a.shape[1], 1)
+    for kind, limit in ((np.float32, 2.0**24), (np.float64, 2.0**53)):
+        if bound < limit:
+            return (a.astype(kind) @ b.astype(kind).T).astype(np.int64)
+    return a.astype(np.int64) @ b.astype(np.int64).T
 
 
-def _tiles(anchors: DataFrame, rows: DataFrame, n_anchors: int, n_rows: int, dims: int) -> DataFrame:
-    """Added tiles with the ids and labels of both sides."""
+def _sides(anchors: DataFrame, rows: DataFrame, n_anchors: int, n_rows: int, dims: int) -> tuple[DataFrame, DataFrame, int, int]:
+    """Blocks of both sides from files, and how many there are: linear in the rows."""
     width = max(CHUNK_DIMS, math.ceil(dims / CHUNKS))
     n_i, n_j = math.ceil(n_anchors / ANCHOR_ROWS), math.ceil(n_rows / BLOCK_ROWS)
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = _blocks(anchors, n_i, dims, width, True).select(F.col("block").alias("i"), "chunk", F.col("ids").alias("anchors"), F.col("labels").alias("anchor_labels"), F.col("data").alias("a"))
-    right = _blocks(rows, n_j, dims, width, False).select(F.col("block").alias("j"), "chunk", "ids", "labels", F.col("data").alias("b"))
-    # The grid: both sides name the cell that they go to, so a cell meets one chunk of each.
-    grid = left.select("*", each(n_j).alias("j")).join(right.select("*", each(n_i).alias("i")), ["i", "j", "chunk"])
+    left = written(_blocks(anchors, n_i, dims, width, True).withColumnRenamed("block", "i"))
+    return left, written(_blocks(rows, n_j, dims, width, False).withColumnRenamed("block", "j")), n_i, n_j
 
-    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                raw = {name: batch.column(name)[k].as_py() for name in ("anchors", "ids", "a", "b")}
-                shape = lambda key, ids: np.frombuffer(raw[key], np.int64).reshape(len(raw[ids]) // 8, -1)  # noqa: E731, B023
-                tile = product(shape("a", "anchors"), shape("b", "ids")).tobytes()
-                own = [batch.column(c).slice(k, 1) for c in ("i", "j", "anchors", "anchor_labels", "ids", "labels")]
-                yield pa.RecordBatch.from_arrays([*own, pa.array([tile], pa.binary())], names=[f.split()[0] for f in TILE.split(", ")])
 
-    def add(table: pa.Table) -> pa.Table:
-        total = np.frombuffer(table["tile"][0].as_py(), np.int64).copy()
-        for k in range(1, table.num_rows):
-            total += np.frombuffer(table["tile"][k].as_py(), np.int64)
-        return table.slice(0, 1).set_column(table.column_names.index("tile"), "tile", pa.array([total.tobytes()], pa.binary()))
+def _cells(sides: tuple[DataFrame, DataFrame, int, int], make: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
+    """``make`` over the grid: both sides name the cells that they go to, so a cell meets all chunks of one block each."""
+    left, right, n_i, n_j = sides
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    own = left.select("*", each(n_j).alias("j")).groupBy("i", "j")
+    return own.cogroup(right.select("*", each(n_i).alias("i")).groupBy("i", "j")).applyInArrow(make, schema)
 
-    return grid.mapInArrow(multiply, TILE).groupBy("i", "j").applyInArrow(add, TILE)
 
+def _chunks(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """ids, labels and the chunks in order."""
+    n = table.num_rows
+    order = sorted(range(n), key=[c.as_py() for c in table["chunk"]].__getitem__)
+    ids, labels = (np.frombuffer(table[c][0].as_py(), np.int64) for c in ("ids", "labels"))
+    return ids, labels, [np.frombuffer(table["data"][k].as_py(), table["kind"][k].as_py()).reshape(len(ids), -1) for k in order]
 
-def _read(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, ...]:
-    anchors, anchor_labels, ids, labels = (np.frombuffer(batch.column(c)[k].as_py(), np.int64) for c in ("anchors", "anchor_labels", "ids", "labels"))
-    return anchors, anchor_labels, ids, labels, np.frombuffer(batch.column("tile")[k].as_py(), np.int64).reshape(len(anchors), len(ids))
+
+def _strips(left: pa.Table, right: pa.Table) -> Iterator[tuple[np.ndarray, ...]]:
+    """The cell's tile, ``STRIDE`` anchors at a time: (anchors, their labels, ids, labels, scores), added up over the chunks."""
+    if not left.num_rows or not right.num_rows:
+        return
+    (anchors, anchor_labels, a), (ids, labels, b) = _chunks(left), _chunks(right)
+    for lo in range(0, len(anchors), STRIDE):
+        tile = np.zeros((len(anchors[lo : lo + STRIDE]), len(ids)), np.int64)
+        for x, y in zip(a, b, strict=True):
+            tile += product(x[lo : lo + STRIDE], y)
+        yield anchors[lo : lo + STRIDE], anchor_labels[lo : lo + STRIDE], ids, labels, tile
 
 
 def _first(score: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
@@ -125,56 +137,61 @@ def _first(score: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
     return at[np.argsort(-score[at], kind="stable")]
 
 
-def _arrow(columns: list[list], names: tuple[str, ...]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=list(names))
+def _table(columns: list[list], names: tuple[str, ...]) -> pa.Table:
+    return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(names, columns, strict=True)})
 
 
-def _positives(tiles: DataFrame, k: int) -> DataFrame:
-    """(i, anchor_id, positive_id, positive_score): each tile's best rows of the anchor's label, then the best of all tiles."""
+def _positives(sides: tuple, k: int) -> DataFrame:
+    """(i, anchor_id, positive_id, positive_score): each cell's best rows of the anchor's label, then the best of all cells."""
     names = ("i", "anchor_id", "positive_id", "positive_score")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for t in range(batch.num_rows):
-                anchors, anchor_labels, ids, labels, tile = _read(batch, t)
-                i, out = batch.column("i")[t].as_py(), [[], [], [], []]
-                for own, label, score in zip(anchors, anchor_labels, tile, strict=True):
-                    best = _first(score, np.flatnonzero((labels == label) & (ids != own)), k)
-                    for column, values in zip(out, ([i] * len(best), [own] * len(best), ids[best], score[best]), strict=True):
-                        column.extend(values)
-                yield _arrow(out, names)
-
-    found = tiles.mapInArrow(run, "i long, anchor_id long, positive_id long, positive_score long")
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out: list[list] = [[] for _ in names]
+        for anchors, anchor_labels, ids, labels, tile in _strips(left, right):
+            i = left["i"][0].as_py()
+            of = {label: np.flatnonzero(labels == label) for label in np.unique(anchor_labels)}
+            for own, label, score in zip(anchors, anchor_labels, tile, strict=True):
+                same = of[label]
+                best = _first(score, same[ids[same] != own], k)
+                for column, values in zip(out, ([i] * len(best), [own] * len(best), ids[best], score[best]), strict=True):
+                    column.extend(values)
+        return _table(out, names)
+
+    found = _cells(sides, run, ", ".join(f"{c} long" for c in names))
     w = W.partitionBy("anchor_id").orderBy(F.desc("positive_score"), "positive_id")
     return found.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= k)
 
 
-def _negatives(tiles: DataFrame, windows: DataFrame, k: int, low: int, high: int) -> DataFrame:
-    """(anchor_id, positive_id, nth, positive_score, negative_id, negative_score): each tile's best in every window."""
+def _negatives(sides: tuple, windows: DataFrame, k: int, low: int, high: int) -> DataFrame:
+    """(anchor_id, positive_id, nth, positive_score, negative_id, negative_score): each cell's best in every window."""
     names = ("anchor_id", "positive_id", "nth", "positive_score", "negative_id", "negative_score")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for t in range(batch.num_rows):
-                anchors, anchor_labels, ids, labels, tile = _read(batch, t)
-                out = [[] for _ in names]
-                place = {int(a): k for k, a in enumerate(anchors)}
-                other: dict[int, np.ndarray] = {}
-                for w in batch.column("windows")[t].as_py():
-                    a = place[w["anchor_id"]]
-                    score, top = tile[a], w["positive_score"]
-                    if a not in other:
-                        other[a] = np.flatnonzero((labels != anchor_labels[a]) & (ids != anchors[a]))
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out: list[list] = [[] for _ in names]
+        asked: dict[int, list[dict]] = {}
+        for w in (w for own in left["windows"].to_pylist() for w in own or ()):
+            asked.setdefault(w["anchor_id"], []).append(w)
+        for anchors, anchor_labels, ids, labels, tile in _strips(left, right):
+            others = {label: np.flatnonzero(labels != label) for label in np.unique(anchor_labels)}
+            for own, label, score in zip(anchors.tolist(), anchor_labels, tile, strict=True):
+                if own not in asked:
+                    continue
+                other = others[label]
+                other = other[ids[other] != own]
+                seen = score[other]
+                for w in asked[own]:
+                    top = w["positive_score"]
                     # The bounds as whole numbers: ceil(low * top / 100) up to floor(high * top / 100).
-                    seen = score[other[a]]
-                    at = other[a][(seen >= -(-low * top // 100)) & (seen <= high * top // 100)]
-                    best = _first(score, at, k)
+                    best = _first(score, other[(seen >= -(-low * top // 100)) & (seen <= high * top // 100)], k)
                     n = len(best)
-                    for column, values in zip(out, ([w["anchor_id"]] * n, [w["positive_id"]] * n, [w["nth"]] * n, [top] * n, ids[best], score[best]), strict=True):
+                    for column, values in zip(out, ([own] * n, [w["positive_id"]] * n, [w["nth"]] * n, [top] * n, ids[best], score[best]), strict=True):
                         column.extend(values)
-                yield _arrow(out, names)
+        return _table(out, names)
 
-    return tiles.join(windows, "i").mapInArrow(run, ", ".join(f"{c} long" for c in names))
+    left, *rest = sides
+    # The windows go with one chunk of their block.
+    left = left.join(windows, "i").withColumn("windows", F.when(F.col("chunk") == 0, F.col("windows")))
+    return _cells((left, *rest), run, ", ".join(f"{c} long" for c in names))
 
 
 def mine(
@@ -206,10 +223,10 @@ def mine(
     out = "anchor_id long, positive_id long, rank int, negative_id long, positive_score long, negative_score long"
     if not n_anchors:
         return rows.sparkSession.createDataFrame([], out)
-    tiles = written(_tiles(asks, base, n_anchors, n_rows, dims or 0))
-    best = _positives(tiles, positives)
+    sides = _sides(asks, base, n_anchors, n_rows, dims or 0)
+    best = _positives(sides, positives)
     windows = best.groupBy(F.col("i").cast("int").alias("i")).agg(F.collect_list(F.struct("anchor_id", "positive_id", F.col("__r").alias("nth"), "positive_score")).alias("windows"))
-    found = _negatives(tiles, F.broadcast(windows) if n_anchors <= BROADCAST_ANCHORS else windows, negatives, low, high)
+    found = _negatives(sides, F.broadcast(windows) if n_anchors <= BROADCAST_ANCHORS else windows, negatives, low, high)
     w = W.partitionBy("anchor_id", "positive_id", "nth").orderBy(F.desc("negative_score"), "negative_id")
     ranked = found.withColumn("rank", F.row_number().over(w).cast("int")).where(F.col("rank") <= negatives)
     return ranked.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
