@@ -5,12 +5,12 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping
 from dataclasses import dataclass, field
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import let
+from . import within
 from .graph import QUERY_NODE
 from .task_rows import flat
 
@@ -73,26 +73,16 @@ def scaled(values: Column) -> Column:
 
 def parts_within(rows: DataFrame, seed_top_s: Column, max_hops: Column, type_weights: Mapping[str, float], keys: tuple[str, ...] = ("task_id",)) -> DataFrame:
     """(keys, parts): arrays of (item_id, init, query, neighbor, bridge), each scaled to 0..1 within its row of ``gathered``."""
-    factor = lambda kind: reduce(lambda other, own: F.when(kind == own[0], F.lit(float(own[1]))).otherwise(other), type_weights.items(), F.lit(0.0))
-    norm_of = lambda item: F.get(F.col("norm"), F.array_position(F.col("ids"), item).cast("int") - 1)
-    best = F.transform(F.sort_array(F.zip_with("ids", "norm", lambda i, n: F.struct((-n).alias("n"), i.alias("i")))), lambda x: x["i"])
-    hops = F.when(max_hops > 0, F.sequence(F.lit(1), max_hops)).otherwise(F.array().cast("array<int>"))
-    step = lambda seen: F.array_union(seen, F.transform(F.filter("links", lambda e: F.array_contains(seen, e["source"])), lambda e: e["target"]))
-    allowed = F.aggregate(hops, F.slice(best, F.lit(1), seed_top_s), lambda seen, _: step(seen))
-    weighed = F.transform("links", lambda e: F.struct(e["target"].alias("target"), (e["edge_type"] == "bridge").alias("bridge"), (e["weight"] * factor(e["edge_type"])).alias("w"), norm_of(e["source"]).alias("n")))
-    rows = rows.select(*keys, "ids", "norm", "asks", allowed.alias("allowed"), F.filter(weighed, lambda f: (f["w"] > 0) & f["n"].isNotNull()).alias("flow"))
-    total = lambda xs, value: F.aggregate(xs, F.lit(0.0), lambda s, x: s + value(x))
-    flow = lambda mine: F.struct(
-        F.coalesce(F.try_divide(total(mine, lambda f: f["n"] * f["w"]), total(mine, lambda f: f["w"])), F.lit(0.0)).alias("neighbor"),
-        total(F.filter(mine, lambda f: f["bridge"]), lambda f: f["n"] * f["w"]).alias("bridge"),
-    )
-    gate = lambda item, x: F.when(F.array_contains(F.col("allowed"), item), x)
-    asked = F.transform("ids", lambda i: F.coalesce(gate(i, total(F.filter("asks", lambda a: a["target"] == i), lambda a: a["weight"])), F.lit(0.0)))
-    drawn = F.transform("ids", lambda i: gate(i, let(F.filter("flow", lambda f: f["target"] == i), flow)))
-    rows = rows.select(*keys, "ids", "norm", asked.alias("asked"), drawn.alias("drawn"))
-    field = lambda name: scaled(F.transform("drawn", lambda d: F.coalesce(d[name], F.lit(0.0)))).alias(name)
-    rows = rows.select(*keys, F.col("ids").alias("item_id"), F.col("norm").alias("init"), scaled(F.col("asked")).alias("query"), field("neighbor"), field("bridge"))
-    return rows.select(*keys, F.arrays_zip("item_id", "init", "query", "neighbor", "bridge").alias("parts"))
+    rows = rows.select(*keys, "ids", "norm", "asks", "links", seed_top_s.cast("int").alias("__top"), max_hops.cast("int").alias("__hops"))
+    weights, names = dict(type_weights), ("item_id", "init", "query", "neighbor", "bridge")
+
+    def parts(ids: list, norm: list, to: list, weight: list, source: list, target: list, kind: list, by: list, top: int, hops: int) -> tuple:
+        told = within.rerank_parts(ids, norm, (to, weight), (source, target, kind, by), top, hops, weights)
+        return tuple(told[c] for c in names)
+
+    inputs = ("ids", "norm", "asks.target", "asks.weight", "links.source", "links.target", "links.edge_type", "links.weight", "__top", "__hops")
+    rows = within.by_row(rows, inputs, {c: "array<string>" if c == "item_id" else "array<double>" for c in names}, parts, ("ids", "norm", "asks", "links", "__top", "__hops"))
+    return rows.select(*keys, F.arrays_zip(*names).alias("parts"))
 
 
 def components(scores: DataFrame, edges: DataFrame, config: RerankConfig) -> DataFrame:

@@ -18,7 +18,7 @@ from ..runtime import shared_folder
 from ..sources.manifests import file_digests, tree_digest
 from ..stages import Stage, StageGraph
 from ..workflow import METHODS
-from .reports import RULES, _dense_rows
+from .reports import RULES
 from .tasks import TaskSet, document_tasks
 
 SCORED = "task_id string, scored array<struct<item_id:string,score:double>>"
@@ -29,7 +29,7 @@ def _bm25(tables_):
 
 
 def _dense(tables_):
-    return _dense_rows(tables_["tasks"]).select("task_id", "scored")
+    return lexical.hashed_within(tables_["tasks"]).select("task_id", "scored")
 
 
 def _reranked(seed: str):
