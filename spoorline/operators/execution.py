@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Observation
@@ -45,13 +45,14 @@ def joined_requests(rows: DataFrame, graphs: DataFrame | None) -> DataFrame:
     return rows.drop("edges").join(graphs.select("task_id", "edges"), "task_id", "left")
 
 
-def execute(method: str, rows: DataFrame, rank: Callable[[DataFrame], DataFrame], needs_graph: bool = False, strict: bool = True) -> Execution:
+def execute(method: str, rows: DataFrame, rank: Callable[[DataFrame], DataFrame], needs_graph: bool = False, strict: bool = True, also: Sequence[str] = ()) -> Execution:
     """Apply ``rank`` to task rows (task_id, asked, items, ...), which gives (task_id, scored), one row per task.
 
     Every task must come back with each of its candidates once and a finite
     score; with ``needs_graph`` each must have edges. The counts are observed in
     the job that writes the rankings to the shared folder, so nothing is read
-    twice for them.
+    twice for them. Columns ``also`` that ``rank`` hands through are written
+    beside the rankings, for what is made of them within the row.
     """
     tag = f"{method}-{time.monotonic_ns()}"
     asked, told = Observation(f"asked-{tag}"), Observation(f"told-{tag}")
@@ -67,7 +68,7 @@ def execute(method: str, rows: DataFrame, rank: Callable[[DataFrame], DataFrame]
     wrong = ~own.eqNullSafe(F.col("__ids")) if "__ids" in scored.columns else F.size(F.array_distinct(own)) != F.size(own)
     scored = scored.observe(told, F.count(F.lit(1)).alias("ranked"), F.sum(F.size("scored")).alias("scored_items"), F.count(F.when(wrong, 1)).alias("not_covered"), F.count(F.when(bad, 1)).alias("bad_scores"))
     start = time.perf_counter()
-    files = kept(scored.select("task_id", "scored"))
+    files = kept(scored.select("task_id", "scored", *also))
     seconds = time.perf_counter() - start
     counts = {k: int(v or 0) for k, v in (asked.get | told.get).items()}
     run = Execution(method, files, counts, seconds)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -50,15 +50,15 @@ def gathered(scores: DataFrame, edges: DataFrame) -> DataFrame:
     return linked(items.join(drawn, "task_id", "left").select("task_id", F.col("items").alias("scored"), "edges"))
 
 
-def linked(rows: DataFrame) -> DataFrame:
-    """The same from rows of (task_id, scored, edges), both in order."""
-    rows = rows.select("task_id", F.transform("scored", lambda i: i["item_id"]).alias("ids"), scaled(F.transform("scored", lambda i: i["score"])).alias("norm"), "edges")
-    inner = F.filter("edges", lambda e: (e["source"] != QUERY_NODE) & (e["target"] != QUERY_NODE))
+def linked(rows: DataFrame, also: Sequence[str] = ()) -> DataFrame:
+    """The same from rows of (task_id, scored, edges), both in order; columns ``also`` stay."""
+    rows = rows.select("task_id", *also, F.transform("scored", lambda i: i["item_id"]).alias("ids"), scaled(F.transform("scored", lambda i: i["score"])).alias("norm"), F.col("edges").alias("__edges"))
+    inner = F.filter("__edges", lambda e: (e["source"] != QUERY_NODE) & (e["target"] != QUERY_NODE))
     link = lambda a, b: lambda e: F.struct(e[a].alias("source"), e[b].alias("target"), e["edge_type"].alias("edge_type"), e["weight"].alias("weight"))
     links = F.concat(F.transform(inner, link("source", "target")), F.transform(F.filter(inner, lambda e: ~e["directed"]), link("target", "source")))
-    asks = F.transform(F.filter("edges", lambda e: (e["source"] == QUERY_NODE) & (e["edge_type"] == "query_overlap")), lambda e: F.struct(e["target"].alias("target"), e["weight"].alias("weight")))
+    asks = F.transform(F.filter("__edges", lambda e: (e["source"] == QUERY_NODE) & (e["edge_type"] == "query_overlap")), lambda e: F.struct(e["target"].alias("target"), e["weight"].alias("weight")))
     return rows.select(
-        "task_id", "ids", "norm",
+        "task_id", *also, "ids", "norm",
         F.coalesce(asks, F.array().cast("array<struct<target:string,weight:double>>")).alias("asks"),
         F.coalesce(links, F.array().cast("array<struct<source:string,target:string,edge_type:string,weight:double>>")).alias("links"),
     )
@@ -94,10 +94,10 @@ def components(scores: DataFrame, edges: DataFrame, config: RerankConfig) -> Dat
     return flat(parts_within(gathered(scores, edges), F.lit(config.seed_top_s), F.lit(config.max_hops), config.neighbor_type_weights), "parts", "item_id", "task_id")
 
 
-def rerank_rows(rows: DataFrame, config: RerankConfig = RerankConfig()) -> DataFrame:
-    """(task_id, scored) from rows of (task_id, scored, edges): nothing moves."""
-    parts = parts_within(linked(rows), F.lit(config.seed_top_s), F.lit(config.max_hops), config.neighbor_type_weights)
-    return parts.select("task_id", F.transform("parts", lambda p: F.struct(p["item_id"].alias("item_id"), combined(p, config).alias("score"))).alias("scored"))
+def rerank_rows(rows: DataFrame, config: RerankConfig = RerankConfig(), also: Sequence[str] = ()) -> DataFrame:
+    """(task_id, scored) from rows of (task_id, scored, edges): nothing moves; columns ``also`` stay."""
+    parts = parts_within(linked(rows, also), F.lit(config.seed_top_s), F.lit(config.max_hops), config.neighbor_type_weights, ("task_id", *also))
+    return parts.select("task_id", *also, F.transform("parts", lambda p: F.struct(p["item_id"].alias("item_id"), combined(p, config).alias("score"))).alias("scored"))
 
 
 def combined(part, config: RerankConfig) -> Column:
