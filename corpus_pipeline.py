@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spoorline.llm import importance, langid, mixing, packing, simhash
-from spoorline.llm.common import doc_bucket, read_table, saved
+from spoorline.llm.common import doc_bucket, read_table, saved, small_batches
 
 #: A document stays if its language has at least this probability.
 MIN_LANGUAGE_SCORE = 0.35
@@ -29,6 +29,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows are judged one by one, null ids and repeated rows too; empty texts have
     weight 0. Columns are returned as they came.
     """
+    small_batches(spark)
     return importance.keep(docs, read_table(spark, sf_dir, "labels"))
 
 
@@ -38,6 +39,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Without any labelled text to learn from only texts without a letter go.
     Columns are returned as they came.
     """
+    small_batches(spark)
     model = langid.fit(docs, F.coalesce(doc_bucket("doc_id", 4) != 2, F.lit(True)))
     if not model.langs:
         return docs.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
@@ -47,6 +49,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near-duplicates, the one with the smallest id; a null id stays only where there is no other."""
+    small_batches(spark)
     return simhash.first_of_each(docs)
 
 
@@ -57,6 +60,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row per piece of a sequence; a null or empty text is one end token."""
+    small_batches(spark)
     return packing.pack(docs, with_ids=False)
 
 

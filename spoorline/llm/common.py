@@ -53,6 +53,17 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Most rows of an Arrow batch where whole texts go to Python.
+BATCH_ROWS = 2048
+
+
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """Let no Arrow batch of this session hold more rows than this: an executor holds a batch of texts several times, in its JVM and in each of its workers."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def ascii_lower(col: Column | str) -> Column:
     """Lower-case A-Z and nothing else."""
     return F.translate(col, UPPER, UPPER.lower())
