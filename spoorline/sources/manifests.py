@@ -2,19 +2,26 @@
 
 Files are read where the executors are; contents never reach the driver. Sizes
 are read without contents, so files beyond a limit are listed and never opened.
+Files of a folder that the executors mount are read a piece at a time, so that
+a task holds ``PIECE`` bytes whatever a file's size; of other file systems a
+content is one value of a row.
 Empty files hold nothing and aren't listed, as Spark's file sources leave them out.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Largest file that is digested or delivered; one content is one value of a row.
+#: Largest file that is digested or delivered.
 LIMIT = 1 << 30
+#: Bytes of a file that are read at once.
+PIECE = 1 << 20
 
 
 def _listed(spark: SparkSession, path: str) -> DataFrame:
@@ -28,10 +35,30 @@ def _relative(path: str) -> F.Column:
     return F.when(at > 0, F.substr("path", at + F.length(root))).otherwise(F.element_at(F.split("path", "/"), -1))
 
 
+def _streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(path, sha256) of local files, each read in pieces."""
+    for batch in batches:
+        told = []
+        for path in batch.column("path").to_pylist():
+            digest = hashlib.sha256()
+            with open("/" + path.split(":", 1)[1].lstrip("/"), "rb", buffering=0) as file:
+                while piece := file.read(PIECE):
+                    digest.update(piece)
+            told.append(digest.hexdigest())
+        yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(told, pa.string())], names=["path", "sha256"])
+
+
 def file_digests(spark: SparkSession, path: str, limit: int = LIMIT) -> DataFrame:
     """(file, bytes, sha256) of all files under a path; sha256 is null beyond ``limit``."""
-    sized = _listed(spark, path).select(_relative(path).alias("file"), F.col("length").alias("bytes"))
-    hashed = _listed(spark, path).where(F.col("length") <= limit).select(_relative(path).alias("file"), F.sha2("content", 256).alias("sha256"))
+    listed = _listed(spark, path)
+    sized = listed.select(_relative(path).alias("file"), F.col("length").alias("bytes"))
+    some = listed.select("path").first()
+    if some is not None and some.path.startswith("file:"):
+        # Dealt by path, so that large files that are listed together are read by several tasks.
+        paths = listed.where(F.col("length") <= limit).select("path").repartition(spark.sparkContext.defaultParallelism, "path")
+        hashed = paths.mapInArrow(_streamed, "path string, sha256 string").select(_relative(path).alias("file"), "sha256")
+    else:
+        hashed = listed.where(F.col("length") <= limit).select(_relative(path).alias("file"), F.sha2("content", 256).alias("sha256"))
     return sized.join(hashed, "file", "left")
 
 

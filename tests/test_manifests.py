@@ -63,3 +63,11 @@ def test_stages_go_stale_by_content_alone(spark, folder, tmp_path):
 def test_provenance(spark, folder):
     row = m.provenance(spark, "bm25", {"k1": "1.5"}, {"tasks": str(folder)}).first()
     assert row.method == "bm25" and row.settings == {"k1": "1.5"} and row.sha256 == m.tree_digest(m.file_digests(spark, str(folder)))
+
+
+def test_contents_are_no_values_of_rows(spark, folder):
+    """A large file is read in pieces: Spark reads none of its content."""
+    (folder / "a b%20c.bin").write_bytes(b"y" * (3 * m.PIECE + 5))
+    found = m.file_digests(spark, str(folder))
+    assert rows(found)["a b%20c.bin"] == (3 * m.PIECE + 5, hashlib.sha256(b"y" * (3 * m.PIECE + 5)).hexdigest())
+    assert "sha2(content" not in found._jdf.queryExecution().optimizedPlan().toString()
