@@ -77,6 +77,34 @@ def execute(method: str, rows: DataFrame, rank: Callable[[DataFrame], DataFrame]
     return run
 
 
+def execute_together(rows: DataFrame, rank: Callable[[DataFrame], DataFrame], methods: dict[str, bool], also: Sequence[str] = (), strict: bool = True) -> dict[str, Execution]:
+    """``execute`` for methods that share one pass: ``rank`` gives rows of (task_id, own, ...) a column of scored for each method.
+
+    ``methods`` tells which of them need edges; own holds a task's candidates.
+    All rankings are written beside each other, in one job.
+    """
+    asked, told = (Observation(f"{name}-{time.monotonic_ns()}") for name in ("asked", "told"))
+    rows = rows.observe(
+        asked, F.count(F.lit(1)).alias("tasks"), F.sum(F.size("own")).alias("candidates"), F.count(F.when(F.col("edges").isNull(), 1)).alias("without_graph"), F.count(F.when(F.col("asked").isNull(), 1)).alias("without_question")
+    )
+    scored, seen = rank(rows), []
+    ids = lambda c: F.sort_array(F.transform(c, lambda s: s["item_id"]))
+    for name in methods:
+        bad = F.exists(name, lambda s: s["score"].isNull() | F.isnan(s["score"]) | (F.abs(s["score"]) == F.lit(float("inf"))))
+        counts = {"ranked": F.count(F.col(name)), "scored_items": F.sum(F.size(name)), "not_covered": F.count(F.when(~ids(name).eqNullSafe(ids("own")), 1)), "bad_scores": F.count(F.when(bad, 1))}
+        seen += [c.alias(f"{name}:{n}") for n, c in counts.items()]
+    start = time.perf_counter()
+    files = kept(scored.observe(told, *seen).select("task_id", *methods, *also))
+    seconds = time.perf_counter() - start
+    runs = {}
+    for name, needs_graph in methods.items():
+        own = {k.split(":")[1]: n for k, n in told.get.items() if k.split(":")[0] == name}
+        runs[name] = Execution(name, files.select("task_id", F.col(name).alias("scored"), *also), {k: int(v or 0) for k, v in (asked.get | own).items()}, seconds)
+        if strict:
+            verify(runs[name], needs_graph)
+    return runs
+
+
 def verify(run: Execution, needs_graph: bool = False) -> None:
     c = run.counts
     faults = {
